@@ -312,8 +312,9 @@ def _read_json(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "bodies")
     _table(spark, d, "events").select(F.col("props").alias("value")).write.text(path)
     bodies = read_submissions(spark, path)
-    k = json_values.member(F.try_parse_json(F.col("body")), "k")
-    return bodies.select("body", json_values.as_integer(k).alias("k"))
+    parsed = bodies.withColumn("_v", F.try_parse_json(F.col("body")))
+    members = json_values.with_members(parsed, "_v", ["k"])
+    return members.select("body", json_values.integer_text(F.col("text_k")).alias("k"))
 
 
 def _url_params(spark: SparkSession, d: str) -> DataFrame:
@@ -458,9 +459,10 @@ def _append_defaults(spark: SparkSession, d: str) -> DataFrame:
     english = F.col("lang") == "en"
     shapes = [documents.where(~english), documents.where(english).drop("source")]
     complete = fill_omitted(combine_shapes(shapes), {"display_order": 0})
+    no_source = F.lit(None).cast("string")
     path = shared_folder(spark, "append")
     recreate_table(complete, path)
-    append_rows(fill_omitted(shapes[1], {"source": None, "display_order": 1}), path)
+    append_rows(fill_omitted(shapes[1], {"source": no_source, "display_order": 1}), path)
     return read_table(spark, path, complete.schema)
 
 

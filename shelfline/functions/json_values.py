@@ -1,8 +1,10 @@
-"""Reading JSON objects as VARIANT, with JavaScript's idea of a missing value."""
+"""Reading members of JSON objects with JavaScript's idea of a missing value."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A whole number, and any decimal number, as they may be spelled in a text.
@@ -15,61 +17,72 @@ def keep_last_duplicate(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def member(value: Column, name: str) -> Column:
-    """A member of a JSON object as VARIANT; null if there is no such member."""
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
-def kind(value: Column) -> Column:
-    """Null for an absent value, else STRING, NUMBER, BOOLEAN, VOID or NESTED."""
-    name = F.schema_of_variant(value)
+def kind_of(schema: Column) -> Column:
+    """The text of `schema_of_variant` as STRING, NUMBER, BOOLEAN, VOID or NESTED."""
     return (
-        F.when(name.isin("STRING", "BOOLEAN", "VOID"), name)
-        .when(name.startswith("OBJECT") | name.startswith("ARRAY"), F.lit("NESTED"))
-        .when(name.isNotNull(), F.lit("NUMBER"))
+        F.when(schema.isin("STRING", "BOOLEAN", "VOID"), schema)
+        .when(schema.startswith("OBJECT") | schema.startswith("ARRAY"), F.lit("NESTED"))
+        .when(schema.isNotNull(), F.lit("NUMBER"))
     )
 
 
-def is_falsy(value: Column) -> Column:
-    """Absent, null, empty text, the number zero and false; all else is truthy."""
-    of = kind(value)
-    return (
-        F.when(of.isNull() | (of == "VOID"), F.lit(True))
-        .when(of == "STRING", F.try_variant_get(value, "$", "string") == "")
-        .when(of == "NUMBER", F.try_variant_get(value, "$", "double") == 0)
-        .when(of == "BOOLEAN", ~F.try_variant_get(value, "$", "boolean"))
-        .otherwise(F.lit(False))
-    )
+def with_members(df: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
+    """Add `kind_<name>` and `text_<name>` for members of the VARIANT column `value`.
 
+    The kind is null for a member that is absent. The text is what a TEXT
+    column stores: booleans as 1 and 0, whole numbers undecorated, null for
+    anything that is not a single value. Each step is a projection of its own,
+    since a member is read several times in the next one and Catalyst keeps
+    such steps apart instead of repeating the work.
+    """
 
-def as_text(value: Column) -> Column:
-    """What a TEXT column stores: booleans as 1 and 0, whole numbers undecorated."""
-    of = kind(value)
-    number = F.try_variant_get(value, "$", "double")
-    whole = number.try_cast("bigint")
-    return (
-        F.when(of == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(
-            of == "BOOLEAN",
-            F.try_variant_get(value, "$", "boolean").cast("int").cast("string"),
+    def of(prefix: str, name: str) -> Column:
+        return F.col(f"{prefix}_{name}")
+
+    def number(name: str) -> Column:
+        is_number = of("kind", name) == "NUMBER"
+        return F.when(is_number, F.try_variant_get(of("member", name), "$", "double"))
+
+    def text(name: str) -> Column:
+        kind, member, double = of("kind", name), of("member", name), of("number", name)
+        whole = double.try_cast("bigint")
+        as_number = F.when(whole.cast("double") == double, whole.cast("string")).otherwise(
+            double.cast("string")
         )
-        .when(
-            of == "NUMBER",
-            F.when(whole.cast("double") == number, whole.cast("string")).otherwise(
-                number.cast("string")
-            ),
+        flag = F.try_variant_get(member, "$", "boolean").cast("int").cast("string")
+        return (
+            F.when(kind == "STRING", F.try_variant_get(member, "$", "string"))
+            .when(kind == "NUMBER", as_number)
+            .when(kind == "BOOLEAN", flag)
         )
-    )
+
+    steps = {
+        "member": lambda n: F.try_variant_get(F.col(value), f"$.{n}", "variant"),
+        "schema": lambda n: F.schema_of_variant(of("member", n)),
+        "kind": lambda n: kind_of(of("schema", n)),
+        "number": number,
+        "text": text,
+    }
+    added = df
+    for prefix, step in steps.items():
+        added = added.withColumns({f"{prefix}_{name}": step(name) for name in names})
+    return added.drop(*(f"{p}_{n}" for p in ("member", "schema", "number") for n in names))
+
+
+def is_falsy(kind: Column, text: Column) -> Column:
+    """Absent, null, empty text, the number zero and false; all else is truthy."""
+    empty = (kind == "STRING") & (text == "")
+    zero = kind.isin("NUMBER", "BOOLEAN") & (text == "0")
+    return F.coalesce(kind == "VOID", F.lit(True)) | F.coalesce(empty | zero, F.lit(False))
 
 
-def as_string_literal(value: Column) -> Column:
-    """The value if it is a JSON string, else null: for strict comparisons."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def string_only(kind: Column, text: Column) -> Column:
+    """The text if the member is a JSON string, else null: for strict comparisons."""
+    return F.when(kind == "STRING", text)
 
 
-def as_integer(value: Column) -> Column:
-    """What an INTEGER column stores for a number or numeric text, else null."""
-    text = as_text(value)
+def integer_text(text: Column) -> Column:
+    """What an INTEGER column stores for a numeric text, else null."""
     number = F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
     whole = number.try_cast("bigint")
     return F.when(text.rlike(INTEGER_TEXT), F.trim(text).try_cast("bigint")).when(

@@ -114,4 +114,4 @@ def query_string(values: Mapping[str, Column]) -> Column:
         F.concat(F.lit(key + "="), F.url_encode(F.nullif(value, F.lit(""))))
         for key, value in values.items()
     ]
-    return F.array_join(F.array_compact(F.array(*pairs)), "&")
+    return F.concat_ws("&", *pairs)

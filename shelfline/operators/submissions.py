@@ -38,8 +38,7 @@ ID_COLUMNS = ("category_id", "feature_id")
 
 def missing_required(falsy: Mapping[str, Column]) -> Column:
     """The names whose test is true, in order, joined by comma and blank."""
-    names = [F.when(test, F.lit(name)) for name, test in falsy.items()]
-    return F.array_join(F.array_compact(F.array(*names)), ", ")
+    return F.concat_ws(", ", *(F.when(test, F.lit(name)) for name, test in falsy.items()))
 
 
 def enum_error(checks: Sequence[tuple[Column, Sequence[str], str]]) -> Column:
@@ -65,52 +64,52 @@ def parse_bodies(submissions: DataFrame, body: str = "body") -> DataFrame:
     """
     json_values.keep_last_duplicate(submissions.sparkSession)
     parsed = submissions.withColumn("_v", F.try_parse_json(F.col(body)))
-    # Members are looked up once; the tests below read these columns.
-    parsed = parsed.withColumn(
-        "_m",
-        F.struct(*(json_values.member(F.col("_v"), n).alias(n) for n in schemas.SUBMITTED_COLUMNS)),
-    )
+    members = json_values.with_members(parsed, "_v", schemas.SUBMITTED_COLUMNS)
+
+    def kind(name: str) -> Column:
+        return F.col(f"kind_{name}")
 
-    def of(name: str) -> Column:
-        return F.col(f"_m.{name}")
+    def text(name: str) -> Column:
+        return F.col(f"text_{name}")
 
-    unreadable = F.col("_v").isNull() | (json_values.kind(F.col("_v")) == "VOID")
+    unreadable = F.coalesce(F.schema_of_variant("_v") == "VOID", F.lit(True))
     client_error = first_error(
-        missing_required({name: json_values.is_falsy(of(name)) for name in REQUIRED}),
+        missing_required({n: json_values.is_falsy(kind(n), text(n)) for n in REQUIRED}),
         enum_error(
-            [(json_values.as_string_literal(of(name)), words, text) for name, words, text in ENUMS]
+            [
+                (json_values.string_only(kind(name), text(name)), words, message)
+                for name, words, message in ENUMS
+            ]
         ),
     )
-    stored = {
-        name: json_values.as_integer(of(name))
-        if name in ID_COLUMNS
-        else json_values.as_text(of(name))
-        for name in schemas.SUBMITTED_COLUMNS
-    }
     nested = F.coalesce(
-        *(F.when(json_values.kind(of(name)) == "NESTED", F.lit(True)) for name in stored),
+        *(F.when(kind(n) == "NESTED", F.lit(True)) for n in schemas.SUBMITTED_COLUMNS),
         F.lit(False),
     )
-    no_id = stored["category_id"].isNull() | stored["feature_id"].isNull()
+    judged = members.select(
+        *submissions.columns,
+        unreadable.alias("_unreadable"),
+        client_error.alias("_client_error"),
+        nested.alias("_nested"),
+        *(
+            (json_values.integer_text(text(n)) if n in ID_COLUMNS else text(n)).alias(n)
+            for n in schemas.SUBMITTED_COLUMNS
+        ),
+    )
+    no_id = F.col("category_id").isNull() | F.col("feature_id").isNull()
     status = (
-        F.when(unreadable, F.lit(500))
+        F.when(F.col("_unreadable"), F.lit(500))
         .when(F.col("_client_error").isNotNull(), F.lit(400))
-        .when(nested | no_id, F.lit(500))
+        .when(F.col("_nested") | no_id, F.lit(500))
         .otherwise(F.lit(200))
     )
     error = F.when(F.col("status") == 400, F.col("_client_error")).when(
         F.col("status") == 500, F.lit(STORE_ERROR)
     )
     return (
-        parsed.withColumn("_client_error", client_error)
-        .withColumn("status", status)
+        judged.withColumn("status", status)
         .withColumn("error", error)
-        .select(
-            *submissions.columns,
-            "status",
-            "error",
-            *(value.alias(name) for name, value in stored.items()),
-        )
+        .select(*submissions.columns, "status", "error", *schemas.SUBMITTED_COLUMNS)
     )
 
 
