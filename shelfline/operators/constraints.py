@@ -24,15 +24,11 @@ def is_missing(column: str) -> Column:
     return F.col(column).isNull()
 
 
-def row_violations(rules: StorageRules) -> Column:
-    """The rules a row breaks on its own, as an array of texts."""
-    found = [
-        F.when(is_missing(name), F.lit(f"NOT NULL {name}")) for name in rules.not_null
-    ] + [
-        F.when(check_fails(name, values), F.lit(f"CHECK {name}"))
-        for name, values in rules.checks.items()
-    ]
-    return F.array_compact(F.array(F.lit(None).cast("string"), *found))
+def row_violations(rules: StorageRules) -> dict[str, Column]:
+    """The rules a row can break on its own, each with the test for breaking it."""
+    missing = {f"NOT NULL {name}": is_missing(name) for name in rules.not_null}
+    failed = {f"CHECK {name}": check_fails(name, words) for name, words in rules.checks.items()}
+    return {**missing, **failed}
 
 
 def duplicates(df: DataFrame, column: str, existing: DataFrame | None = None) -> DataFrame:
@@ -60,25 +56,22 @@ def orphans(df: DataFrame, column: str, parents: DataFrame, key: str) -> DataFra
     return present.join(known, F.col(column) == F.col("_parent_key"), "left_anti")
 
 
-def flag_orphans(
-    df: DataFrame,
-    foreign_keys: Sequence[ForeignKey],
-    parents: Mapping[str, DataFrame],
-    flag: str,
+def mark_orphans(
+    df: DataFrame, foreign_keys: Sequence[ForeignKey], parents: Mapping[str, DataFrame]
 ) -> DataFrame:
-    """Append the foreign keys each row breaks to the array column `flag`.
+    """Add `orphan_<column>` for each foreign key: true if its parent is missing.
 
-    One left join per key; parents must be unique on their key.
+    One left join per key; parents must be unique on their key. A parent table
+    is broadcast if its measured size allows it; otherwise both sides shuffle
+    and adaptive execution splits the frequent keys, nulls included.
     """
     for fk in foreign_keys:
         known = parents[fk.references].select(
             F.col(fk.key).alias("_parent_key"), F.lit(True).alias("_known")
         )
         broken = F.col(fk.column).isNotNull() & F.col("_known").isNull()
-        note = F.array_compact(F.array(F.when(broken, F.lit(f"FOREIGN KEY {fk.column}"))))
         df = df.join(known, F.col(fk.column) == F.col("_parent_key"), "left").select(
-            *(name for name in df.columns if name != flag),
-            F.concat(F.col(flag), note).alias(flag),
+            *df.columns, broken.alias(f"orphan_{fk.column}")
         )
     return df
 
@@ -94,19 +87,19 @@ def enforce(
     For a table that must load as a whole. The row rules and foreign keys take
     one pass together, each unique column one more.
     """
-    flagged = df.withColumn("_broken", row_violations(rules))
-    flagged = flag_orphans(flagged, rules.foreign_keys, parents or {}, "_broken")
-    counts = flagged.select(F.explode("_broken").alias("rule")).groupBy("rule").count()
-    # One row per declared rule at most.
-    broken = {row["rule"]: row["count"] for row in counts.collect()}
-    keys = [f"UNIQUE {name}" for name in rules.unique]
+    tests = row_violations(rules)
+    for fk in rules.foreign_keys:
+        tests[f"FOREIGN KEY {fk.column}"] = F.col(f"orphan_{fk.column}")
+    counts = {}
+    if tests:
+        marked = mark_orphans(df, rules.foreign_keys, parents or {})
+        row = marked.agg(*(F.count_if(test).alias(rule) for rule, test in tests.items()))
+        counts = row.head().asDict()
+    unique = {f"UNIQUE {name}": name for name in rules.unique}
     if rules.primary_key in df.columns:
-        keys.append(f"PRIMARY KEY {rules.primary_key}")
-    for rule in keys:
-        column = rule.rsplit(" ", 1)[1]
-        count = duplicates(df, column, existing).count()
-        if count:
-            broken[rule] = count
+        unique[f"PRIMARY KEY {rules.primary_key}"] = rules.primary_key
+    for rule, column in unique.items():
+        counts[rule] = duplicates(df, column, existing).count()
+    broken = [f"{rule}: {count}" for rule, count in sorted(counts.items()) if count]
     if broken:
-        listed = ", ".join(f"{rule}: {count}" for rule, count in sorted(broken.items()))
-        raise ConstraintViolation(listed)
+        raise ConstraintViolation(", ".join(broken))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfline import schemas
 from shelfline.functions import json_values
-from shelfline.operators.constraints import flag_orphans
+from shelfline.operators.constraints import mark_orphans
 
 # Required fields in reporting order, then the enumerated fields
 # in checking order with their error texts.
@@ -73,14 +73,12 @@ def parse_bodies(submissions: DataFrame, body: str = "body") -> DataFrame:
         return F.col(f"text_{name}")
 
     unreadable = F.coalesce(F.schema_of_variant("_v") == "VOID", F.lit(True))
-    client_error = first_error(
-        missing_required({n: json_values.is_falsy(kind(n), text(n)) for n in REQUIRED}),
-        enum_error(
-            [
-                (json_values.string_only(kind(name), text(name)), words, message)
-                for name, words, message in ENUMS
-            ]
-        ),
+    missing = missing_required({n: json_values.is_falsy(kind(n), text(n)) for n in REQUIRED})
+    invalid = enum_error(
+        [
+            (json_values.string_only(kind(name), text(name)), words, message)
+            for name, words, message in ENUMS
+        ]
     )
     nested = F.coalesce(
         *(F.when(kind(n) == "NESTED", F.lit(True)) for n in schemas.SUBMITTED_COLUMNS),
@@ -89,13 +87,15 @@ def parse_bodies(submissions: DataFrame, body: str = "body") -> DataFrame:
     judged = members.select(
         *submissions.columns,
         unreadable.alias("_unreadable"),
-        client_error.alias("_client_error"),
+        missing.alias("_missing"),
+        invalid.alias("_invalid"),
         nested.alias("_nested"),
         *(
             (json_values.integer_text(text(n)) if n in ID_COLUMNS else text(n)).alias(n)
             for n in schemas.SUBMITTED_COLUMNS
         ),
     )
+    client_error = first_error(F.col("_missing"), F.col("_invalid"))
     no_id = F.col("category_id").isNull() | F.col("feature_id").isNull()
     status = (
         F.when(F.col("_unreadable"), F.lit(500))
@@ -107,7 +107,8 @@ def parse_bodies(submissions: DataFrame, body: str = "body") -> DataFrame:
         F.col("status") == 500, F.lit(STORE_ERROR)
     )
     return (
-        judged.withColumn("status", status)
+        judged.withColumn("_client_error", client_error)
+        .withColumn("status", status)
         .withColumn("error", error)
         .select(*submissions.columns, "status", "error", *schemas.SUBMITTED_COLUMNS)
     )
@@ -118,19 +119,19 @@ def validate_submissions(
 ) -> DataFrame:
     """`parse_bodies`, plus the foreign keys: an unknown parent is a failed insert."""
     parsed = parse_bodies(submissions)
-    checked = flag_orphans(
-        parsed.withColumn("_broken", F.array().cast("array<string>")),
+    checked = mark_orphans(
+        parsed,
         schemas.PRACTICE_RULES.foreign_keys,
         {"categories": categories, "features": features},
-        "_broken",
     )
-    failed = (F.col("status") == 200) & (F.size("_broken") > 0)
+    orphan = F.col("orphan_category_id") | F.col("orphan_feature_id")
+    failed = (F.col("status") == 200) & orphan
     return checked.withColumns(
         {
             "status": F.when(failed, F.lit(500)).otherwise(F.col("status")),
             "error": F.when(failed, F.lit(STORE_ERROR)).otherwise(F.col("error")),
         }
-    ).drop("_broken")
+    ).drop("orphan_category_id", "orphan_feature_id")
 
 
 def split_outcome(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
