@@ -312,7 +312,7 @@ def _read_json(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "bodies")
     _table(spark, d, "events").select(F.col("props").alias("value")).write.text(path)
     bodies = read_submissions(spark, path)
-    parsed = bodies.withColumn("_v", F.try_parse_json(F.col("body")))
+    parsed = json_values.with_json(bodies, "body", "_v")
     members = json_values.with_members(parsed, "_v", ["k"])
     return members.select("body", json_values.integer_text(F.col("text_k")).alias("k"))
 

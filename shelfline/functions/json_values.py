@@ -17,6 +17,24 @@ def keep_last_duplicate(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def with_json(df: DataFrame, body: str, value: str) -> DataFrame:
+    """Parse the text column `body` into the VARIANT column `value`.
+
+    Null unless the text is exactly one JSON value. Spark's parser ignores what
+    follows the first value, so the text is parsed as the only element of an
+    array. A text that closes that array itself holds a bracket; it must also
+    parse as the only member of an object.
+    """
+    text = F.col(body)
+    inside = df.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.try_variant_get(F.col("_list"), "$[1]", "variant").isNull() & F.when(
+        F.contains(text, F.lit("]")), as_member.isNotNull()
+    ).otherwise(F.lit(True))
+    first = F.try_variant_get(F.col("_list"), "$[0]", "variant")
+    return inside.withColumn(value, F.when(alone, first)).drop("_list")
+
+
 def kind_of(schema: Column) -> Column:
     """The text of `schema_of_variant` as STRING, NUMBER, BOOLEAN, VOID or NESTED."""
     return (

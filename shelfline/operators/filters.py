@@ -1,4 +1,8 @@
-"""The six optional search criteria as predicates over a fact table."""
+"""The six optional search criteria as predicates over a fact table.
+
+The predicates are meant for `where`: null stands for "not met", as in SQL. Over
+literals they fold to plain comparisons, which reach the parquet scan.
+"""
 
 from __future__ import annotations
 
@@ -72,15 +76,13 @@ def by_id(column: str, raw: str | Column) -> Column:
     An integer beyond 64 bits is a restriction that no row meets.
     """
     digits = int_prefix(_column(raw))
-    equal = F.col(column) == digits.try_cast("bigint")
-    return digits.isNull() | F.coalesce(equal, F.lit(False))
+    return digits.isNull() | (F.col(column) == digits.try_cast("bigint"))
 
 
 def by_enum(column: str, raw: str | Column, values: Sequence[str]) -> Column:
     """Equal to `raw`, which is ignored unless it is one of the values."""
     raw = _column(raw)
-    equal = F.coalesce(F.col(column) == raw, F.lit(False))
-    return ~allowed(raw, values) | equal
+    return ~allowed(raw, values) | (F.col(column) == raw)
 
 
 def all_of(predicates: Iterable[Column]) -> Column:

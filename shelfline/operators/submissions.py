@@ -63,7 +63,7 @@ def parse_bodies(submissions: DataFrame, body: str = "body") -> DataFrame:
     as JSON or could not be stored.
     """
     json_values.keep_last_duplicate(submissions.sparkSession)
-    parsed = submissions.withColumn("_v", F.try_parse_json(F.col(body)))
+    parsed = json_values.with_json(submissions, body, "_v")
     members = json_values.with_members(parsed, "_v", schemas.SUBMITTED_COLUMNS)
 
     def kind(name: str) -> Column:

@@ -1,0 +1,102 @@
+import json
+
+import pytest
+
+from shelfline.operators.submissions import validate_submissions
+from shelfline.schemas import SUBMITTED_COLUMNS
+
+GOOD = {
+    "title": "t",
+    "description": "d",
+    "domain": "Security",
+    "category_id": "3",
+    "feature_id": 10,
+    "recommendation_level": "Mandatory",
+    "impact_level": "High",
+    "difficulty_level": "Easy",
+    "prerequisites": None,
+    "expressions_configuration_details": None,
+    "source_reference": "s",
+    "notes": None,
+}
+ALL_MISSING = (
+    "Missing required fields: title, description, domain, recommendation_level, "
+    "impact_level, category_id, feature_id, difficulty_level, source_reference"
+)
+FAILED = "Failed to create practice"
+
+
+def body(_without=(), **changes):
+    return json.dumps({k: v for k, v in {**GOOD, **changes}.items() if k not in _without})
+
+
+CASES = {
+    "complete": (body(), 200, None),
+    "numeric id": (body(category_id=3), 200, None),
+    "decimal id": (body(category_id=3.0, feature_id="10.0"), 200, None),
+    "optional omitted": (body(_without=("prerequisites", "notes")), 200, None),
+    "title absent": (body(_without=("title",)), 400, "Missing required fields: title"),
+    "title null": (body(title=None), 400, "Missing required fields: title"),
+    "title empty": (body(title=""), 400, "Missing required fields: title"),
+    "title false": (body(title=False), 400, "Missing required fields: title"),
+    "title zero": (body(title=0.0), 400, "Missing required fields: title"),
+    "two missing": (body(title="", domain=None), 400, "Missing required fields: title, domain"),
+    "id zero": (body(category_id=0), 400, "Missing required fields: category_id"),
+    "id zero text": (body(category_id="0"), 500, FAILED),
+    "list domain": (body(domain=[]), 400, "Invalid domain value"),
+    "number domain": (body(domain=1), 400, "Invalid domain value"),
+    "lower-case domain": (body(domain="security"), 400, "Invalid domain value"),
+    "two invalid": (body(domain="x", impact_level="x"), 400, "Invalid domain value"),
+    "level": (body(recommendation_level="x"), 400, "Invalid recommendation level"),
+    "impact": (body(impact_level="high"), 400, "Invalid impact level"),
+    "difficulty": (body(difficulty_level="Bogus"), 400, "Invalid difficulty level"),
+    "missing first": (body(title="", domain="x"), 400, "Missing required fields: title"),
+    "unknown parent": (body(feature_id=99), 500, FAILED),
+    "text id": (body(category_id="x"), 500, FAILED),
+    "fraction id": (body(category_id=3.5), 500, FAILED),
+    "huge id": (body(category_id="99999999999999999999"), 500, FAILED),
+    "nested title": (body(title={"a": 1}), 500, FAILED),
+    "null": ("null", 500, FAILED),
+    "not json": ("{title", 500, FAILED),
+    "empty": ("", 500, FAILED),
+    "no body": (None, 500, FAILED),
+    "list": ("[]", 400, ALL_MISSING),
+    "number": ("1", 400, ALL_MISSING),
+    "text": ('"title"', 400, ALL_MISSING),
+    "last duplicate wins": (body()[:-1] + ', "title": ""}', 400, "Missing required fields: title"),
+    "trailing text": (body() + " x", 500, FAILED),
+    "trailing value": (body() + ", {}", 500, FAILED),
+    "trailing bracket": (body() + "] {}", 500, FAILED),
+    "trailing brace": (body() + '} {"v":1}', 500, FAILED),
+    "bracket in a text": (body(title="[x]"), 200, None),
+    "surrounding space": ("\n " + body() + " \n", 200, None),
+}
+
+
+@pytest.fixture(scope="module")
+def judged(spark, categories, features):
+    rows = [(i, text) for i, (text, _, _) in enumerate(CASES.values())]
+    frame = spark.createDataFrame(rows, "submission_id bigint, body string")
+    result = validate_submissions(frame, categories, features).collect()
+    return {row["submission_id"]: row for row in result}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_verdict(judged, name):
+    _, status, error = CASES[name]
+    row = judged[list(CASES).index(name)]
+    assert (row["status"], row["error"]) == (status, error)
+
+
+def test_stored_values(judged):
+    row = judged[list(CASES).index("decimal id")]
+    stored = {name: row[name] for name in SUBMITTED_COLUMNS}
+    assert stored == {**GOOD, "category_id": 3, "feature_id": 10}
+
+
+def test_text_of_numbers_and_flags(spark, categories, features):
+    text = body(title=5, description=2.5, prerequisites=True, notes=False)
+    frame = spark.createDataFrame([(1, text)], "submission_id bigint, body string")
+    row = validate_submissions(frame, categories, features).head()
+    kept = (row["title"], row["description"], row["prerequisites"], row["notes"])
+    assert (row["status"], *kept) == (200, "5", "2.5", "1", "0")
