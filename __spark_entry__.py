@@ -27,7 +27,7 @@ from shelfline.operators.submissions import (
     validate_submissions,
 )
 from shelfline.plans.catalog import Catalog
-from shelfline.plans.ingest import bulk_load, ingest_submissions
+from shelfline.plans.ingest import bulk_load, ingest_submissions, load_tables
 from shelfline.session import configure, shared_folder
 from shelfline.sources.tables import (
     append_rows,
@@ -474,17 +474,20 @@ def _recreate_table(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, path, orders.schema)
 
 
-def _new_catalog(spark: SparkSession, d: str) -> Catalog:
-    catalog = Catalog(shared_folder(spark, "catalog"))
-    documents = _table(spark, d, "documents")
-    practices = documents.select(
+def _practices(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(
         F.col("text").alias("title"),
         F.col("source").alias("description"),
         F.lit("General").alias("domain"),
         F.lit(1).cast("bigint").alias("category_id"),
         F.col("doc_id"),
     )
-    bulk_load(catalog, _categories(spark, d), _features(spark, d), practices, ("doc_id",))
+
+
+def _new_catalog(spark: SparkSession, d: str) -> Catalog:
+    catalog = Catalog(shared_folder(spark, "catalog"))
+    categories, features = _categories(spark, d), _features(spark, d)
+    bulk_load(catalog, categories, features, _practices(spark, d), ("doc_id",))
     return catalog
 
 
@@ -498,6 +501,17 @@ def _bulk_load(spark: SparkSession, d: str) -> DataFrame:
     return _new_catalog(spark, d).practices(spark).select(*STORED)
 
 
+def _load_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The same from JSON files; ids follow the order of the rows in the files."""
+    folder = shared_folder(spark, "seed")
+    write_rows_json(_categories(spark, d), f"{folder}/categories")
+    write_rows_json(_features(spark, d), f"{folder}/features")
+    write_rows_json(_practices(spark, d).orderBy("doc_id"), f"{folder}/practices")
+    catalog = Catalog(shared_folder(spark, "catalog"))
+    load_tables(spark, folder, catalog, "json", {"categories": ("display_order",)})
+    return catalog.practices(spark).select(*STORED)
+
+
 def _ingest_submissions(spark: SparkSession, d: str) -> DataFrame:
     catalog = _new_catalog(spark, d)
     ingest_submissions(_bodies(spark, d), catalog)
@@ -632,6 +646,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "append_defaults": _append_defaults,
         "recreate_table": _recreate_table,
         "bulk_load": _bulk_load,
+        "load_tables": _load_tables,
         "ingest_submissions": _ingest_submissions,
         "stream_submissions": _stream_submissions,
         "stream_append": _stream_append,
@@ -864,6 +879,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE lang = 'en'""",
         "recreate_table": "SELECT * FROM orders",
         "bulk_load": loaded,
+        "load_tables": loaded,
         "ingest_submissions": ingested,
         "stream_submissions": ingested,
         "stream_append": """

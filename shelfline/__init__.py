@@ -6,15 +6,23 @@ from shelfline.plans.catalog import (
     search_practices,
     search_practices_batch,
 )
-from shelfline.plans.ingest import bulk_load, create_catalog, ingest_submissions
+from shelfline.plans.ingest import (
+    append_practices,
+    bulk_load,
+    create_catalog,
+    ingest_submissions,
+    load_tables,
+)
 from shelfline.streaming.submissions import stream_submissions
 
 __all__ = [
+    "append_practices",
     "bulk_load",
     "create_catalog",
     "ingest_submissions",
     "list_categories",
     "list_features",
+    "load_tables",
     "search_practices",
     "search_practices_batch",
     "stream_submissions",

@@ -8,6 +8,8 @@ those of earlier batches only. There must be one writer at a time.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from shelfline.operators.constraints import enforce
 from shelfline.operators.identifiers import assign_ids, fill_omitted, now
 from shelfline.operators.submissions import split_outcome, validate_submissions
 from shelfline.plans.catalog import Catalog
-from shelfline.sources.tables import read_table, recreate_table
+from shelfline.sources.tables import in_file_order, read_table, recreate_table, without
 
 # The selective enumerated column: a search for one area reads its folders only.
 PARTITION_BY = ("domain",)
@@ -85,7 +87,7 @@ def bulk_load(
     categories: DataFrame,
     features: DataFrame,
     practices: DataFrame,
-    order_by: tuple[str, ...],
+    order_by: Sequence[str],
     clock: str | None = None,
 ) -> None:
     """Recreate a catalog from whole tables, or raise and load none of a table.
@@ -123,6 +125,63 @@ def bulk_load(
     _store_practices(complete, catalog, 0, 0)
 
 
+def load_tables(
+    spark: SparkSession,
+    folder: str,
+    catalog: Catalog,
+    fmt: str = "parquet",
+    omitted: Mapping[str, Sequence[str]] | None = None,
+    clock: str | None = None,
+) -> None:
+    """Bulk load a catalog from `folder`/categories, /features and /practices.
+
+    `omitted` names columns that the files of a table do not have, so that
+    defaults apply to them. Practices are numbered in file order.
+    """
+    omitted = {"practices": ("practice_id", "created_at", "updated_at"), **(omitted or {})}
+    frames = {
+        table: read_table(
+            spark, f"{folder}/{table}", without(schema, *omitted.get(table, ())), fmt
+        )
+        for table, schema in (
+            ("categories", schemas.CATEGORIES),
+            ("features", schemas.FEATURES),
+            ("practices", schemas.PRACTICES),
+        )
+    }
+    practices, order = in_file_order(frames["practices"])
+    bulk_load(catalog, frames["categories"], frames["features"], practices, order, clock)
+
+
+def append_practices(
+    practices: DataFrame,
+    catalog: Catalog,
+    order_by: Sequence[str],
+    batch: int | None = None,
+    clock: str | None = None,
+) -> int:
+    """Append rows of the twelve submitted columns, or raise and append none.
+
+    Ids and timestamps are generated. Returns the batch number.
+    """
+    spark = practices.sparkSession
+    batch = _next_batch(spark, catalog) if batch is None else batch
+    parents = {"categories": catalog.categories(spark), "features": catalog.features(spark)}
+    enforce(practices, schemas.PRACTICE_RULES, parents)
+    _append(practices, catalog, order_by, batch, clock)
+    return batch
+
+
+def _append(
+    practices: DataFrame, catalog: Catalog, order_by: Sequence[str], batch: int, clock: str | None
+) -> None:
+    last_id = _last_id_before(practices.sparkSession, catalog, batch)
+    numbered = assign_ids(practices, "practice_id", order_by, last_id)
+    time = F.lit(clock).cast("timestamp") if clock else now()
+    complete = fill_omitted(numbered, {"created_at": time, "updated_at": time})
+    _store_practices(complete, catalog, batch, last_id)
+
+
 def ingest_submissions(
     submissions: DataFrame,
     catalog: Catalog,
@@ -136,23 +195,14 @@ def ingest_submissions(
     sees every row stored before it began. Returns the batch number.
     """
     spark = submissions.sparkSession
-    if batch is None:
-        batch = _next_batch(spark, catalog)
-    last_id = _last_id_before(spark, catalog, batch)
+    batch = _next_batch(spark, catalog) if batch is None else batch
     validated = validate_submissions(
         submissions, catalog.categories(spark), catalog.features(spark)
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         accepted, rejected = split_outcome(validated)
         recreate_table(rejected, _batch_path(catalog, "rejected", batch))
-        time = F.lit(clock).cast("timestamp") if clock else now()
-        numbered = assign_ids(accepted, "practice_id", ["submission_id"], last_id)
-        _store_practices(
-            fill_omitted(numbered, {"created_at": time, "updated_at": time}),
-            catalog,
-            batch,
-            last_id,
-        )
+        _append(accepted, catalog, ["submission_id"], batch, clock)
     finally:
         validated.unpersist()
     return batch

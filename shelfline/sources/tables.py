@@ -25,6 +25,20 @@ def read_table(
     return spark.read.schema(schema).format(fmt).options(**options).load(path)
 
 
+def in_file_order(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """Add columns that order rows as they lie in the files, and name them.
+
+    Files come in the order of their paths. Only the order of the values means
+    anything, and it is the same however the files are split into tasks.
+    """
+    order = {
+        "_file": F.col("_metadata.file_path"),
+        "_block": F.col("_metadata.file_block_start"),
+        "_place": F.monotonically_increasing_id(),
+    }
+    return df.select("*", *(value.alias(name) for name, value in order.items())), tuple(order)
+
+
 def without(schema: T.StructType, *names: str) -> T.StructType:
     """The schema of files that omit some columns."""
     return T.StructType([field for field in schema if field.name not in names])

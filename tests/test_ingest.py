@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from shelfline import schemas
 from shelfline.operators.constraints import ConstraintViolation
 from shelfline.plans.catalog import Catalog, search_practices
-from shelfline.plans.ingest import bulk_load, create_catalog, ingest_submissions
+from shelfline.plans.ingest import (
+    append_practices,
+    bulk_load,
+    create_catalog,
+    ingest_submissions,
+    load_tables,
+)
 from shelfline.sources.tables import (
     combine_shapes,
     read_submissions,
@@ -79,6 +85,29 @@ def test_bulk_load_keeps_given_ids(spark, tmp_path, categories, features, practi
     assert [row[0] for row in stored(spark, target)] == [10, 20, 21, 22, 23]
 
 
+def test_load_tables_numbers_rows_in_file_order(spark, tmp_path, categories, features):
+    seed = tmp_path / "seed"
+    (seed / "practices").mkdir(parents=True)
+    write_rows_json(categories.drop("display_order"), str(seed / "categories"))
+    write_rows_json(features, str(seed / "features"))
+    for name, titles in (("b", "zy"), ("a", "xwv")):
+        rows = [{"title": t, "description": "d", "domain": "General"} for t in titles]
+        (seed / "practices" / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
+    target = Catalog(str(tmp_path / "target"))
+    load_tables(spark, str(seed), target, "json", {"categories": ("display_order",)})
+    assert stored(spark, target) == list(enumerate("xwvzy", 1))
+    assert {r["display_order"] for r in target.categories(spark).collect()} == {0}
+
+
+def test_append_practices(spark, catalog, practices):
+    rows = practices.select("practice_id", *schemas.SUBMITTED_COLUMNS)
+    given = rows.withColumnRenamed("practice_id", "seq")
+    with pytest.raises(ConstraintViolation, match="FOREIGN KEY category_id: 1"):
+        append_practices(given, catalog, ["seq"])
+    append_practices(given.where("seq <= 2"), catalog, ["seq"])
+    assert stored(spark, catalog)[5:] == [(6, "Rotate keys"), (7, "Cache assets")]
+
+
 def test_ingest_appends_and_quarantines(spark, catalog):
     assert ingest_submissions(submissions(spark), catalog, clock=CLOCK) == 1
     assert stored(spark, catalog)[5:] == [(6, "one"), (7, "five")]
