@@ -71,14 +71,16 @@ def _store_practices(
 def create_catalog(spark: SparkSession, root: str) -> Catalog:
     """Drop the tables below `root` if they exist and create empty ones."""
     catalog = Catalog(root)
+    for table, schema in (("categories", schemas.CATEGORIES), ("features", schemas.FEATURES)):
+        recreate_table(spark.createDataFrame([], schema), catalog.path(table))
     for table, schema in (
-        ("categories", schemas.CATEGORIES),
-        ("features", schemas.FEATURES),
         ("practices", schemas.PRACTICES),
         ("rejected", schemas.REJECTED),
         ("last_ids", LAST_IDS),
     ):
-        recreate_table(spark.createDataFrame([], schema), catalog.path(table))
+        in_batches = T.StructType([*schema, T.StructField("batch", T.LongType())])
+        empty = spark.createDataFrame([], in_batches)
+        recreate_table(empty, catalog.path(table), ["batch"])
     return catalog
 
 

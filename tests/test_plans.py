@@ -38,6 +38,18 @@ def test_search_filters_below_the_joins(spark):
     assert "RLIKE(text" in text and "regexp_replace" not in text
 
 
+def test_area_search_reads_one_folder(spark):
+    from shelfline.plans.catalog import search_practices
+
+    catalog = entry._new_catalog(spark, SF_DIR)
+    tables = (catalog.practices(spark), catalog.categories(spark), catalog.features(spark))
+    listing = search_practices(*tables, area="General", category_id="1", search="the")
+    scan = listing._jdf.queryExecution().executedPlan().collectLeaves().apply(0).toString()
+    assert "PartitionFilters: [isnotnull(domain" in scan
+    assert "PushedFilters: [IsNotNull(category_id), EqualTo(category_id,1)]" in scan
+    assert listing.count() > 0
+
+
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_no_python_no_cross_join_no_global_window(spark, name):
     if name in ("bulk_load", "load_tables", "ingest_submissions", "stream_submissions"):
