@@ -314,7 +314,7 @@ def _read_json(spark: SparkSession, d: str) -> DataFrame:
     bodies = read_submissions(spark, path)
     parsed = json_values.with_json(bodies, "body", "_v")
     members = json_values.with_members(parsed, "_v", ["k"])
-    return members.select("body", json_values.integer_text(F.col("text_k")).alias("k"))
+    return members.select("body", json_values.integer_text("k").alias("k"))
 
 
 def _url_params(spark: SparkSession, d: str) -> DataFrame:

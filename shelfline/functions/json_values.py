@@ -35,13 +35,28 @@ def with_json(df: DataFrame, body: str, value: str) -> DataFrame:
     return inside.withColumn(value, F.when(alone, first)).drop("_list")
 
 
-def kind_of(schema: Column) -> Column:
-    """The text of `schema_of_variant` as STRING, NUMBER, BOOLEAN, VOID or NESTED."""
-    return (
-        F.when(schema.isin("STRING", "BOOLEAN", "VOID"), schema)
-        .when(schema.startswith("OBJECT") | schema.startswith("ARRAY"), F.lit("NESTED"))
-        .when(schema.isNotNull(), F.lit("NUMBER"))
-    )
+# One projection per step, over the columns of the steps before. The kind of a
+# member is STRING, NUMBER, BOOLEAN, VOID or NESTED. SQL text instead of chained
+# calls: a plan over many members is built in a fraction of the time.
+_STEPS = {
+    "member": "try_variant_get({value}, '$.{name}', 'variant')",
+    "schema": "schema_of_variant(member_{name})",
+    "kind": """
+        CASE WHEN schema_{name} IN ('STRING', 'BOOLEAN', 'VOID') THEN schema_{name}
+            WHEN startswith(schema_{name}, 'OBJECT') THEN 'NESTED'
+            WHEN startswith(schema_{name}, 'ARRAY') THEN 'NESTED'
+            WHEN schema_{name} IS NOT NULL THEN 'NUMBER' END""",
+    "number": """
+        CASE WHEN kind_{name} = 'NUMBER' THEN try_variant_get(member_{name}, '$', 'double') END""",
+    "text": """
+        CASE kind_{name}
+            WHEN 'STRING' THEN try_variant_get(member_{name}, '$', 'string')
+            WHEN 'BOOLEAN' THEN string(int(try_variant_get(member_{name}, '$', 'boolean')))
+            WHEN 'NUMBER' THEN
+                CASE WHEN double(try_cast(number_{name} AS bigint)) = number_{name}
+                    THEN string(try_cast(number_{name} AS bigint))
+                    ELSE string(number_{name}) END END""",
+}
 
 
 def with_members(df: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
@@ -53,56 +68,35 @@ def with_members(df: DataFrame, value: str, names: Sequence[str]) -> DataFrame:
     since a member is read several times in the next one and Catalyst keeps
     such steps apart instead of repeating the work.
     """
-
-    def of(prefix: str, name: str) -> Column:
-        return F.col(f"{prefix}_{name}")
-
-    def number(name: str) -> Column:
-        is_number = of("kind", name) == "NUMBER"
-        return F.when(is_number, F.try_variant_get(of("member", name), "$", "double"))
-
-    def text(name: str) -> Column:
-        kind, member, double = of("kind", name), of("member", name), of("number", name)
-        whole = double.try_cast("bigint")
-        as_number = F.when(whole.cast("double") == double, whole.cast("string")).otherwise(
-            double.cast("string")
-        )
-        flag = F.try_variant_get(member, "$", "boolean").cast("int").cast("string")
-        return (
-            F.when(kind == "STRING", F.try_variant_get(member, "$", "string"))
-            .when(kind == "NUMBER", as_number)
-            .when(kind == "BOOLEAN", flag)
-        )
-
-    steps = {
-        "member": lambda n: F.try_variant_get(F.col(value), f"$.{n}", "variant"),
-        "schema": lambda n: F.schema_of_variant(of("member", n)),
-        "kind": lambda n: kind_of(of("schema", n)),
-        "number": number,
-        "text": text,
-    }
     added = df
-    for prefix, step in steps.items():
-        added = added.withColumns({f"{prefix}_{name}": step(name) for name in names})
-    return added.drop(*(f"{p}_{n}" for p in ("member", "schema", "number") for n in names))
+    for step, sql in _STEPS.items():
+        added = added.withColumns(
+            {f"{step}_{name}": F.expr(sql.format(value=value, name=name)) for name in names}
+        )
+    return added.drop(*(f"{step}_{n}" for step in ("member", "schema", "number") for n in names))
 
 
-def is_falsy(kind: Column, text: Column) -> Column:
+def is_falsy(name: str) -> Column:
     """Absent, null, empty text, the number zero and false; all else is truthy."""
-    empty = (kind == "STRING") & (text == "")
-    zero = kind.isin("NUMBER", "BOOLEAN") & (text == "0")
-    return F.coalesce(kind == "VOID", F.lit(True)) | F.coalesce(empty | zero, F.lit(False))
+    return F.expr(
+        f"""kind_{name} IS NULL OR kind_{name} = 'VOID'
+            OR (kind_{name} = 'STRING' AND text_{name} = '')
+            OR (kind_{name} IN ('NUMBER', 'BOOLEAN') AND text_{name} = '0')"""
+    )
 
 
-def string_only(kind: Column, text: Column) -> Column:
+def string_only(name: str) -> Column:
     """The text if the member is a JSON string, else null: for strict comparisons."""
-    return F.when(kind == "STRING", text)
+    return F.expr(f"CASE WHEN kind_{name} = 'STRING' THEN text_{name} END")
 
 
-def integer_text(text: Column) -> Column:
+def integer_text(name: str) -> Column:
     """What an INTEGER column stores for a numeric text, else null."""
-    number = F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
-    whole = number.try_cast("bigint")
-    return F.when(text.rlike(INTEGER_TEXT), F.trim(text).try_cast("bigint")).when(
-        whole.cast("double") == number, whole
+    return F.expr(
+        f"""CASE WHEN text_{name} RLIKE r'{INTEGER_TEXT}'
+                THEN try_cast(trim(text_{name}) AS bigint)
+            WHEN text_{name} RLIKE r'{DECIMAL_TEXT}' AND
+                double(try_cast(try_cast(text_{name} AS double) AS bigint))
+                    = try_cast(text_{name} AS double)
+                THEN try_cast(try_cast(text_{name} AS double) AS bigint) END"""
     )

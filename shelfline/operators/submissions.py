@@ -66,24 +66,13 @@ def parse_bodies(submissions: DataFrame, body: str = "body") -> DataFrame:
     parsed = json_values.with_json(submissions, body, "_v")
     members = json_values.with_members(parsed, "_v", schemas.SUBMITTED_COLUMNS)
 
-    def kind(name: str) -> Column:
-        return F.col(f"kind_{name}")
-
-    def text(name: str) -> Column:
-        return F.col(f"text_{name}")
-
     unreadable = F.coalesce(F.schema_of_variant("_v") == "VOID", F.lit(True))
-    missing = missing_required({n: json_values.is_falsy(kind(n), text(n)) for n in REQUIRED})
+    missing = missing_required({name: json_values.is_falsy(name) for name in REQUIRED})
     invalid = enum_error(
-        [
-            (json_values.string_only(kind(name), text(name)), words, message)
-            for name, words, message in ENUMS
-        ]
-    )
-    nested = F.coalesce(
-        *(F.when(kind(n) == "NESTED", F.lit(True)) for n in schemas.SUBMITTED_COLUMNS),
-        F.lit(False),
+        [(json_values.string_only(name), words, message) for name, words, message in ENUMS]
     )
+    kinds = F.array(*(F.col(f"kind_{name}") for name in schemas.SUBMITTED_COLUMNS))
+    nested = F.coalesce(F.array_contains(kinds, "NESTED"), F.lit(False))
     judged = members.select(
         *submissions.columns,
         unreadable.alias("_unreadable"),
@@ -91,7 +80,7 @@ def parse_bodies(submissions: DataFrame, body: str = "body") -> DataFrame:
         invalid.alias("_invalid"),
         nested.alias("_nested"),
         *(
-            (json_values.integer_text(text(n)) if n in ID_COLUMNS else text(n)).alias(n)
+            (json_values.integer_text(n) if n in ID_COLUMNS else F.col(f"text_{n}")).alias(n)
             for n in schemas.SUBMITTED_COLUMNS
         ),
     )
