@@ -36,7 +36,8 @@ def assign_ids(
         ),
         "ids",
     )
-    sizes = sorted((row["_part"], row["count"]) for row in placed.groupBy("_part").count().collect())
+    counts = placed.groupBy("_part").count().collect()
+    sizes = sorted((row["_part"], row["count"]) for row in counts)
     firsts = accumulate((size for _, size in sizes), initial=start + 1)
     offsets = df.sparkSession.createDataFrame(
         [(part, first) for (part, _), first in zip(sizes, firsts)],

@@ -21,7 +21,8 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize(
-    "text, folded", [("AZaz", "azaz"), ("ÀÉZ", "ÀÉz"), ("\u212aK", "\u212ak"), ("", ""), (None, None)]
+    "text, folded",
+    [("AZaz", "azaz"), ("ÀÉZ", "ÀÉz"), ("\u212aK", "\u212ak"), ("", ""), (None, None)],
 )
 def test_ascii_fold(spark, text, folded):
     assert one(spark, ascii_fold(F.lit(text).cast("string"))) == folded
