@@ -45,6 +45,13 @@ from shelfline.streaming.submissions import (
     stream_submissions,
 )
 
+# The training-data operators can be left out; nothing else depends on them.
+try:
+    import corpus_pipeline
+    from shelfline.llm import queries as training_data
+except ImportError:
+    corpus_pipeline = training_data = None
+
 ENTRY_DIR = "/root/testdata/sf0.001"
 
 # --- the test tables in the roles of the catalog ---------------------------
@@ -655,7 +662,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_batch_grams": _search_batch_grams,
         "search_batch_urls": _search_batch_urls,
     }
-    return {name: _configured(query) for name, query in found.items()}
+    configured = {name: _configured(query) for name, query in found.items()}
+    if training_data:
+        configured |= training_data.queries() | {"pipeline": corpus_pipeline.run}
+    return configured
 
 
 def _configured(
@@ -751,7 +761,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT r.request_id, d.doc_id, d.lang, d.source
         FROM documents d
         JOIN (SELECT item_id AS request_id, text AS search FROM benchmark) r ON {text_hit}"""
-    return {
+    sql = {
         "lookup_list": "SELECT n_nationkey AS id, n_name AS name FROM nation ORDER BY name",
         "catalog_list": f"{documents} ORDER BY lang, quality NULLS FIRST, source, d.doc_id",
         "catalog_list_large": """
@@ -908,3 +918,8 @@ def oracle_sql() -> dict[str, str]:
                 ON d.doc_id = TRY_CAST(r.page AS BIGINT) AND r.page <> ''
                 AND (r.area NOT IN ('en', 'fr', 'de', 'es') OR d.lang = r.area)""",
     }
+    if training_data:
+        sql |= training_data.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
