@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, exact_dedup, mixing, toxicity
+from shelfline.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from shelfline.llm.common import configure, table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,6 +50,10 @@ def _op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 _FOLDED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": _op2_mix_sources,
         "op3_toxicity": _op3_toxicity,
         "op5_exact_dedup": _op5_exact_dedup,
+        "op8_jaccard_join": _op8_jaccard_join,
     }
     return {name: _configured(query) for name, query in found.items()}
 
