@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import map_arrow
+from shelfline.llm.common import first_of, map_arrow
 from shelfline.session import stage
 
 WORDS = 5
@@ -108,7 +108,7 @@ def linked(shared: int, a: int, b: int) -> bool:
 
 
 def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n, set_id, counts of each row, and the shingles themselves for sampled sets."""
+    """doc_id, text_hash, n, set_id, counts of each row, and the shingles of sampled sets."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         sizes, ids, counts, samples = [], [], [], []
@@ -128,9 +128,11 @@ def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         }
 
     added = {"n": "bigint", "set_id": "bigint", "counts": "binary", "sample": "array<bigint>"}
-    renamed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    renamed = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")
+    )
     text = "_text"
-    return map_arrow(renamed, ["doc_id", "_text"], run, added).drop("_text")
+    return map_arrow(renamed, ["doc_id", "text_hash", "_text"], run, added).drop("_text")
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -464,13 +466,8 @@ def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame) -> Data
 # --- the join ---------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
-
-    component_id is the smallest doc_id that links reach, itself included; null ids are passed
-    over unless there are only such. Rows of equal sets are linked whatever their ids are. A text
-    without words, empty or null, is linked with nothing. Other columns are not read.
-    """
+def _named_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, text_hash, n, component of every row; no component without words."""
     spark = docs.sparkSession
     sets = stage(document_sets(docs, text, doc_id), "document-sets")
     known = stage(
@@ -497,13 +494,48 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         wanted = rest.select(F.col("a").alias("set_id")).union(rest.select("b")).distinct()
         more = stage(_verified(rest, _fetched(docs, text, doc_id, known, wanted)), "links")
         labels = components(spark, links.unionByName(more))
-
-    named = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "doc_id", "n", "set_id", F.coalesce("component", "set_id").alias("component")
+    return sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "doc_id", "text_hash", "n", F.coalesce("component", "set_id").alias("component")
     )
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`.
+
+    component_id is the smallest doc_id that links reach, itself included; null ids are passed
+    over unless there are only such. Rows of equal sets are linked whatever their ids are. A text
+    without words, empty or null, is linked with nothing. Other columns are not read. An empty
+    frame gives an empty frame.
+    """
+    named = _named_rows(docs, text, doc_id)
     firsts = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("_first"))
+    alone = F.col("component").isNull()
     return named.join(firsts, "component", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"),
+    )
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns.
+
+    Of each component the row with the smallest doc_id stays, a null id only where there is no
+    other; of rows that repeat in id and text one stays. Texts without words stay.
+    """
+    named = _named_rows(docs, text, doc_id).filter("component IS NOT NULL")
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
+    rows = named.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("_n"))
+    firsts = rows.groupBy("component").agg(F.min(rank).alias("_first"))
+    marked = rows.join(firsts, "component").select(
+        F.col("doc_id").alias("_id"),
+        F.col("text_hash").alias("_hash"),
+        (rank != F.col("_first")).alias("_gone"),
+        "_n",
     )
+    marked = stage(marked, "marked").filter("_gone OR _n > 1")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    once = keyed.join(marked, same, "left_anti")
+    repeated = keyed.join(marked.filter("NOT _gone"), same, "left_semi")
+    return once.unionByName(first_of(repeated, [doc_id, "_text_hash"])).select(*docs.columns)
