@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, exact_dedup, mixing, toxicity
+from shelfline.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from shelfline.llm.common import configure, table
 from shelfline.session import stage
 
@@ -31,6 +31,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similarity the one with the smallest doc_id stays."""
+    configure(spark)
+    return jaccard_join.without_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to the sources' target weights takes it."""
     configure(spark)
@@ -52,6 +58,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
     ("mix_sources", mix),
     ("byte_bpe", tokenize),
 ]
