@@ -55,7 +55,8 @@ def name_documents(
     seed = 0
     while True:
         keys = ["_h1", "_h2"]
-        blocks = contents.select(F.explode("_blocks").alias("_block")).select(
+        # No list is empty. A plain explode() would test that first, and cut all texts twice.
+        blocks = contents.select(F.explode_outer("_blocks").alias("_block")).select(
             *[c.alias(k) for k, c in zip(keys, fingerprint(F.col("_block"), seed))], "_block"
         )
         names = stage(_numbered(blocks, [*keys, "_block"], ["_block"], keys), "block-names")
