@@ -6,11 +6,13 @@ With class prior c and the logistic loss, the risk is
     c R_P(+) + max(0, R_U(-) - c R_P(-))
 
 where the second part estimates the risk on clean texts; once it falls below zero, the step goes
-the other way, so that the classifier cannot profit from calling unlabelled texts clean beyond
-what the prior allows. The score is the mean of the classifiers' probabilities.
+the other way, so that a classifier cannot profit from calling unlabelled texts clean beyond what
+the prior allows. The score is the mean of the classifiers' probabilities.
 
-A text's features are which words and which word beginnings it holds, hashed; how often does not
-count, so neither long texts nor repeated words add weight by themselves.
+A text's features are which words and which word beginnings it holds; how often does not count,
+so neither long texts nor repeated words add weight by themselves. Only features that are
+significantly more frequent in P than in U, or less, are used: most words are rare, and a
+classifier over all of them would learn the confirmed texts by heart.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from shelfline.llm.common import map_arrow, unit_uniform
 
-BITS = 18
 BEGINNING = 4
 _WORDS = re.compile(r"\w+")
 
@@ -35,88 +36,115 @@ _WORDS = re.compile(r"\w+")
 @dataclass(frozen=True)
 class Training:
     """Bounds and settings of the fit. At most `positives` confirmed toxic texts and `unlabelled`
-    other texts are read, those with the smallest hashes; they bound the driver's memory."""
+    texts of any kind are read, those with the smallest hashes; they bound the driver's memory."""
 
     positives: int = 4000
     unlabelled: int = 12000
+    features: int = 256
+    least_texts: int = 3
+    significance: float = 4.0
     classifiers: int = 3
-    epochs: int = 30
-    batches: int = 8
+    steps: int = 300
     rate: float = 0.05
-    decay: float = 2e-5
+    decay: float = 1e-4
     seed: int = 0
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted distinct feature numbers of a text; none for an empty or null text."""
-    found = set()
-    for word in set(_WORDS.findall((text or "").lower())):
-        found.add(word)
+@dataclass(frozen=True)
+class Classifiers:
+    """The weights of each feature in each classifier, and their biases."""
+
+    weights: dict[int, np.ndarray]
+    biases: np.ndarray
+
+    def probability(self, text: str | None) -> float:
+        margins = self.biases.copy()
+        for feature in features(text) & self.weights.keys():
+            margins += self.weights[feature]
+        return float(np.mean(1 / (1 + np.exp(-np.clip(margins, -30, 30)))))
+
+
+class _WordFeatures(dict):
+    """Features of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 300_000:
+            self.clear()
+        found = (zlib.crc32(word.encode()),)
         if len(word) > BEGINNING:
-            found.add("^" + word[:BEGINNING])
-    return np.unique(
-        np.fromiter((zlib.crc32(f.encode()) & ((1 << BITS) - 1) for f in found), np.int32, len(found))
-    )
+            found += (zlib.crc32(("^" + word[:BEGINNING]).encode()),)
+        self[word] = found
+        return found
+
 
+_word_features = _WordFeatures()
 
-def _bags(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.empty(0, np.int32), *texts]), np.array([len(t) for t in texts])
+
+def features(text: str | None) -> set[int]:
+    """The features of a text, as 32-bit numbers; none for an empty or null text."""
+    found: set[int] = set()
+    for word in set(_WORDS.findall((text or "").lower())):
+        found.update(_word_features[word])
+    return found
+
+
+def _significant(positive: Sequence[np.ndarray], unlabelled: Sequence[np.ndarray], how: Training) -> np.ndarray:
+    values, where = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
+    n_p, n_u = len(positive), len(unlabelled)
+    split = sum(map(len, positive))
+    in_p = np.bincount(where[:split], minlength=len(values))
+    in_u = np.bincount(where[split:], minlength=len(values))
+    share = (in_p + in_u) / (n_p + n_u)
+    spread = np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u)) + 1e-12
+    score = np.abs(in_p / n_p - in_u / n_u) / spread
+    score[(in_p < how.least_texts) & (in_u < how.least_texts)] = 0
+    best = np.lexsort((values, -score))[: how.features]
+    return np.sort(values[best[score[best] >= how.significance]])
+
+
+def _matrix(texts: Sequence[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    found = np.zeros((len(texts), len(chosen)), np.float32)
+    for row, text in enumerate(texts):
+        found[row, np.isin(chosen, text)] = 1
+    return found
 
 
 def fit(
     positive: Sequence[np.ndarray], unlabelled: Sequence[np.ndarray], prior: float, how: Training
-) -> list[tuple[np.ndarray, float]]:
-    """Weights and bias of each classifier; without positive texts all scores are the prior."""
-    size = 1 << BITS
+) -> Classifiers:
+    """Classifiers from the features of P and U; without either every score is the prior."""
+    start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        start = float(np.log(prior / (1 - prior)))
-        return [(np.zeros(size, np.float32), start)]
-    found = []
+        return Classifiers({}, np.array([start]))
+    chosen = _significant(positive, unlabelled, how)
+    all_p, all_u = _matrix(positive, chosen), _matrix(unlabelled, chosen)
+    weights, biases = [], []
     for turn in range(how.classifiers):
         rng = np.random.default_rng([how.seed, turn])
-        w, bias = np.zeros(size, np.float32), float(np.log(prior / (1 - prior)))
-        g2, b2 = np.full(size, 1e-8, np.float32), 1e-8
-        for _ in range(how.epochs):
-            p_parts = np.array_split(rng.permutation(len(positive)), how.batches)
-            u_parts = np.array_split(rng.permutation(len(unlabelled)), how.batches)
-            for p_part, u_part in zip(p_parts, u_parts):
-                if not len(p_part):
-                    p_part = rng.integers(0, len(positive), 1)
-                if not len(u_part):
-                    u_part = rng.integers(0, len(unlabelled), 1)
-                p_index, p_len = _bags([positive[i] for i in p_part])
-                u_index, u_len = _bags([unlabelled[i] for i in u_part])
-
-                def margin(index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-                    rows = np.repeat(np.arange(len(lengths)), lengths)
-                    return np.bincount(rows, w[index], len(lengths)) + bias
-
-                p_score = 1 / (1 + np.exp(-np.clip(margin(p_index, p_len), -30, 30)))
-                u_score = 1 / (1 + np.exp(-np.clip(margin(u_index, u_len), -30, 30)))
-                clean = np.mean(-np.log1p(-u_score + 1e-12)) - prior * np.mean(-np.log1p(-p_score + 1e-12))
-                # Slopes of the losses by the margin, as weights of the texts.
-                if clean >= 0:
-                    p_slope = prior * (-(1 - p_score) - p_score) / len(p_score)
-                    u_slope = u_score / len(u_score)
-                else:
-                    p_slope = prior * p_score / len(p_score)
-                    u_slope = -u_score / len(u_score)
-                index = np.concatenate([p_index, u_index])
-                slope = np.concatenate([np.repeat(p_slope, p_len), np.repeat(u_slope, u_len)])
-                gradient = np.bincount(index, slope, size).astype(np.float32) + how.decay * w
-                g2 += gradient**2
-                w -= how.rate * gradient / np.sqrt(g2)
-                step = float(p_slope.sum() + u_slope.sum())
-                b2 += step**2
-                bias -= how.rate * step / b2**0.5
-        found.append((w, bias))
-    return found
-
-
-def probability(models: list[tuple[np.ndarray, float]], text: str | None) -> float:
-    index = features(text)
-    margins = [float(w[index].sum()) + bias for w, bias in models]
-    return float(np.mean([1 / (1 + np.exp(-np.clip(m, -30, 30))) for m in margins]))
+        p = all_p[rng.integers(0, len(all_p), len(all_p))]
+        u = all_u[rng.integers(0, len(all_u), len(all_u))]
+        w = np.zeros(len(chosen) + 1)
+        w[-1] = start
+        first, second = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, how.steps + 1):
+            p_toxic = 1 / (1 + np.exp(-np.clip(p @ w[:-1] + w[-1], -30, 30)))
+            u_toxic = 1 / (1 + np.exp(-np.clip(u @ w[:-1] + w[-1], -30, 30)))
+            clean = -np.log(1 - u_toxic).mean() + prior * np.log(1 - p_toxic).mean()
+            # The slopes of the two parts of the risk by each text's margin.
+            p_slope, u_slope = -prior * p_toxic / len(p), u_toxic / len(u)
+            if clean >= 0:
+                p_slope = p_slope - prior * (1 - p_toxic) / len(p)
+            else:
+                p_slope, u_slope = -p_slope, -u_slope
+            slope = np.append(p_slope @ p + u_slope @ u, p_slope.sum() + u_slope.sum())
+            slope[:-1] += how.decay * w[:-1]
+            first = 0.9 * first + 0.1 * slope
+            second = 0.999 * second + 0.001 * slope**2
+            w -= how.rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        weights.append(w[:-1])
+        biases.append(w[-1])
+    by_feature = np.array(weights).T
+    return Classifiers({int(c): by_feature[i] for i, c in enumerate(chosen)}, np.array(biases))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -124,9 +152,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, how: Training = Training()
-) -> list[tuple[np.ndarray, float]]:
+def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Classifiers:
     """Classifiers from the rows of `docs` that are not held out.
 
     The prior is the share of toxic rows among all labelled ones that are not held out, half a
@@ -162,18 +188,20 @@ def _read(texts: DataFrame, most: int) -> list[np.ndarray]:
     """The features of at most `most` texts. Their order depends on the texts alone."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = [features(t.as_py()).tobytes() for t in batch.column("text")]
+        made = [
+            np.fromiter(features(t.as_py()), np.uint32).tobytes() for t in batch.column("text")
+        ]
         return {"_features": pa.array(made, pa.binary())}
 
     rows = map_arrow(texts, ["doc_id", "text"], run, {"_features": "binary"})
     rows = rows.select("doc_id", "_features").limit(most).toLocalIterator()
     found = sorted(((r[0], bytes(r[1])) for r in rows))
-    return [np.frombuffer(f, np.int32) for _, f in found]
+    return [np.frombuffer(f, np.uint32) for _, f in found]
 
 
 def toxicity_scores(
     docs: DataFrame,
-    models: list[tuple[np.ndarray, float]],
+    models: Classifiers,
     keep: list[str],
     text: str = "text",
     score: str = "score",
@@ -181,12 +209,12 @@ def toxicity_scores(
     """The columns `keep` and a score between 0 and 1 for every whole text.
 
     An empty or null text has no features and gets the classifiers' bias. The column `score`
-    takes the place of one of that name. The weights are of fixed size, 2**18 a classifier.
+    takes the place of one of that name. What is broadcast has a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        scores = [probability(shared.value, t.as_py()) for t in batch.column(text)]
+        scores = [shared.value.probability(t.as_py()) for t in batch.column(text)]
         return {score: pa.array(scores, pa.float64())}
 
     return map_arrow(docs, list(dict.fromkeys([*keep, text])), run, {score: "double"}).select(
