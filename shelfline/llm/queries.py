@@ -9,10 +9,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from shelfline.llm import (
+    bpe,
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    perspectives,
+    plane_files,
+    separator_scan,
+    toxicity,
+)
 from shelfline.llm.common import configure, table
+from shelfline.session import shared_folder
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+WORD_BPE_END = 2
+SEPARATOR = 50304  # the first multiple of 64 above the ranks
 
 
 def _op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,19 +59,60 @@ def _op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def _op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-planes")
+    plane_files.write_token_files(table(spark, sf_dir, "documents"), folder, WORD_BPE, WORD_BPE_END)
+    return plane_files.read_token_files(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def _op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def _op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "flat-tokens")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, [])
+    separator_scan.write_flat_files(encoded, folder, SEPARATOR)
+    scanned = separator_scan.scan_token_files(spark, folder, SEPARATOR)
+    name = F.regexp_extract("file", "[^/]*$", 0)
+    return scanned.withColumn("file", name)
+
+
 _FOLDED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 
 ORACLE_SQL = {
+    "op4_perspectives": """
+        WITH people AS (
+            SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'
+        ), rotated AS (
+            SELECT c.conv_id, perspective, turn, coalesce(text, '') AS said,
+                   CASE WHEN role = perspective THEN 'assistant'
+                        WHEN role = 'system' THEN 'system' ELSE 'user' END AS shown,
+                   CASE WHEN role IS NULL OR role IN (perspective, 'system') THEN NULL
+                        ELSE role END AS name
+            FROM conversations c JOIN people p ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+        ), headed AS (
+            SELECT *, '<|im_start|>' || shown || coalesce(' name=' || name, '') || chr(10) AS head
+            FROM rotated
+        )
+        SELECT conv_id, perspective, turn, shown AS role, name,
+               head || said || '<|im_end|>' || chr(10) AS rendered,
+               CASE WHEN shown = 'assistant' THEN length(head) ELSE 0 END::INTEGER AS mask_start,
+               CASE WHEN shown = 'assistant' THEN length(head || said) + 10 ELSE 0 END::INTEGER
+                   AS mask_end
+        FROM headed""",
     "op5_exact_dedup": f"""
         WITH folded AS (SELECT doc_id, {_FOLDED} AS folded FROM documents)
         SELECT doc_id,
@@ -75,8 +129,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": _op1_byte_bpe,
         "op2_mix_sources": _op2_mix_sources,
         "op3_toxicity": _op3_toxicity,
+        "op4_perspectives": _op4_perspectives,
         "op5_exact_dedup": _op5_exact_dedup,
+        "op6_plane_files": _op6_plane_files,
         "op8_jaccard_join": _op8_jaccard_join,
+        "op9_separator_scan": _op9_separator_scan,
     }
     return {name: _configured(query) for name, query in found.items()}
 
