@@ -12,11 +12,12 @@ sizes' sum. That gives three nested kinds of region, each complete:
    computed. The balls of radius 1/4 around the pivots are linked and become components: a group
    of n copies costs n distances, not n squared. A task first finds pivots among its own sets and
    ships only these, so that a region of any size stays spread.
-3. Regions that still hold several components are joined recursively. Counts of shingles by 64
-   hash classes keep an L1 distance that never exceeds the size of the symmetric difference. In
-   that space pivots create Voronoi regions, the triangle inequality says which sets at the
-   boundary have to be in a neighbouring region as well, and small regions compare all pairs of
-   counts. Only pairs of different components whose counts allow a link are verified on the sets.
+3. Regions that still hold several components are joined recursively. A sketch of each set, the
+   parities of its shingles' numbers in hash classes, four or more classes for each shingle, has a
+   Hamming distance that never exceeds the size of the symmetric difference. In that space pivots
+   create Voronoi regions, the triangle inequality says which sets at the boundary have to be in a
+   neighbouring region as well, and small regions compare all sketches. Only pairs of different
+   components whose sketches allow a link are verified on the sets.
 
 Equal sets are one set throughout. Shingles and sets are told apart by 64-bit hashes.
 """
@@ -36,7 +37,6 @@ from shelfline.llm.common import first_of, map_arrow
 from shelfline.session import stage
 
 WORDS = 5
-CLASSES = 64
 SAMPLE_BITS = 4  # one set of 16 is in the sample
 FREQUENT = 4  # sets of the sample that make a shingle frequent
 MOST_FREQUENT = 1_000_000  # the most frequent ones that are kept, 8 MB
@@ -89,10 +89,17 @@ def set_hash(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
-def class_counts(found: np.ndarray) -> np.ndarray:
-    """Shingles by hash class. Cutting at 255 cannot increase a distance."""
-    counts = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-    return np.minimum(counts, 255).astype(np.uint8)
+def sketch(found: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each class; there are 64 * 2**k classes, at least 4n.
+
+    Classes are the lowest bits of the hashes, so that the halves' XOR is the sketch of half as
+    many classes.
+    """
+    classes = 64
+    while classes < 4 * len(found):
+        classes *= 2
+    counts = np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def window(n: int) -> int:
@@ -108,26 +115,26 @@ def linked(shared: int, a: int, b: int) -> bool:
 
 
 def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, text_hash, n, set_id, counts of each row, and the shingles of sampled sets."""
+    """doc_id, text_hash, n, set_id, sketch of each row, and the shingles of sampled sets."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        sizes, ids, counts, samples = [], [], [], []
+        sizes, ids, sketches, samples = [], [], [], []
         for value in batch.column(text):
             found = shingles(value.as_py())
             key = set_hash(found) if len(found) else None
             sampled = key is not None and key & ((1 << SAMPLE_BITS) - 1) == 0
             sizes.append(len(found))
             ids.append(key)
-            counts.append(class_counts(found).tobytes() if len(found) else None)
+            sketches.append(sketch(found) if len(found) else None)
             samples.append(found.view(np.int64) if sampled else None)
         return {
             "n": pa.array(sizes, pa.int64()),
             "set_id": pa.array(ids, pa.int64()),
-            "counts": pa.array(counts, pa.binary()),
+            "sketch": pa.array(sketches, pa.binary()),
             "sample": pa.array(samples, pa.list_(pa.int64())),
         }
 
-    added = {"n": "bigint", "set_id": "bigint", "counts": "binary", "sample": "array<bigint>"}
+    added = {"n": "bigint", "set_id": "bigint", "sketch": "binary", "sample": "array<bigint>"}
     renamed = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")
     )
@@ -325,11 +332,31 @@ def _fetched(docs: DataFrame, text: str, doc_id: str, known: DataFrame, wanted:
 
 
 def _allowed(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes allow a link."""
+    """The pairs (a, b) whose sizes and sketches allow a link."""
     a = known.select(F.col("set_id").alias("a"), F.col("n").alias("_na"))
     b = known.select(F.col("set_id").alias("b"), F.col("n").alias("_nb"))
     fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * 75
-    return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b")
+    pairs = stage(pairs.join(a, "a").join(b, "b").filter(fits), "fitting")
+    a = known.select(F.col("set_id").alias("a"), F.col("sketch").alias("_a"))
+    b = known.select(F.col("set_id").alias("b"), F.col("sketch").alias("_b"))
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        ok = []
+        for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("_a", "_b", "_na", "_nb"))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            while len(x) != len(y):
+                x, y = (folded(x), y) if len(x) > len(y) else (x, folded(y))
+            ok.append(7 * int(np.bitwise_count(x ^ y).sum()) <= n + m)
+        return {"ok": pa.array(ok, pa.bool_())}
+
+    both = pairs.join(a, "a").join(b, "b")
+    return map_arrow(both, ["a", "b", "_na", "_nb", "_a", "_b"], run, {"ok": "boolean"}).filter("ok").select("a", "b")
+
+
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (64-bit words, along the last axis) of half as many classes."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
 
 
 # --- components -------------------------------------------------------------
@@ -370,41 +397,67 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 # --- regions of several components ------------------------------------------
 
 
-def possible_pairs(sizes: np.ndarray, counts: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of different groups whose sizes and counts allow a link.
+def possible_pairs(sizes: np.ndarray, sketches: list[bytes], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of different groups whose sizes and sketches allow a link.
 
-    Large inputs are cut into Voronoi regions. A set whose distance to another pivot is within
-    twice its reach (n/3) of that to its own is in the other's region as well. Where this would not
-    make regions smaller, they are compared block by block.
+    Sets of one number of classes meet each other and those of twice as many, folded; beyond
+    that, sizes differ too much.
+    """
+    words = np.array([len(s) // 8 for s in sketches])
+    found = [np.empty((2, 0), np.int64)]
+    for width in np.unique(words):
+        own, twice = np.flatnonzero(words == width), np.flatnonzero(words == 2 * width)
+        stacked = [np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(-1, width)]
+        if len(twice):
+            wide = np.frombuffer(b"".join(sketches[i] for i in twice), np.uint64).reshape(-1, 2 * width)
+            stacked.append(folded(wide))
+        places = np.concatenate([own, twice])
+        i, j = _near(sizes[places], np.concatenate(stacked), groups[places], len(own))
+        found.append(np.stack([places[i], places[j]]))
+    both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+    return both[0], both[1]
+
+
+def _near(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j, i among the first `own`, whose sizes and sketches of equal width allow a link.
+
+    Many sets are cut into Voronoi regions. A set whose distance to another pivot is within twice
+    its reach (n/3) of that to its own is in the other's region as well. Where this would not make
+    regions smaller, they are compared block by block.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    counts = counts.astype(np.int16)
 
-    def compare(rows: np.ndarray, columns: np.ndarray) -> None:
-        for at in range(0, len(rows), 64):
-            some = rows[at : at + 64]
-            ok = (groups[some, None] != groups[None, columns]) & (some[:, None] < columns[None, :])
-            a, b = sizes[some, None], sizes[None, columns]
+    def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+    def compare(places: np.ndarray) -> None:
+        places = np.sort(places)
+        step = max(1, (1 << 21) // max(1, len(places) * sketches.shape[1]))
+        for at in range(0, len(places), max(64, step)):
+            some = places[at : at + max(64, step)]
+            some = some[some < own]
+            ok = (groups[some, None] != groups[None, places]) & (some[:, None] < places[None, :])
+            a, b = sizes[some, None], sizes[None, places]
             ok &= 100 * np.minimum(a, b) >= 75 * np.maximum(a, b)
             i, j = np.nonzero(ok)
-            i, j = some[i], columns[j]
-            for start in range(0, len(i), 1 << 14):
-                x, y = i[start : start + (1 << 14)], j[start : start + (1 << 14)]
-                near = 7 * np.abs(counts[x] - counts[y]).sum(1) <= sizes[x] + sizes[y]
+            i, j = some[i], places[j]
+            part = max(256, (1 << 20) // sketches.shape[1])
+            for start in range(0, len(i), part):
+                x, y = i[start : start + part], j[start : start + part]
+                near = 7 * distance(sketches[x], sketches[y]) <= sizes[x] + sizes[y]
                 found.append((x[near], y[near]))
 
     def join(places: np.ndarray) -> None:
         if len(places) <= SMALL:
-            compare(places, places)
+            compare(places)
             return
         pivots = places[np.linspace(0, len(places) - 1, 8).astype(np.int64)]
-        distances = np.stack([np.abs(counts[places] - counts[p]).sum(1) for p in pivots])
+        distances = np.stack([distance(sketches[places], sketches[p]) for p in pivots])
         home = distances.argmin(0)
         inside = distances <= distances.min(0) + 2 * sizes[places] / 3
         regions = [places[inside[k]] for k in range(len(pivots)) if (home == k).any()]
         if sum(map(len, regions)) > 2 * len(places) or max(map(len, regions)) > 0.75 * len(places):
-            # The windows reach so far here that regions would not save comparisons.
-            compare(places, places)
+            compare(places)
             return
         for region in regions:
             join(region)
@@ -412,13 +465,11 @@ def possible_pairs(sizes: np.ndarray, counts: np.ndarray, groups: np.ndarray) ->
     join(np.arange(len(sizes)))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = (np.concatenate(side) for side in zip(*found))
-    both = np.unique(np.stack([i, j]), axis=1)
-    return both[0], both[1]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets that share a region, in different components, near in counts."""
+    """Distinct pairs (a, b) of sets that share a region, in different components, near by sketch."""
     names = labels.withColumnRenamed("node", "set_id")
     everyone = members.select("region", "set_id").unionByName(
         members.select("region", F.col("pivot").alias("set_id"))
@@ -447,16 +498,15 @@ def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame) -> Data
         F.sequence(F.lit(0), F.col("_blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("_own")).alias("i"), F.greatest(k, F.col("_own")).alias("j")),
     )
-    cut = inside.withColumn("_cell", F.explode(cells)).join(known.select("set_id", "n", "counts"), "set_id")
+    cut = inside.withColumn("_cell", F.explode(cells)).join(known.select("set_id", "n", "sketch"), "set_id")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         ids = part["set_id"].to_numpy()
-        counts = np.frombuffer(b"".join(part["counts"]), np.uint8).reshape(-1, CLASSES)
-        i, j = possible_pairs(part["n"].to_numpy(), counts, part["component"].to_numpy())
+        i, j = possible_pairs(part["n"].to_numpy(), list(part["sketch"]), part["component"].to_numpy())
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
     return (
-        cut.select("region", "_cell", "set_id", "component", "n", "counts")
+        cut.select("region", "_cell", "set_id", "component", "n", "sketch")
         .groupBy("region", "_cell")
         .applyInPandas(run, "a bigint, b bigint")
         .distinct()
@@ -473,7 +523,7 @@ def _named_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     known = stage(
         sets.filter("set_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("counts").alias("counts")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "known-sets",
     )
     entries = (sets.agg(F.sum("n")).first()[0] or 0) / 4

@@ -37,6 +37,8 @@ LEVEL = 3
 _SPACED = re.compile(r"[^ \t-\r]+").findall
 _REMEMBERED = 300_000
 _LONGEST_REMEMBERED = 48
+# Letters that keep their form under composition and become one letter in lower case.
+_PLAIN_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which joins endings
 
 
@@ -86,7 +88,7 @@ class WordTokenizer:
                 here[piece] = found
                 continue
             letters = piece.rstrip(_PUNCTUATION)
-            if letters and letters != piece and letters.isalpha():
+            if letters != piece and _PLAIN_LETTERS(letters):
                 parts[piece] = letters, piece[len(letters) :]
                 for part in parts[piece]:
                     if (found := self._recall(part)) is None:

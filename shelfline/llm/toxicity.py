@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Cla
     confirmed = confirmed.filter(at < _share(how.positives, toxic)).limit(how.positives)
     total = texts.count()
     others = texts.filter(at < _share(how.unlabelled, total))
-    positive = _read(texts.join(confirmed, "doc_id", "left_semi"), how.positives)
+    # At most how.positives ids are broadcast.
+    positive = _read(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), how.positives)
     unlabelled = _read(others, how.unlabelled)
     return fit(positive, unlabelled, prior, how)
 
