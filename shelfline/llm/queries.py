@@ -16,7 +16,9 @@ from shelfline.llm import (
     mixing,
     perspectives,
     plane_files,
+    rare_features,
     separator_scan,
+    site_style,
     toxicity,
 )
 from shelfline.llm.common import configure, table
@@ -75,6 +77,11 @@ def _op6_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op7_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = site_style.extract_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def _op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -88,6 +95,10 @@ def _op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.withColumn("file", name)
 
 
+def _op10_rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rare_features.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 _FOLDED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
@@ -132,8 +143,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_perspectives": _op4_perspectives,
         "op5_exact_dedup": _op5_exact_dedup,
         "op6_plane_files": _op6_plane_files,
+        "op7_site_style": _op7_site_style,
         "op8_jaccard_join": _op8_jaccard_join,
         "op9_separator_scan": _op9_separator_scan,
+        "op10_rare_features": _op10_rare_features,
     }
     return {name: _configured(query) for name, query in found.items()}
 
