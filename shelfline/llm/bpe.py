@@ -20,14 +20,13 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from shelfline.llm.common import map_arrow
+from shelfline.llm.common import Remembered, map_arrow
 
 # White space as the pattern's \s has it; matches never cross from other characters into it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-# A worker remembers the ids of this many short chunks.
-_REMEMBERED = 400_000
-_LONGEST_REMEMBERED = 64
+_REMEMBERED = 300_000
+_LONGEST_REMEMBERED = 48
 
 _LETTERS = [chr(0x100 + b) for b in range(256)]
 
@@ -88,35 +87,62 @@ class ByteBpe:
         self._bytes = [self._inverse(self._model.IdToPiece(i)) for i in range(len(tokens))]
         self._ids = {token: i for i, token in enumerate(self._bytes)}
         self._match = regex.compile(pattern).findall
-        self._known: dict[str, list[int]] = {}
+        self._known = Remembered(_REMEMBERED, _LONGEST_REMEMBERED)
+        lengths = np.array([len(token) for token in self._bytes])
+        self._table = np.frombuffer(b"".join(self._bytes), np.uint8)
+        self._lengths, self._starts = lengths, np.cumsum(lengths) - lengths
 
     @staticmethod
     def _inverse(piece: str) -> bytes:
         return bytes(ord(letter) - 0x100 for letter in piece)
 
-    def _encode_chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for match in self._match(chunk):
-            raw = match.encode()
-            whole = self._ids.get(raw)
-            ids += [whole] if whole is not None else self._model.EncodeAsIds(spelled(raw))
-        return ids
+    def _encode_matches(self, matches: list[str]) -> list[bytes]:
+        raw = [match.encode() for match in matches]
+        whole = [self._ids.get(r) for r in raw]
+        merged = iter(
+            self._model.Encode([spelled(r) for r, w in zip(raw, whole) if w is None], num_threads=1)
+        )
+        lists = [next(merged) if w is None else [w] for w in whole]
+        return [np.array(ids, "<i4").tobytes() for ids in lists]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Chunks and matches that repeat are encoded once."""
+        all_chunks = [_CHUNK.findall(text) for text in texts]
+        here: dict[str, bytes] = {}
+        matches: dict[str, list[str]] = {}
+        missing: dict[str, None] = {}
+        for chunk in set().union(*all_chunks):
+            found = self._known.get(chunk)
+            if found is not None:
+                here[chunk] = found
+                continue
+            matches[chunk] = self._match(chunk)
+            for match in matches[chunk]:
+                if (found := self._known.get(match)) is None:
+                    missing[match] = None
+                else:
+                    here[match] = found
+        for match, ids in zip(missing, self._encode_matches(list(missing))):
+            here[match] = ids
+            self._known.keep(match, ids)
+        for chunk, parts in matches.items():
+            if len(parts) > 1:
+                here[chunk] = b"".join(map(here.__getitem__, parts))
+                self._known.keep(chunk, here[chunk])
+        return [
+            np.frombuffer(b"".join(map(here.__getitem__, chunks)), "<i4") for chunks in all_chunks
+        ]
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self._known, []
-        for chunk in _CHUNK.findall(text):
-            found = known.get(chunk)
-            if found is None:
-                found = self._encode_chunk(chunk)
-                if len(chunk) <= _LONGEST_REMEMBERED:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[chunk] = found
-            ids += found
-        return ids
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, ids))
+        return self.encode_batch([text])[0].tolist()
+
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        """The tokens' bytes, gathered from one table."""
+        ids = np.asarray(ids, np.int64)
+        lengths = self._lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self._starts[ids] - (ends - lengths), lengths)
+        return self._table[at + np.arange(len(at))].tobytes()
 
 
 @functools.cache
@@ -133,8 +159,7 @@ def encode(
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        codec, column = _codec(path, pattern), batch.column(text)
-        lists = [np.array(codec.encode(t.as_py() or ""), np.int32) for t in column]
+        lists = _codec(path, pattern).encode_batch([t or "" for t in batch.column(text).to_pylist()])
         ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
         values = np.concatenate([np.empty(0, np.int32), *lists])
         return {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
@@ -151,7 +176,7 @@ def decode(
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         codec = _codec(path, pattern)
-        values = [codec.decode(x.values.to_pylist()) if x.is_valid else b"" for x in batch.column(ids)]
+        values = [codec.decode(x.values.to_numpy()) if x.is_valid else b"" for x in batch.column(ids)]
         return {decoded: pa.array(values, pa.binary())}
 
     return map_arrow(encoded, list(dict.fromkeys([*keep, ids])), run, {decoded: "binary"}).select(
