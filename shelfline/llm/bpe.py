@@ -87,7 +87,7 @@ class ByteBpe:
         self._bytes = [self._inverse(self._model.IdToPiece(i)) for i in range(len(tokens))]
         self._ids = {token: i for i, token in enumerate(self._bytes)}
         self._match = regex.compile(pattern).findall
-        self._known = Remembered(_REMEMBERED, _LONGEST_REMEMBERED)
+        self._known = Remembered(self._encode, _REMEMBERED, _LONGEST_REMEMBERED)
         lengths = np.array([len(token) for token in self._bytes])
         self._table = np.frombuffer(b"".join(self._bytes), np.uint8)
         self._lengths, self._starts = lengths, np.cumsum(lengths) - lengths
@@ -96,45 +96,18 @@ class ByteBpe:
     def _inverse(piece: str) -> bytes:
         return bytes(ord(letter) - 0x100 for letter in piece)
 
-    def _encode_matches(self, matches: list[str]) -> list[bytes]:
-        raw = [match.encode() for match in matches]
-        whole = [self._ids.get(r) for r in raw]
-        merged = iter(
-            self._model.Encode([spelled(r) for r, w in zip(raw, whole) if w is None], num_threads=1)
-        )
-        lists = [next(merged) if w is None else [w] for w in whole]
-        return [np.array(ids, "<i4").tobytes() for ids in lists]
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Chunks and matches that repeat are encoded once."""
-        all_chunks = [_CHUNK.findall(text) for text in texts]
-        here: dict[str, bytes] = {}
-        matches: dict[str, list[str]] = {}
-        missing: dict[str, None] = {}
-        for chunk in set().union(*all_chunks):
-            found = self._known.get(chunk)
-            if found is not None:
-                here[chunk] = found
-                continue
-            matches[chunk] = self._match(chunk)
-            for match in matches[chunk]:
-                if (found := self._known.get(match)) is None:
-                    missing[match] = None
-                else:
-                    here[match] = found
-        for match, ids in zip(missing, self._encode_matches(list(missing))):
-            here[match] = ids
-            self._known.keep(match, ids)
-        for chunk, parts in matches.items():
-            if len(parts) > 1:
-                here[chunk] = b"".join(map(here.__getitem__, parts))
-                self._known.keep(chunk, here[chunk])
-        return [
-            np.frombuffer(b"".join(map(here.__getitem__, chunks)), "<i4") for chunks in all_chunks
-        ]
-
-    def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0].tolist()
+    def _encode(self, chunk: str) -> bytes:
+        """The ids of a chunk, or of one match."""
+        matches = self._match(chunk)
+        if len(matches) > 1:
+            return b"".join(map(self._known.__getitem__, matches))
+        raw = chunk.encode()
+        whole = self._ids.get(raw)
+        ids = self._model.EncodeAsIds(spelled(raw)) if whole is None else [whole]
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._known.__getitem__, _CHUNK.findall(text))), "<i4")
 
     def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """The tokens' bytes, gathered from one table."""
@@ -159,7 +132,8 @@ def encode(
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        lists = _codec(path, pattern).encode_batch([t or "" for t in batch.column(text).to_pylist()])
+        codec = _codec(path, pattern)
+        lists = [codec.encode(t.as_py() or "") for t in batch.column(text)]
         ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
         values = np.concatenate([np.empty(0, np.int32), *lists])
         return {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}

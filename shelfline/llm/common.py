@@ -55,31 +55,28 @@ def running_starts(totals: dict[int, int]) -> list[tuple[int, int]]:
     return list(zip(parts, accumulate((totals[p] for p in parts), initial=0)))
 
 
-class Remembered:
-    """What a worker has made of short strings, in two generations.
+class Remembered(dict):
+    """What `make` gives for short strings, in two generations.
 
     When the young one is full it becomes the old one, whose members return to the young one as
     they are asked for; so at most twice `most` strings are held, and frequent ones stay.
     """
 
-    def __init__(self, most: int, longest: int) -> None:
-        self._most, self._longest = most, longest
-        self._young: dict[str, bytes] = {}
+    def __init__(self, make: Callable[[str], bytes], most: int, longest: int) -> None:
+        super().__init__()
+        self._make, self._most, self._longest = make, most, longest
         self._old: dict[str, bytes] = {}
 
-    def get(self, text: str) -> bytes | None:
-        found = self._young.get(text)
-        if found is None:
-            found = self._old.get(text)
-            if found is not None:
-                self.keep(text, found)
-        return found
-
-    def keep(self, text: str, made: bytes) -> None:
+    def __missing__(self, text: str) -> bytes:
+        made = self._old.get(text)
+        if made is None:
+            made = self._make(text)
         if len(text) <= self._longest:
-            if len(self._young) >= self._most:
-                self._old, self._young = self._young, {}
-            self._young[text] = made
+            if len(self) >= self._most:
+                self._old = dict(self)
+                self.clear()
+            self[text] = made
+        return made
 
 
 def map_arrow(

@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,53 +74,29 @@ class WordTokenizer:
         steps = json.loads(self._tokenizer.to_str())
         self._lower = _kinds(steps["normalizer"]) == ["NFC", "Replace", "Lowercase"]
         self._lower &= _kinds(steps["pre_tokenizer"]) == ["Split", "ByteLevel"]
-        self._known = Remembered(_REMEMBERED, _LONGEST_REMEMBERED)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces by the tokenizer's model. Of plain letters its other steps would only
-        make lower case and spell the bytes, which is done here at a quarter of the cost."""
-        made: list[list[int]] = [[]] * len(pieces)
-        rest = []
-        for i, piece in enumerate(pieces):
-            if self._lower and _PLAIN_LETTERS(piece):
-                spelled = "".join(map(_SPELLED.__getitem__, piece.lower().encode()))
-                made[i] = [token.id for token in self._model.tokenize(spelled)]
-            else:
-                rest.append(i)
-        encoded = self._tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, encoded):
-            made[i] = e.ids
-        return [np.array(ids, "<u4").tobytes() for ids in made]
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, the same as by the library on the whole text."""
-        all_pieces = [_SPACED(text) for text in texts]
-        here: dict[str, bytes] = {}
-        parts: dict[str, tuple[str, str]] = {}
-        missing: dict[str, None] = {}
-        for piece in set().union(*all_pieces):
-            found = self._known.get(piece)
-            if found is not None:
-                here[piece] = found
-                continue
-            letters = piece.rstrip(_PUNCTUATION)
-            if letters != piece and _PLAIN_LETTERS(letters):
-                parts[piece] = letters, piece[len(letters) :]
-                for part in parts[piece]:
-                    if (found := self._known.get(part)) is None:
-                        missing[part] = None
-                    else:
-                        here[part] = found
-            else:
-                missing[piece] = None
-        for piece, ids in zip(missing, self._encode(list(missing))):
-            here[piece] = ids
-            self._known.keep(piece, ids)
-        for piece, (letters, marks) in parts.items():
-            here[piece] = here[letters] + here[marks]
-        return [
-            np.frombuffer(b"".join(map(here.__getitem__, pieces)), "<u4") for pieces in all_pieces
-        ]
+        self._known = Remembered(self._encode, _REMEMBERED, _LONGEST_REMEMBERED)
+
+    def _encode(self, piece: str) -> bytes:
+        """The ids of what stands between white space.
+
+        Of plain letters the tokenizer's other steps would only make lower case and spell the
+        bytes; that is done here, and the model alone called, at a quarter of the cost.
+        """
+        letters = piece.rstrip(_PUNCTUATION)
+        if not _PLAIN_LETTERS(letters):
+            ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
+        elif letters != piece:
+            return self._known[letters] + self._known[piece[len(letters) :]]
+        elif self._lower:
+            spelled = "".join(map(_SPELLED.__getitem__, piece.lower().encode()))
+            ids = [token.id for token in self._model.tokenize(spelled)]
+        else:
+            ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, the same as by the library on the whole text."""
+        return np.frombuffer(b"".join(map(self._known.__getitem__, _SPACED(text))), "<u4")
 
 
 @functools.cache
@@ -208,10 +185,9 @@ def write_token_files(
             )
 
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            for name, found in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts)):
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 names.append(name)
-                ids.append(np.concatenate([found, end]))
+                ids.append(np.concatenate([encoder.encode(value.as_py() or ""), end]))
                 held += len(ids[-1])
                 if held >= CHUNK_IDS:
                     yield row()
