@@ -1,0 +1,57 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfline.llm import exact_dedup
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def check(rows, docs):
+    groups = defaultdict(list)
+    for d in docs:
+        groups[(d["text"] or "").translate(FOLD)].append(d["doc_id"])
+    found = defaultdict(list)
+    for r in rows:
+        found[r["text_sha256"]].append(r)
+    assert len(found) == len(groups) and len(rows) == len(docs)
+    for text, ids in groups.items():
+        members = found[hashlib.sha256(text.encode()).hexdigest()]
+        key = lambda i: (i is not None, i or 0)
+        largest = max(ids, key=key)
+        assert sorted((r["doc_id"] for r in members), key=key) == sorted(ids, key=key)
+        assert all(r["keep_id"] == largest and r["group_size"] == len(ids) for r in members)
+        assert [r["doc_id"] for r in members if r["kept"]] == [largest]
+
+
+def weak(block, seed):
+    """Different blocks share a fingerprint until the third seed."""
+    kept = exact_dedup.fingerprint(block, seed)
+    return [F.length(block).cast("long"), F.lit(0).cast("long")] if seed < 2 else kept
+
+
+@pytest.mark.parametrize("block", [700, 2048])
+def test_documents(documents, block):
+    check(exact_dedup.exact_duplicates(documents, block_bytes=block).collect(), documents.collect())
+
+
+def test_odd_rows(odd_docs, no_docs):
+    check(exact_dedup.exact_duplicates(odd_docs).collect(), odd_docs.collect())
+    assert exact_dedup.exact_duplicates(no_docs).count() == 0
+    assert exact_dedup.without_duplicates(no_docs).count() == 0
+
+
+def test_colliding_fingerprints_are_noticed(odd_docs):
+    docs = odd_docs.filter("length(text) < 100 OR text IS NULL")
+    found = exact_dedup.exact_duplicates(docs, block_bytes=5, fingerprint=weak)
+    check(found.collect(), docs.collect())
+
+
+def test_rows_that_stay(odd_docs):
+    kept = exact_dedup.without_duplicates(odd_docs)
+    assert kept.columns == odd_docs.columns
+    texts = [(r["text"] or "").translate(FOLD) for r in kept.collect()]
+    assert len(texts) == len(set(texts))
+    assert set(texts) == {(r["text"] or "").translate(FOLD) for r in odd_docs.collect()}

@@ -1,0 +1,92 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from shelfline.llm import mixing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return len(WORD.findall(text or ""))
+
+
+def expected_targets(sizes):
+    """Sources in code point order, null last; weights 1, 2, 3; limits of three times the size."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {name: i % 3 + 1 for i, name in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[n] for n in full)
+        open_ = [n for n in names if n not in full]
+        share = {n: left * weight[n] / sum(weight[m] for m in open_) for n in open_}
+        above = {n for n in open_ if share[n] > 3 * sizes[n]}
+        if not above:
+            return {n: 3 * sizes[n] if n in full else share[n] for n in names}
+        full |= above
+
+
+def check(rows, docs):
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter(
+        (d["doc_id"], words(d["text"])) for d in docs
+    )
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        assert r["taken"] == r["size"] * r["copies"] and 0 <= r["copies"] <= 3
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    targets = expected_targets(dict(sizes))
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(targets[r["source"]])
+    return targets, taken, sizes
+
+
+def test_sources_come_near_their_targets(documents):
+    rows = mixing.mix_sources(documents).collect()
+    targets, taken, sizes = check(rows, documents.collect())
+    largest = defaultdict(int)
+    for r in rows:
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= largest[source]
+    assert sum(abs(taken[s] - t) for s, t in targets.items()) <= 0.05 * sum(sizes.values())
+    again = mixing.mix_sources(documents.repartition(3)).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_expectations_are_kept(llm):
+    docs = llm.createDataFrame(
+        [(i, "w " * (1 + i % 7), "ab"[i % 5 == 0]) for i in range(60)], "doc_id int, text string, source string"
+    )
+    seeds, counts, rate = range(6), Counter(), {}
+    for seed in seeds:
+        for r in mixing.mix_sources(docs, seed=seed).collect():
+            counts[r["source"]] += r["copies"]
+            rate[r["source"]] = r["target"] / r["source_size"]
+    for source, share in rate.items():
+        n = sum(1 for i in range(60) if "ab"[i % 5 == 0] == source)
+        assert counts[source] / (n * len(seeds)) == pytest.approx(share, abs=0.2)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    check(mixing.mix_sources(odd_docs).collect(), odd_docs.collect())
+    assert mixing.mix_sources(no_docs).count() == 0
+    assert mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_mixed_documents_are_the_copies(odd_docs):
+    copies = Counter()
+    for r in mixing.mix_sources(odd_docs).collect():
+        copies[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    mixed = mixing.mixed_documents(odd_docs)
+    assert mixed.columns == odd_docs.columns
+    found = Counter((r["doc_id"], r["source"], words(r["text"])) for r in mixed.collect())
+    assert found == +copies
+
+
+def test_limits_reshare(llm):
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(1, "a"), (2, "b"), (500, "c"), (40, None)])]
+    docs = llm.createDataFrame(rows, "doc_id int, text string, source string")
+    check(mixing.mix_sources(docs).collect(), docs.collect())

@@ -1,0 +1,41 @@
+from collections import Counter
+
+from shelfline.llm import perspectives
+
+
+def brute(turns):
+    rows = Counter()
+    for conv in {t[0] for t in turns}:
+        own = [t for t in turns if t[0] == conv]
+        for who in {t[2] for t in own} - {None, "system"}:
+            for _, turn, speaker, text in own:
+                role = "assistant" if speaker == who else "system" if speaker == "system" else "user"
+                name = speaker if role == "user" else None
+                head = f"<|im_start|>{role}" + (f" name={name}" if name is not None else "") + "\n"
+                said = text or ""
+                mask = (len(head), len(head) + len(said) + 10) if role == "assistant" else (0, 0)
+                rows[conv, who, turn, role, name, f"{head}{said}<|im_end|>\n", *mask] += 1
+    return rows
+
+
+def test_every_participant_is_the_assistant_once(llm):
+    turns = [
+        (1, 0, "system", "rules"), (1, 1, "ann", "hi é"), (1, 2, "bob", None), (1, 3, "cyd", ""),
+        (1, 3, "ann", "tie"), (1, 4, "ann", "tie"), (1, 4, "ann", "tie"), (2, 0, None, "who"),
+        (2, 1, "ann", "me"), (None, None, "x", "lost"), (3, 0, "system", "alone"), (4, 0, "", "blank"),
+        (5, 0, "ann", "long " * 100_000),
+    ]
+    frame = llm.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    frame = frame.selectExpr("*", "'x' AS name", "'y' AS perspective", "1 AS mask_start")
+    found = Counter(map(tuple, perspectives.rotate(frame).collect()))
+    assert found == brute(turns)
+    assert perspectives.rotate(frame.limit(0)).count() == 0
+
+
+def test_masks_cut_out_the_assistants_words(llm):
+    turns = llm.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    said = {(r["conv_id"], r["turn"]): r["text"] for r in turns.collect()}
+    for row in perspectives.rotate(turns).collect():
+        part = row["rendered"][row["mask_start"] : row["mask_end"]]
+        own = row["role"] == "assistant"
+        assert part == (said[row["conv_id"], row["turn"]] + "<|im_end|>" if own else "")

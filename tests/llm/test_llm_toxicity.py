@@ -1,0 +1,70 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from shelfline.llm import toxicity
+
+HOW = toxicity.Training(positives=300, unlabelled=600, steps=200)
+
+
+def made(llm, n=500):
+    """Clean and toxic texts; a third of the toxic ones carry a mark only as a word beginning."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        words = [f"word{k}" for k in rng.integers(0, 300, 40)]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            words[i % 40] = f"vile{i}" if i % 3 == 0 else "filthy"
+        rows.append((i, " ".join(words), toxic))
+    docs = llm.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = llm.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    return docs, labels, {r[0]: r[2] for r in rows}
+
+
+def test_held_out_accuracy(llm):
+    docs, labels, truth = made(llm)
+    models = toxicity.train(docs, labels, HOW)
+    scored = toxicity.toxicity_scores(docs, models, ["doc_id"]).collect()
+    held = [r for r in scored if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    right = sum((r["score"] >= 0.5) == bool(truth[r["doc_id"]]) for r in held)
+    assert len(held) > 60 and right / len(held) > 0.95
+    again = toxicity.toxicity_scores(docs.repartition(3), toxicity.train(docs, labels, HOW), ["doc_id"])
+    assert sorted(map(tuple, scored)) == sorted(map(tuple, again.collect()))
+
+
+def test_held_out_labels_are_not_read(llm):
+    docs, labels, _ = made(llm, 200)
+    wrong = labels.withColumn(
+        "toxic",
+        toxicity.F.when(toxicity.held_out(labels["doc_id"]), 1 - labels["toxic"]).otherwise(labels["toxic"]),
+    )
+    one, other = toxicity.train(docs, labels, HOW), toxicity.train(docs, wrong, HOW)
+    assert one.weights.keys() == other.weights.keys()
+    assert one.probability("filthy word1") == other.probability("filthy word1")
+
+
+def test_the_risk_of_clean_texts_stays_at_zero_or_above():
+    """With U all positive, a plain estimator would call everything clean; this one cannot."""
+    positive = [np.array([1, 2], np.uint32)] * 40 + [np.array([3], np.uint32)] * 40
+    unlabelled = [np.array([9], np.uint32)] * 160 + [np.array([1, 2], np.uint32)] * 20
+    models = toxicity.fit(positive, unlabelled, 0.4, toxicity.Training(steps=300))
+    words = {f: models.weights.get(f) for f in (1, 2, 3, 9)}
+    assert all(w is None or np.isfinite(w).all() for w in words.values())
+    assert (models.weights[1] > models.weights[9]).all()
+
+
+def test_odd_rows(llm, odd_docs, no_docs):
+    labels = llm.createDataFrame(
+        [(1, 1), (1, 0), (2, 0), (None, 1), (3, None), (99, 1)], "doc_id bigint, toxic int"
+    )
+    models = toxicity.train(odd_docs, labels)
+    scored = toxicity.toxicity_scores(odd_docs, models, odd_docs.columns, score="score")
+    assert sorted(scored.columns) == sorted(odd_docs.columns)
+    rows = scored.collect()
+    assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if not (r["text"] or "").strip()}) == 1
+    none = labels.limit(0)
+    assert toxicity.train(no_docs, none).probability("x") == pytest.approx(0.5)
+    assert toxicity.toxicity_scores(no_docs, models, ["doc_id"]).count() == 0
