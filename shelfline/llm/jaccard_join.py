@@ -17,7 +17,9 @@ sizes' sum. That gives three nested kinds of region, each complete:
    Hamming distance that never exceeds the size of the symmetric difference. In that space pivots
    create Voronoi regions, the triangle inequality says which sets at the boundary have to be in a
    neighbouring region as well, and small regions compare all sketches. Only pairs of different
-   components whose sketches allow a link are verified on the sets.
+   components whose sketches allow a link are verified on the sets: first each set with the one
+   nearest by sketch, then with the eight nearest, at last with all that are left, so that groups
+   of similar texts have become one component before all their pairs are looked at.
 
 Equal sets are one set throughout. Shingles and sets are told apart by 64-bit hashes.
 """
@@ -27,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,12 @@ FREQUENT = 4  # sets of the sample that make a shingle frequent
 MOST_FREQUENT = 1_000_000  # the most frequent ones that are kept, 8 MB
 REGION_ENTRIES = 1_500_000  # entries of a partition of regions
 FLUSH_ENTRIES = 4_000_000
-BLOCK = 1024
+BLOCK = 1024  # sets of a region that are compared with as many others in one task
 SMALL = 256
+TINY = 48  # regions that are compared together with others
+HELD_ROWS = 20_000
+MOST_BROADCAST = 1_000_000
+ROUNDS = (1, 8, None)  # nearest sets, by sketch, that each set is compared with
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array(
@@ -313,10 +318,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, text: str, doc_id: str, known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_id and shingles of the wanted sets, from one document of each."""
-    chosen = known.join(wanted, "set_id", "left_semi").select("set_id", "rep").withColumnRenamed("rep", "_rep")
+    """set_id and shingles of the wanted sets, from one document of each.
+
+    The documents' ids are counted; up to MOST_BROADCAST of them go to the texts, beyond that the
+    texts are shuffled to the ids.
+    """
+    chosen = known.join(wanted, "set_id", "left_semi").select("set_id", F.col("rep").alias("_rep"))
+    chosen = stage(chosen, "wanted")
+    few = chosen.count() <= MOST_BROADCAST
+    reps, ids = chosen.select("_rep").distinct(), chosen.select("set_id")
     found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(
-        chosen.select("_rep"), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi"
+        F.broadcast(reps) if few else reps, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi"
     )
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -327,7 +339,7 @@ def _fetched(docs: DataFrame, text: str, doc_id: str, known: DataFrame, wanted:
         }
 
     made = map_arrow(found, ["_text"], run, {"set_id": "bigint", "shingles": "binary"})
-    made = made.select("set_id", "shingles").join(chosen.select("set_id"), "set_id", "left_semi")
+    made = made.select("set_id", "shingles").join(F.broadcast(ids) if few else ids, "set_id", "left_semi")
     return stage(made.dropDuplicates(["set_id"]), "sets")
 
 
@@ -468,12 +480,71 @@ def _near(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, own: int)
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets that share a region, in different components, near by sketch."""
+def _candidates(
+    starts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], groups: np.ndarray, most: int | None
+) -> np.ndarray:
+    """Pairs (a, b) of set ids within the regions that begin at `starts`, in different groups.
+
+    With `most`, each set is paired with that many nearest ones of its region. Tiny regions of
+    one size are looked at together.
+    """
+    lengths = np.diff(np.append(starts, len(ids)))
+    parts = [np.empty((2, 0), np.int64)]
+    for length in np.unique(lengths):
+        some = starts[lengths == length]
+        if length <= TINY:
+            i, j = np.triu_indices(length, 1)
+            parts.append(np.stack([(some[:, None] + k).ravel() for k in (i, j)]))
+        else:
+            for at in some:
+                own = slice(at, at + length)
+                parts.append(np.stack(possible_pairs(sizes[own], sketches[own], groups[own])) + at)
+    x, y = np.concatenate(parts, axis=1)
+    fits = groups[x] != groups[y]
+    fits &= 100 * np.minimum(sizes[x], sizes[y]) >= 75 * np.maximum(sizes[x], sizes[y])
+    x, y = x[fits], y[fits]
+    far = _distances(x, y, sketches)
+    near = 7 * far <= sizes[x] + sizes[y]
+    x, y, far = x[near], y[near], far[near]
+    if most is not None and len(x):
+        both, other = np.concatenate([x, y]), np.concatenate([y, x])
+        share = np.tile(far / (sizes[x] + sizes[y]), 2)
+        order = np.lexsort((ids[other], share, both))
+        first, runs = _runs(both[order])
+        rank = np.arange(len(both)) - np.repeat(first, runs)
+        chosen = np.unique(order[rank < most] % len(x))
+        x, y = x[chosen], y[chosen]
+    return np.unique(np.sort(np.stack([ids[x], ids[y]]), axis=0), axis=1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Hamming distances of pairs of sketches; the wider one is folded once, as sizes allow."""
+    words = np.array([len(s) // 8 for s in sketches], np.int64)
+    width = np.minimum(words[x], words[y])
+    found = np.zeros(len(x), np.int64)
+    for w in np.unique(width):
+        pairs = np.flatnonzero(width == w)
+        used = np.unique(np.concatenate([x[pairs], y[pairs]]))
+        rows = []
+        for place in used:
+            sketch = np.frombuffer(sketches[place], np.uint64)
+            rows.append(sketch if len(sketch) == w else folded(sketch))
+        table = np.stack(rows)
+        step = max(1, (1 << 20) // int(w))
+        for at in range(0, len(pairs), step):
+            part = pairs[at : at + step]
+            a, b = table[np.searchsorted(used, x[part])], table[np.searchsorted(used, y[part])]
+            found[part] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return found
+
+
+def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of sets that share a region, in different components, near by sketch.
+
+    `everyone` are the (region, set_id) of all regions. Two sets alone in a region need no look:
+    one is the pivot, and their distance is known.
+    """
     names = labels.withColumnRenamed("node", "set_id")
-    everyone = members.select("region", "set_id").unionByName(
-        members.select("region", F.col("pivot").alias("set_id"))
-    ).distinct()
     placed = everyone.join(names, "set_id", "left").select(
         "region", "set_id", F.coalesce("component", "set_id").alias("component")
     )
@@ -486,7 +557,7 @@ def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame) -> Data
             F.min("component").alias("_lo"),
             F.max("component").alias("_hi"),
         )
-        .filter("_lo <> _hi")
+        .filter("_lo <> _hi AND _m > 2")
         # Regions of the same sets are joined once.
         .groupBy("_m", "_who")
         .agg(F.min("region").alias("region"))
@@ -496,19 +567,41 @@ def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame) -> Data
     inside = placed.join(regions.select("region", blocks.alias("_blocks")), "region").withColumn("_own", own)
     cells = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("_own")).alias("i"), F.greatest(k, F.col("_own")).alias("j")),
+        lambda k: F.least(k, F.col("_own")) * F.col("_blocks") + F.greatest(k, F.col("_own")),
     )
-    cut = inside.withColumn("_cell", F.explode(cells)).join(known.select("set_id", "n", "sketch"), "set_id")
+    cut = inside.withColumn("cell", F.explode(cells)).join(known.select("set_id", "n", "sketch"), "set_id")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        ids = part["set_id"].to_numpy()
-        i, j = possible_pairs(part["n"].to_numpy(), list(part["sketch"]), part["component"].to_numpy())
-        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def result(table: pa.Table) -> pa.RecordBatch:
+            region, cell, ids, component, n = (table.column(c).to_numpy() for c in range(5))
+            new = (region[1:] != region[:-1]) | (cell[1:] != cell[:-1])
+            starts = np.flatnonzero(np.concatenate([[True], new]))
+            sketches = table.column(5).to_pylist()
+            a, b = _candidates(starts, ids, n, sketches, component, most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < HELD_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            region, cell = table.column(0).to_numpy(), table.column(1).to_numpy()
+            # The last region may go on in the next batch.
+            ends = np.flatnonzero((region != region[-1]) | (cell != cell[-1]))
+            if len(ends):
+                whole = int(ends[-1]) + 1
+                yield result(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield result(pa.Table.from_batches(held))
 
     return (
-        cut.select("region", "_cell", "set_id", "component", "n", "sketch")
-        .groupBy("region", "_cell")
-        .applyInPandas(run, "a bigint, b bigint")
+        cut.select("region", "cell", "set_id", "component", "n", "sketch")
+        .repartition("region", "cell")
+        .sortWithinPartitions("region", "cell")
+        .mapInArrow(run, "a bigint, b bigint")
         .distinct()
     )
 
@@ -534,16 +627,36 @@ def _named_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     stars = members.select(
         F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")
     ).distinct()
-    stars = stage(_allowed(stars, known), "stars")
-    wanted = stars.select(F.col("a").alias("set_id")).union(stars.select("b")).distinct()
-    links = stage(_verified(stars, _fetched(docs, text, doc_id, known, wanted)), "links")
+    tried = stage(_allowed(stars, known), "stars")
+    fetched: DataFrame | None = None
+    links: DataFrame | None = None
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The links so far and those among the pairs. Each set is fetched once."""
+        nonlocal fetched
+        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        if fetched is not None:
+            wanted = wanted.join(fetched.select("set_id"), "set_id", "left_anti")
+        new = _fetched(docs, text, doc_id, known, wanted)
+        fetched = new if fetched is None else fetched.unionByName(new)
+        found = stage(_verified(pairs, fetched), "links")
+        return found if links is None else links.unionByName(found)
+
+    links = verify(tried)
     labels = components(spark, links)
-
-    rest = stage(_open_pairs(members, known, labels).join(stars, ["a", "b"], "left_anti"), "open")
-    if not rest.isEmpty():
-        wanted = rest.select(F.col("a").alias("set_id")).union(rest.select("b")).distinct()
-        more = stage(_verified(rest, _fetched(docs, text, doc_id, known, wanted)), "links")
-        labels = components(spark, links.unionByName(more))
+    everyone = stage(
+        members.select("region", "set_id")
+        .unionByName(members.select("region", F.col("pivot").alias("set_id")))
+        .distinct(),
+        "regions",
+    )
+    for most in ROUNDS:
+        rest = _open_pairs(everyone, known, labels, most).join(tried, ["a", "b"], "left_anti")
+        rest = stage(rest, "open")
+        if not rest.isEmpty():
+            links = verify(rest)
+            labels = components(spark, links)
+            tried = tried.unionByName(rest)
     return sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "doc_id", "text_hash", "n", F.coalesce("component", "set_id").alias("component")
     )
