@@ -559,7 +559,6 @@ def _document_batch(
         requests,
         _table(spark, d, "documents"),
         DOCUMENT_FIELDS,
-        "doc_id",
         ["doc_id", "lang", "source"],
         **options,
     )

@@ -7,6 +7,8 @@ search term and a whole column of them.
 
 from __future__ import annotations
 
+import re
+
 import string
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -97,11 +99,14 @@ def escape_html(value: Column) -> Column:
 def query_param(url: Column, key: str) -> Column:
     """A decoded query parameter of a URL; absent and empty are both null.
 
-    The first of several equal keys wins. A URL or an escape that cannot be
-    parsed gives null instead of failing the job.
+    Read as browsers do, without parsing the rest of the URL: the query runs from the first
+    question mark to the fragment, the first of several equal keys wins, a percent sign that
+    starts no escape is itself, and characters that should have been escaped stay.
     """
-    raw = F.try_parse_url(url, F.lit("QUERY"), F.lit(key))
-    return F.nullif(F.try_url_decode(raw), F.lit(""))
+    query = F.concat(F.lit("&"), F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1))
+    raw = F.regexp_extract(query, f"(?s)&{re.escape(key)}(?:=([^&]*))?(?=&|$)", 1)
+    escaped = F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.nullif(F.coalesce(F.try_url_decode(escaped), raw), F.lit(""))
 
 
 def query_params(url: Column, keys: Sequence[str]) -> list[Column]:

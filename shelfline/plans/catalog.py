@@ -119,6 +119,6 @@ def search_practices_batch(
         for name in schemas.PRACTICES.fieldNames()
         if name in LISTING_COLUMNS or name in ("category_id", "feature_id")
     ]
-    matches = search_batch(requests, practices, PRACTICE_FIELDS, "practice_id", stored)
+    matches = search_batch(requests, practices, PRACTICE_FIELDS, stored)
     listing = attach_lookups(matches, practice_lookups(categories, features))
     return listing.select("request_id", *LISTING_COLUMNS)

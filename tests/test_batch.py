@@ -62,7 +62,7 @@ def test_every_route_gives_the_same(
 ):
     monkeypatch.setattr(batch, "MAX_BROADCAST_ROWS", broadcast_rows)
     result = batch.search_batch(
-        requests, practices, PRACTICE_FIELDS, "practice_id", max_inline_texts=inline
+        requests, practices, PRACTICE_FIELDS, max_inline_texts=inline
     )
     assert pairs(result) == expected
     plan = result._jdf.queryExecution().executedPlan().toString()
@@ -71,13 +71,13 @@ def test_every_route_gives_the_same(
 
 def test_no_requests(requests, practices):
     none = requests.where(F.lit(False))
-    result = batch.search_batch(none, practices, PRACTICE_FIELDS, "practice_id")
+    result = batch.search_batch(none, practices, PRACTICE_FIELDS)
     assert result.columns == ["request_id", *practices.columns] and result.count() == 0
 
 
 def test_only_impossible_requests(requests, practices):
     only = requests.where("request_id = 13")
-    assert batch.search_batch(only, practices, PRACTICE_FIELDS, "practice_id").count() == 0
+    assert batch.search_batch(only, practices, PRACTICE_FIELDS).count() == 0
 
 
 def test_hot_request_and_hot_gram(spark):
@@ -97,7 +97,7 @@ def test_hot_request_and_hot_gram(spark):
         .alias("search"),
         F.lit("a").alias("area"),
     )
-    result = batch.search_batch(requests, fact, fields, "id", ["id"], max_inline_texts=0)
+    result = batch.search_batch(requests, fact, fields, ["id"], max_inline_texts=0)
     brute = sorted(
         (r, i)
         for r in range(90)

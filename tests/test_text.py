@@ -73,7 +73,9 @@ def test_trim_space(spark):
     "query, value",
     [
         ("?area=Security&area=General", "Security"), ("?area=a+b%20c", "a b c"), ("?area", None),
-        ("?area=", None), ("?area=%zz", None), ("?other=1", None), ("", None),
+        ("?area=", None), ("?area=%zz", "%zz"), ("?other=1", None), ("", None),
+        ("?search=a b&area=x y", "x y"), ("?search=100%&area=50%", "50%"), ("?a|[&area=a|b[", "a|b["),
+        ("?area&area=x", None), ("?areas=1&area=2", "2"), ("#?area=1", None), ("?b=?&area=%41%", "A%"),
         ("?area=%C3%A9#x", "é"),
     ],
 )
@@ -81,6 +83,12 @@ def test_query_param(spark, query, value):
     assert one(spark, query_param(F.lit("https://e.org/p" + query), "area")) == value
 
 
+def test_query_param_of_a_relative_url(spark):
+    assert one(spark, query_param(F.lit("/list?x.y=1&xzy=2"), "x.y")) == "1"
+    assert one(spark, query_param(F.lit("?q=%E9"), "q")) == "\ufffd"
+    assert one(spark, query_param(F.lit(None).cast("string"), "q")) is None
+
+
 def test_query_string_round_trip(spark):
     values = {"search": F.lit("a b&c=é%"), "area": F.lit(""), "level": F.lit("x")}
     text = one(spark, query_string(values))
