@@ -16,7 +16,7 @@ from shelfline.functions.text import (
     query_string,
 )
 from shelfline.operators.batch import search_batch
-from shelfline.operators.catalog import Lookup, catalog_list, lookup_list
+from shelfline.operators.catalog import Lookup, catalog_list, is_empty, lookup_list
 from shelfline.operators.constraints import check_fails, duplicates, is_missing, orphans
 from shelfline.operators.display import fallback, feature_link, source_link
 from shelfline.operators.filters import SearchFields, by_id, criteria, search
@@ -271,10 +271,11 @@ def _filter_enum_ignored(spark: SparkSession, d: str) -> DataFrame:
 def _empty_result(spark: SparkSession, d: str) -> DataFrame:
     documents = _table(spark, d, "documents")
     terms = {"present": "the", "absent": "no such text"}
-    hits = [
-        F.count_if(search(["text", "source"], term)).alias(name) for name, term in terms.items()
-    ]
-    return documents.agg(*hits).select(*((F.col(name) == 0).alias(name) for name in terms))
+    empty = {
+        name: is_empty(documents.where(search(["text", "source"], term)))
+        for name, term in terms.items()
+    }
+    return spark.createDataFrame([tuple(empty.values())], ", ".join(f"{n} boolean" for n in empty))
 
 
 # --- display ---------------------------------------------------------------

@@ -1,9 +1,12 @@
 """Creating a catalog, loading it in bulk and adding submissions to it.
 
-A catalog folder holds `categories`, `features`, `practices/batch=N`,
-`rejected/batch=N` and `last_ids/batch=N`. Every batch owns its folders and
-overwrites them, so running a batch again changes nothing: ids start after
-those of earlier batches only. There must be one writer at a time.
+A catalog folder holds `categories`, `features`, and in folders
+`writer=W/batch=N` the tables `practices`, `rejected` and `last_ids`. A batch
+belongs to its writer and owns its folders, so that writers never overwrite
+each other. Before its rows are stored, a batch reserves its ids in `last_ids`,
+after all that were reserved before; a batch that runs again finds its own
+reservation, gives the same ids and overwrites its own rows only. One batch
+runs at a time.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,51 +23,67 @@ from shelfline.operators.constraints import enforce
 from shelfline.operators.identifiers import assign_ids, fill_omitted, now
 from shelfline.operators.submissions import split_outcome, validate_submissions
 from shelfline.plans.catalog import Catalog
+from shelfline.session import stage, staging
 from shelfline.sources.tables import in_file_order, read_table, recreate_table, without
 
 # The selective enumerated column: a search for one area reads its folders only.
 PARTITION_BY = ("domain",)
 
-LAST_IDS = T.StructType([T.StructField("last_id", T.LongType())])
+LAST_IDS = T.StructType(
+    [T.StructField("before_id", T.LongType()), T.StructField("last_id", T.LongType())]
+)
+BATCHES = T.StructType([T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
 
 
-def _batch_path(catalog: Catalog, table: str, batch: int) -> str:
-    return f"{catalog.path(table)}/batch={batch}"
+def _batch_path(catalog: Catalog, table: str, writer: str, batch: int) -> str:
+    return f"{catalog.path(table)}/writer={writer}/batch={batch}"
 
 
-def _last_id_before(spark: SparkSession, catalog: Catalog, batch: int) -> int:
-    """The highest id given by batches before this one; one row per batch is stored."""
-    ids = read_table(spark, catalog.path("last_ids"), LAST_IDS)
-    if "batch" not in ids.columns:
-        return 0
-    return ids.where(F.col("batch") < batch).agg(F.max("last_id")).head()[0] or 0
+def _reservations(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    schema = T.StructType([*LAST_IDS, *BATCHES])
+    return read_table(spark, catalog.path("last_ids"), schema)
 
 
-def _next_batch(spark: SparkSession, catalog: Catalog) -> int:
-    ids = read_table(spark, catalog.path("last_ids"), LAST_IDS)
-    if "batch" not in ids.columns:
-        return 0
-    return ids.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).head()[0]
+def _last_id_before(spark: SparkSession, catalog: Catalog, writer: str, batch: int) -> int:
+    """Where the batch's ids start: as before if it has run, else after all others."""
+    own = (F.col("writer") == writer) & (F.col("batch") == batch)
+    mine, others = (
+        _reservations(spark, catalog)
+        .agg(F.max(F.when(own, F.col("before_id"))), F.max(F.when(~own, F.col("last_id"))))
+        .head()
+    )
+    return mine if mine is not None else others or 0
+
 
+def _next_batch(spark: SparkSession, catalog: Catalog, writer: str) -> int:
+    own = _reservations(spark, catalog).where(F.col("writer") == writer)
+    return own.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).head()[0]
 
-def _store_practices(
-    practices: DataFrame, catalog: Catalog, batch: int, last_id: int
+
+def _reserve(
+    spark: SparkSession, catalog: Catalog, writer: str, batch: int, before_id: int, last_id: int
 ) -> None:
-    """Write one batch of complete practices, then record its highest id."""
-    spark = practices.sparkSession
-    path = _batch_path(catalog, "practices", batch)
+    taken = _reservations(spark, catalog).where(
+        (F.col("before_id") < last_id)
+        & (F.col("last_id") > before_id)
+        & ~((F.col("writer") == writer) & (F.col("batch") == batch))
+    )
+    if not taken.isEmpty():
+        raise ValueError(f"batch {batch} of {writer} has more rows than when it ran before")
+    row = spark.createDataFrame([(before_id, last_id)], LAST_IDS).coalesce(1)
+    recreate_table(row, _batch_path(catalog, "last_ids", writer, batch))
+
+
+def _store_practices(practices: DataFrame, catalog: Catalog, writer: str, batch: int) -> None:
+    """Write one batch of complete practices."""
     rows = practices.select(
         *(F.col(field.name).cast(field.dataType) for field in schemas.PRACTICES)
     )
     # Rows of one category lie together in a file, so its statistics can skip it.
-    recreate_table(rows.sortWithinPartitions("domain", "category_id"), path, PARTITION_BY)
-    written = read_table(spark, path, schemas.PRACTICES)
-    highest = written.agg(
-        F.coalesce(F.max("practice_id"), F.lit(last_id)).cast("bigint").alias("last_id")
-    )
     recreate_table(
-        highest.select(F.greatest("last_id", F.lit(last_id).cast("bigint")).alias("last_id")),
-        _batch_path(catalog, "last_ids", batch),
+        rows.sortWithinPartitions("domain", "category_id"),
+        _batch_path(catalog, "practices", writer, batch),
+        PARTITION_BY,
     )
 
 
@@ -78,12 +97,30 @@ def create_catalog(spark: SparkSession, root: str) -> Catalog:
         ("rejected", schemas.REJECTED),
         ("last_ids", LAST_IDS),
     ):
-        in_batches = T.StructType([*schema, T.StructField("batch", T.LongType())])
-        empty = spark.createDataFrame([], in_batches)
-        recreate_table(empty, catalog.path(table), ["batch"])
+        empty = spark.createDataFrame([], T.StructType([*schema, *BATCHES]))
+        recreate_table(empty, catalog.path(table), BATCHES.fieldNames())
     return catalog
 
 
+def _with_ids(frame: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
+    """Keep given ids; number rows without one after the highest, in the given order."""
+    if key not in frame.columns:
+        return assign_ids(frame, key, order_by)
+    kept = frame.where(F.col(key).isNotNull())
+    highest = kept.agg(F.max(key)).head()[0] or 0
+    without_id = frame.where(F.col(key).isNull()).drop(key)
+    return kept.unionByName(assign_ids(without_id, key, order_by, max(highest, 0)))
+
+
+def _optional() -> dict[str, Column]:
+    """What a practice may omit, but for its id and times."""
+    return {
+        field.name: F.lit(None).cast(field.dataType)
+        for field in schemas.PRACTICES
+        if field.name not in ("practice_id", "created_at", "updated_at")
+    }
+
+
 def bulk_load(
     catalog: Catalog,
     categories: DataFrame,
@@ -92,39 +129,38 @@ def bulk_load(
     order_by: Sequence[str],
     clock: str | None = None,
 ) -> None:
-    """Recreate a catalog from whole tables, or raise and load none of a table.
+    """Recreate a catalog from whole tables, or raise and leave it as it was.
 
-    Tables load in dependency order. Categories and features bring their ids;
-    practices are numbered by `order_by`, a total order that may use columns
-    which are not stored. `clock` is the creation time, the present by default.
+    All three tables are staged and checked before anything stored is touched, so
+    that what is checked is what is stored and a load may read the catalog it
+    replaces. Rows without an id are numbered: practices by `order_by`, a total
+    order that may use columns which are not stored, categories and features by
+    name. `clock` is the creation time, the present by default.
     """
     spark = practices.sparkSession
-    create_catalog(spark, catalog.root)
-    for frame, table, schema, rules in (
-        (categories, "categories", schemas.CATEGORIES, schemas.CATEGORY_RULES),
-        (features, "features", schemas.FEATURES, schemas.FEATURE_RULES),
-    ):
-        complete = fill_omitted(frame, rules.defaults)
-        enforce(complete, rules)
-        recreate_table(complete.select(*schema.fieldNames()), catalog.path(table))
-    time = F.lit(clock).cast("timestamp") if clock else now()
-    optional = {
-        field.name: F.lit(None).cast(field.dataType)
-        for field in schemas.PRACTICES
-        if field.name not in ("practice_id", "created_at", "updated_at")
-    }
-    complete = fill_omitted(practices, {**optional, "created_at": time, "updated_at": time})
-    parents = {"categories": catalog.categories(spark), "features": catalog.features(spark)}
-    enforce(complete, schemas.PRACTICE_RULES, parents)
-    if "practice_id" in complete.columns:
-        kept = complete.where(F.col("practice_id").isNotNull())
-        without_id = complete.where(F.col("practice_id").isNull()).drop("practice_id")
-        highest = kept.agg(F.max("practice_id")).head()[0] or 0
-        numbered = assign_ids(without_id, "practice_id", order_by, max(highest, 0))
-        complete = kept.unionByName(numbered)
-    else:
-        complete = assign_ids(complete, "practice_id", order_by)
-    _store_practices(complete, catalog, 0, 0)
+    with staging(spark):
+        lookups: dict[str, DataFrame] = {}
+        for frame, table, schema, rules in (
+            (categories, "categories", schemas.CATEGORIES, schemas.CATEGORY_RULES),
+            (features, "features", schemas.FEATURES, schemas.FEATURE_RULES),
+        ):
+            omitted = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name != rules.primary_key}
+            complete = fill_omitted(frame, {**omitted, **rules.defaults})
+            numbered = _with_ids(complete, rules.primary_key, ["name"])
+            lookups[table] = stage(numbered.select(*schema.fieldNames()), table)
+            enforce(lookups[table], rules)
+        time = F.lit(clock).cast("timestamp") if clock else now()
+        complete = fill_omitted(practices, {**_optional(), "created_at": time, "updated_at": time})
+        if "practice_id" in complete.columns:
+            complete = stage(complete, "practices")
+        complete = _with_ids(complete, "practice_id", order_by)
+        enforce(complete, schemas.PRACTICE_RULES, lookups)
+        last_id = complete.agg(F.max("practice_id")).head()[0] or 0
+        create_catalog(spark, catalog.root)
+        for table, frame in lookups.items():
+            recreate_table(frame, catalog.path(table))
+        _reserve(spark, catalog, "load", 0, 0, max(last_id, 0))
+        _store_practices(complete, catalog, "load", 0)
 
 
 def load_tables(
@@ -161,27 +197,41 @@ def append_practices(
     order_by: Sequence[str],
     batch: int | None = None,
     clock: str | None = None,
+    writer: str = "append",
 ) -> int:
-    """Append rows of the twelve submitted columns, or raise and append none.
+    """Append rows of the submitted columns, or raise and append none.
 
-    Ids and timestamps are generated. Returns the batch number.
+    Ids and timestamps are generated; optional columns may be omitted. Returns
+    the number of the writer's batch.
     """
     spark = practices.sparkSession
-    batch = _next_batch(spark, catalog) if batch is None else batch
+    batch = _next_batch(spark, catalog, writer) if batch is None else batch
     parents = {"categories": catalog.categories(spark), "features": catalog.features(spark)}
-    enforce(practices, schemas.PRACTICE_RULES, parents)
-    _append(practices, catalog, order_by, batch, clock)
+    complete = fill_omitted(practices, _optional())
+    with staging(spark):
+        _append(complete, catalog, order_by, writer, batch, clock, parents)
     return batch
 
 
 def _append(
-    practices: DataFrame, catalog: Catalog, order_by: Sequence[str], batch: int, clock: str | None
+    practices: DataFrame,
+    catalog: Catalog,
+    order_by: Sequence[str],
+    writer: str,
+    batch: int,
+    clock: str | None,
+    parents: Mapping[str, DataFrame] | None = None,
 ) -> None:
-    last_id = _last_id_before(practices.sparkSession, catalog, batch)
-    numbered = assign_ids(practices, "practice_id", order_by, last_id)
+    spark = practices.sparkSession
+    before_id = _last_id_before(spark, catalog, writer, batch)
+    # The numbered rows are a staged copy: what is checked is what is stored.
+    numbered = assign_ids(practices, "practice_id", order_by, before_id)
+    if parents is not None:
+        enforce(numbered.drop("practice_id"), schemas.PRACTICE_RULES, parents)
     time = F.lit(clock).cast("timestamp") if clock else now()
     complete = fill_omitted(numbered, {"created_at": time, "updated_at": time})
-    _store_practices(complete, catalog, batch, last_id)
+    _reserve(spark, catalog, writer, batch, before_id, before_id + numbered.count())
+    _store_practices(complete, catalog, writer, batch)
 
 
 def ingest_submissions(
@@ -189,22 +239,25 @@ def ingest_submissions(
     catalog: Catalog,
     batch: int | None = None,
     clock: str | None = None,
+    writer: str = "ingest",
 ) -> int:
     """Validate submissions, append the accepted ones and quarantine the rest.
 
     `submissions` holds (submission_id, body); ids are given in the order of the
     unique submission_id. Categories and features are read anew, so a batch
-    sees every row stored before it began. Returns the batch number.
+    sees every row stored before it began. Returns the number of the writer's
+    batch.
     """
     spark = submissions.sparkSession
-    batch = _next_batch(spark, catalog) if batch is None else batch
+    batch = _next_batch(spark, catalog, writer) if batch is None else batch
     validated = validate_submissions(
         submissions, catalog.categories(spark), catalog.features(spark)
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        accepted, rejected = split_outcome(validated)
-        recreate_table(rejected, _batch_path(catalog, "rejected", batch))
-        _append(accepted, catalog, ["submission_id"], batch, clock)
+        with staging(spark):
+            accepted, rejected = split_outcome(validated)
+            recreate_table(rejected, _batch_path(catalog, "rejected", writer, batch))
+            _append(accepted, catalog, ["submission_id"], writer, batch, clock)
     finally:
         validated.unpersist()
     return batch

@@ -5,6 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,27 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what `stage` writes inside.
+
+    For jobs that have stored their results by then. A lazy result reads staged tables when it
+    is used; whoever asks for it inside an own scope ends the scope after that.
+    """
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        paths = _scope.get() or []
+        _scope.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
@@ -50,5 +74,8 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -50,8 +50,9 @@ def combine_shapes(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def recreate_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the table at `path`, or create it."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Replace the table at `path`, or create it, whatever the session's overwrite mode is."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*partition_by).parquet(path)
 
 
 def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,18 +55,20 @@ def stream_submissions(
     submissions: DataFrame,
     catalog: Catalog,
     checkpoint: str,
-    first_batch: int = 1,
+    writer: str | None = None,
     interval: str | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of (submission_id, body) by the rules of the batch job.
 
-    Micro-batch N becomes batch `first_batch` + N of the catalog; batch 0 is the
-    bulk load. Lookup tables are read anew for each micro-batch. Stateless: no
-    watermark is needed.
+    Micro-batch N becomes batch N of `writer`, by default one that is named after
+    the checkpoint folder: a new checkpoint counts from 0 again and must not own
+    the batches of another. Lookup tables are read anew for each micro-batch.
+    Stateless: no watermark is needed.
     """
+    name = writer or f"stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
 
     def ingest(batch: DataFrame, number: int) -> None:
-        ingest_submissions(batch, catalog, first_batch + number)
+        ingest_submissions(batch, catalog, number, writer=name)
 
     return each_batch(submissions.select(*SUBMISSIONS.fieldNames()), ingest, checkpoint, interval)
 

@@ -15,6 +15,7 @@ from shelfline.plans.ingest import (
     load_tables,
 )
 from shelfline.sources.tables import (
+    append_rows,
     combine_shapes,
     read_submissions,
     read_table,
@@ -70,7 +71,7 @@ def test_bulk_load_aborts_on_violation(spark, tmp_path, categories, features, pr
     seed = practices.drop("practice_id", "created_at", "updated_at")
     with pytest.raises(ConstraintViolation, match="category_id"):
         bulk_load(target, categories, features, seed.withColumn("seq", F.lit(1)), ("seq",))
-    assert target.practices(spark).count() == 0
+    assert not (tmp_path / "broken").exists()
     twice = categories.unionByName(categories)
     with pytest.raises(ConstraintViolation, match="UNIQUE name"):
         bulk_load(target, twice, features, seed, ("title",))
@@ -109,7 +110,7 @@ def test_append_practices(spark, catalog, practices):
 
 
 def test_ingest_appends_and_quarantines(spark, catalog):
-    assert ingest_submissions(submissions(spark), catalog, clock=CLOCK) == 1
+    assert ingest_submissions(submissions(spark), catalog, clock=CLOCK) == 0
     assert stored(spark, catalog)[5:] == [(6, "one"), (7, "five")]
     rejected = read_table(spark, catalog.path("rejected"), schemas.REJECTED).collect()
     assert sorted((r["submission_id"], r["status"]) for r in rejected) == [
@@ -123,7 +124,7 @@ def test_ids_continue_and_replays_change_nothing(spark, catalog):
     ingest_submissions(submissions(spark, [(9, body(title="nine"))]), catalog)
     before = stored(spark, catalog)
     assert before[-1] == (8, "nine")
-    ingest_submissions(submissions(spark), catalog, batch=1)
+    ingest_submissions(submissions(spark), catalog, batch=0)
     assert stored(spark, catalog) == before
 
 
@@ -192,3 +193,104 @@ def test_json_sink_keeps_nulls(spark, tmp_path, categories):
     assert read_submissions(spark, path).head()["body"] == (
         '{"category_id":1,"name":"alpha","description":null,"display_order":1}'
     )
+
+
+def test_writers_never_overwrite_each_other(spark, tmp_path, catalog, practices):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+
+    def run(name, rows, progress):
+        lines = [json.dumps({"submission_id": i, "body": text}) for i, text in rows]
+        (incoming / name).write_text("\n".join(lines))
+        stream = read_stream(spark, str(incoming), SUBMISSIONS, files="*.json")
+        stream_submissions(stream, catalog, str(tmp_path / progress)).awaitTermination()
+
+    ingest_submissions(submissions(spark, [(1, body(title="hand1"))]), catalog)
+    ingest_submissions(submissions(spark, [(2, body(title="hand2"))]), catalog)
+    run("a.json", [(3, body(title="stream1"))], "p1")
+    given = practices.where("practice_id = 1").selectExpr("practice_id AS seq", "title", "description", "domain")
+    append_practices(given, catalog, ["seq"])
+    run("b.json", [(4, body(title="stream2"))], "p1")
+    run("c.json", [], "p2")  # another checkpoint reads all files again
+    ids = stored(spark, catalog)
+    assert ids[5:10] == [(6, "hand1"), (7, "hand2"), (8, "stream1"), (9, "Rotate keys"), (10, "stream2")]
+    assert sorted(ids[10:]) == [(11, "stream1"), (12, "stream2")]
+    for batch in (1, 0):
+        title = f"hand{batch + 1}"
+        ingest_submissions(submissions(spark, [(batch + 1, body(title=title))]), catalog, batch=batch)
+    assert stored(spark, catalog) == ids
+    more = [(1, body(title="hand1")), (9, body(title="late"))]
+    with pytest.raises(ValueError, match="more rows"):
+        ingest_submissions(submissions(spark, more), catalog, batch=0)
+    assert stored(spark, catalog) == ids
+
+
+def test_a_failed_load_leaves_the_catalog(spark, catalog, categories, features, practices):
+    before = stored(spark, catalog)
+    bad = practices.withColumn("domain", F.lit("nowhere"))
+    with pytest.raises(ConstraintViolation):
+        bulk_load(catalog, categories, features, bad, ["practice_id"])
+    assert stored(spark, catalog) == before
+
+
+def test_a_load_may_read_the_catalog_it_replaces(spark, catalog):
+    before = stored(spark, catalog)
+    bulk_load(
+        catalog,
+        catalog.categories(spark),
+        catalog.features(spark),
+        catalog.practices(spark),
+        ["practice_id"],
+    )
+    assert stored(spark, catalog) == before
+
+
+def test_replays_under_dynamic_overwrite(spark, catalog):
+    ingest_submissions(submissions(spark, [(1, body(title="x", domain="General"))]), catalog)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        ingest_submissions(submissions(spark, [(1, body(title="x", domain="Security"))]), catalog, batch=0)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert [t for _, t in stored(spark, catalog)].count("x") == 1
+
+
+def test_lookups_without_ids_are_numbered(spark, tmp_path, categories, features, practices):
+    new = Catalog(str(tmp_path / "numbered"))
+    some = categories.selectExpr("IF(category_id = 4, NULL, category_id) AS category_id", "name")
+    bulk_load(new, some, features.drop("feature_id"), practices.limit(0), ["practice_id"])
+    assert sorted(r["category_id"] for r in new.categories(spark).collect()) == [1, 2, 3, 4]
+    assert sorted(r["feature_id"] for r in new.features(spark).collect()) == [1, 2, 3]
+
+
+def test_staged_copies_are_deleted(spark, catalog, categories, features):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    bulk_load(catalog, categories, features, catalog.practices(spark), ["practice_id"])
+    for number in range(3):
+        ingest_submissions(submissions(spark, [(number, body())]), catalog)
+    assert set(os.listdir(folder)) == before
+
+
+def test_a_new_lookup_row_counts_in_the_next_batch(spark, catalog):
+    ingest_submissions(submissions(spark, [(1, body(title="early", category_id=77))]), catalog)
+    row = spark.createDataFrame([(77, "new", None, 0)], schemas.CATEGORIES)
+    append_rows(row, catalog.path("categories"))
+    ingest_submissions(submissions(spark, [(2, body(title="later", category_id=77))]), catalog)
+    titles = [t for _, t in stored(spark, catalog)]
+    assert "later" in titles and "early" not in titles
+
+
+def test_default_times_are_of_the_run(spark, catalog):
+    from datetime import UTC, datetime, timedelta
+
+    start = datetime.now(UTC).replace(tzinfo=None, microsecond=0)
+    ingest_submissions(submissions(spark, [(1, body(title="a")), (2, body(title="b"))]), catalog)
+    rows = catalog.practices(spark).where("title IN ('a', 'b')")
+    times = {r[0] for r in rows.selectExpr("CAST(created_at AS string)").collect()}
+    assert len(times) == 1
+    time = datetime.fromisoformat(times.pop())
+    assert start <= time <= datetime.now(UTC).replace(tzinfo=None) + timedelta(seconds=1)
+    assert rows.where("created_at <> updated_at OR created_at <> date_trunc('second', created_at)").isEmpty()
