@@ -37,7 +37,7 @@ CHUNK_IDS = 1 << 18
 BLOCK_IDS = 1 << 15
 LEVEL = 3
 _SPACED = re.compile(r"[^ \t-\r]+").findall
-_REMEMBERED = 300_000
+_REMEMBERED = 700_000
 _LONGEST_REMEMBERED = 48
 # Letters that keep their form under composition and become one letter in lower case.
 _PLAIN_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
