@@ -18,7 +18,7 @@ from shelfline.functions.text import (
 from shelfline.operators.batch import search_batch
 from shelfline.operators.catalog import Lookup, catalog_list, is_empty, lookup_list
 from shelfline.operators.constraints import check_fails, duplicates, is_missing, orphans
-from shelfline.operators.display import fallback, feature_link, source_link
+from shelfline.operators.display import display_rows, fallback, feature_link, source_link
 from shelfline.operators.filters import SearchFields, by_id, criteria, search
 from shelfline.operators.identifiers import assign_ids, fill_omitted
 from shelfline.operators.submissions import (
@@ -26,7 +26,7 @@ from shelfline.operators.submissions import (
     missing_required,
     validate_submissions,
 )
-from shelfline.plans.catalog import Catalog
+from shelfline.plans.catalog import Catalog, search_practices, search_practices_batch
 from shelfline.plans.ingest import bulk_load, ingest_submissions, load_tables
 from shelfline.session import configure, shared_folder
 from shelfline.sources.tables import (
@@ -594,7 +594,15 @@ def _benchmark_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_batch_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _document_batch(spark, d, _benchmark_requests(spark, d))
+    """Terms of three characters, the beginnings of the nations' names, by grams."""
+    nothing = F.lit(None).cast("string")
+    requests = _table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("request_id"),
+        F.substring("n_name", 1, 3).alias("search"),
+        nothing.alias("categoryId"),
+        nothing.alias("area"),
+    )
+    return _document_batch(spark, d, requests, max_inline_texts=0)
 
 
 def _search_batch_grams(spark: SparkSession, d: str) -> DataFrame:
@@ -602,15 +610,75 @@ def _search_batch_grams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_batch_urls(spark: SparkSession, d: str) -> DataFrame:
-    """One request for each page: its language and its `page` parameter as an id."""
+    """One request for each page: its language, and its `page` parameter as an id if it has one."""
     requests = _table(spark, d, "pages").select(
         F.col("page_id").alias("request_id"),
         F.lit(None).cast("string").alias("search"),
         *(param.alias("categoryId") for param in query_params(F.col("url"), ["page"])),
         F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)/", 1).alias("area"),
     )
-    with_page = requests.where(F.col("categoryId").isNotNull())
-    return _document_batch(spark, d, with_page)
+    return _document_batch(spark, d, requests)
+
+
+# --- the catalog's own search ----------------------------------------------
+
+# A practice for each document, as SQL that Spark and DuckDB read alike.
+_PRACTICE_SQL = {
+    "practice_id": "doc_id + 1",
+    "title": "concat(source, ' ', CAST(doc_id % 13 AS STRING))",
+    "description": "text",
+    "domain": "CASE lang WHEN 'en' THEN 'Security' WHEN 'fr' THEN 'Performance' ELSE 'General' END",
+    "category_id": "doc_id % 7",
+    "feature_id": "CASE WHEN doc_id % 3 = 0 THEN doc_id END",
+    "recommendation_level": "CASE WHEN doc_id % 2 = 0 THEN 'Mandatory' ELSE 'Optional' END",
+    "impact_level": "CASE WHEN doc_id % 5 > 0 THEN 'High' END",
+    "difficulty_level": "CASE WHEN doc_id % 4 = 0 THEN 'Easy' END",
+    "prerequisites": "CASE WHEN doc_id % 6 = 0 THEN 'needs THE <lock>' END",
+    "expressions_configuration_details": "CASE WHEN doc_id % 11 = 0 THEN concat('a & ', lang) END",
+    "source_reference": "CASE WHEN doc_id % 2 = 1 THEN 'https://example.org/a?b=1' ELSE 'book' END",
+    "notes": "CASE WHEN doc_id % 9 = 0 THEN 'Zebra_note' END",
+}
+
+
+def _full_practices(spark: SparkSession, d: str) -> DataFrame:
+    columns = [F.expr(sql).alias(name) for name, sql in _PRACTICE_SQL.items()]
+    no_time = F.lit(None).cast("timestamp")
+    times = (no_time.alias("created_at"), no_time.alias("updated_at"))
+    return _table(spark, d, "documents").select(*columns, *times)
+
+
+def _practice_search(spark: SparkSession, d: str) -> DataFrame:
+    found = search_practices(
+        _full_practices(spark, d), _categories(spark, d), _features(spark, d),
+        search="the", area="Security", level="Mandatory", impact="High",
+    )
+    return found.drop("updated_at")
+
+
+def _practice_search_batch(spark: SparkSession, d: str) -> DataFrame:
+    fields = "request_id bigint, search string, categoryId string, featureId string, area string, level string, impact string"
+    requests = spark.createDataFrame(
+        [
+            (1, "ZEBRA_", None, None, None, None, None),
+            (2, "zebra_", None, None, "Security", "Optional", None),
+            (3, None, "3x", None, "nowhere", None, "High"),
+            (4, None, None, "12", None, None, None),
+            (5, "<LOCK>", None, None, "Performance", None, None),
+            (6, "99%", "x", None, None, None, "Low"),
+        ],
+        fields,
+    )
+    found = search_practices_batch(
+        requests, _full_practices(spark, d), _categories(spark, d), _features(spark, d)
+    )
+    return found.drop("updated_at")
+
+
+def _practice_display(spark: SparkSession, d: str) -> DataFrame:
+    found = search_practices(
+        _full_practices(spark, d), _categories(spark, d), _features(spark, d), search="lock"
+    )
+    return display_rows(found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -661,6 +729,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_batch_terms": _search_batch_terms,
         "search_batch_grams": _search_batch_grams,
         "search_batch_urls": _search_batch_urls,
+        "practice_search": _practice_search,
+        "practice_search_batch": _practice_search_batch,
+        "practice_display": _practice_display,
     }
     configured = {name: _configured(query) for name, query in found.items()}
     if training_data:
@@ -761,6 +832,32 @@ def oracle_sql() -> dict[str, str]:
         SELECT r.request_id, d.doc_id, d.lang, d.source
         FROM documents d
         JOIN (SELECT item_id AS request_id, text AS search FROM benchmark) r ON {text_hit}"""
+    practices = ", ".join(f"{text} AS {name}" for name, text in _PRACTICE_SQL.items())
+    texts = "title description prerequisites expressions_configuration_details notes".split()
+
+    def found_by(term: str) -> str:
+        return "(" + " OR ".join(f"coalesce({_fold(t)} LIKE '%{term}%', false)" for t in texts) + ")"
+
+    listing = f"""
+        SELECT practice_id, title, p.description, domain, c.r_name AS category_name,
+            CASE WHEN f.page_id IS NULL THEN NULL ELSE concat(f.page_id, ' ', f.url) END
+                AS feature_name,
+            f.url AS feature_url, recommendation_level, impact_level, difficulty_level,
+            prerequisites, expressions_configuration_details, source_reference, notes
+        FROM (SELECT {practices} FROM documents) p
+        LEFT JOIN region c ON p.category_id = c.r_regionkey
+        LEFT JOIN pages f ON p.feature_id = f.page_id"""
+
+    def shown(value: str) -> str:
+        for plain, safe in (
+            ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#039;")
+        ):
+            value = f"replace({value}, '{plain}', '{safe}')"
+        return f"coalesce({value}, '')"
+
+    def or_na(value: str) -> str:
+        return shown(f"coalesce(nullif({value}, ''), 'N/A')")
+
     sql = {
         "lookup_list": "SELECT n_nationkey AS id, n_name AS name FROM nation ORDER BY name",
         "catalog_list": f"{documents} ORDER BY lang, quality NULLS FIRST, source, d.doc_id",
@@ -908,16 +1005,48 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 6 THEN doc_id = 17
                 WHEN 7 THEN lang = 'de' AND (t LIKE '%e_e%a.%' OR s LIKE '%e_e%a.%')
                 WHEN 9 THEN lang = 'es' END""",
-        "search_batch_terms": benchmark_hits,
+        "search_batch_terms": f"""
+            SELECT r.request_id, d.doc_id, d.lang, d.source
+            FROM documents d
+            JOIN (SELECT CAST(n_nationkey AS BIGINT) AS request_id,
+                    substr(n_name, 1, 3) AS search FROM nation) r ON {text_hit}""",
         "search_batch_grams": benchmark_hits,
         "search_batch_urls": """
             SELECT r.page_id AS request_id, d.doc_id, d.lang, d.source
             FROM documents d
             JOIN (SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page,
                     regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS area FROM pages) r
-                ON d.doc_id = TRY_CAST(r.page AS BIGINT) AND r.page <> ''
+                ON (r.page = '' OR d.doc_id = TRY_CAST(r.page AS BIGINT))
                 AND (r.area NOT IN ('en', 'fr', 'de', 'es') OR d.lang = r.area)""",
     }
+    sql["practice_search"] = f"""
+        SELECT * FROM ({listing}) WHERE {found_by('the')} AND domain = 'Security'
+            AND recommendation_level = 'Mandatory' AND impact_level = 'High'"""
+    requested = {
+        1: found_by("zebra_"),
+        2: f"{found_by('zebra_')} AND domain = 'Security' AND recommendation_level = 'Optional'",
+        3: "(practice_id - 1) % 7 = 3 AND impact_level = 'High'",
+        4: "practice_id - 1 = 12",
+        5: f"{found_by('<lock>')} AND domain = 'Performance'",
+        6: f"{found_by('99%')} AND impact_level = 'Low'",
+    }
+    sql["practice_search_batch"] = " UNION ALL ".join(
+        f"SELECT CAST({number} AS BIGINT) AS request_id, * FROM ({listing}) WHERE {test}"
+        for number, test in requested.items()
+    )
+    link = "source_reference LIKE 'https://%'"
+    sql["practice_display"] = f"""
+        SELECT {shown('title')} AS title, {or_na('category_name')} AS category,
+            {shown('domain')} AS domain, {shown('recommendation_level')} AS level,
+            {or_na('impact_level')} AS impact, {or_na('difficulty_level')} AS difficulty,
+            {shown('description')} AS description, {or_na('prerequisites')} AS prerequisites,
+            {shown("coalesce(nullif(feature_name, ''), CASE WHEN coalesce(feature_url, '') = '' THEN 'N/A' ELSE 'Link' END)")} AS feature,
+            {or_na('expressions_configuration_details')} AS configuration,
+            CASE WHEN {link} THEN 'Documentation' ELSE {or_na('source_reference')} END AS source,
+            {shown('notes')} AS notes,
+            CASE WHEN coalesce(feature_url, '') <> '' THEN {shown('feature_url')} END AS feature_href,
+            CASE WHEN {link} THEN {shown('source_reference')} END AS source_href
+        FROM ({listing}) WHERE {found_by('lock')}"""
     if training_data:
         sql |= training_data.ORACLE_SQL
         if corpus_pipeline.ORACLE_SQL:

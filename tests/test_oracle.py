@@ -1,10 +1,14 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
+# The training-data queries have tests of their own.
+QUERIES = [q for q in entry.queries() if not re.match(r"op\d+_|pipeline$", q)]
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -20,7 +24,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", QUERIES)
 def test_matches_oracle(spark, duck, name):
     result = entry.queries()[name](spark, SF_DIR)
     columns = sorted(result.columns)
@@ -34,7 +38,8 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_gives_rows(spark):
