@@ -144,11 +144,22 @@ def exact_duplicates(
 
 
 def without_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = exact_duplicates(docs, text, doc_id).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.encode(ascii_lower(docs[text]), "utf-8"), 256)
-    found = docs.withColumn("_sha256", sha).join(
-        kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi"
+    """The rows of `docs` that stay, with all their columns.
+
+    The texts meet the ids that stay in one join. Only where an id that stays is that of several
+    equal texts, these rows are numbered to keep one.
+    """
+    found = stage(exact_duplicates(docs, text, doc_id), "exact-duplicates")
+    same = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = same.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(
+        F.count("*").alias("_n")
     )
-    return first_of(found, [doc_id, "_sha256"]).select(*docs.columns)
+    twice = stage(kept.filter("_n > 1"), "twice")
+    sha = F.sha2(F.encode(ascii_lower(docs[text]), "utf-8"), 256)
+    keyed = docs.withColumn("_sha256", sha)
+    match = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha"))
+    once = keyed.join(kept.filter("_n = 1"), match, "left_semi")
+    if twice.isEmpty():
+        return once.select(*docs.columns)
+    repeated = first_of(keyed.join(twice, match, "left_semi"), [doc_id, "_sha256"])
+    return once.unionByName(repeated).select(*docs.columns)

@@ -97,25 +97,27 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, with all their columns."""
     decided = _decided(docs, "text", "doc_id", "source", seed)
     decided = decided.select(*[F.col(c).alias(f"_{c}") for c in (*_KEY, "n", "base", "extra")])
+    decided = stage(decided, "decided")
     keyed = docs.withColumn("_hash", _text_hash(F.col("text")))
-    joined = keyed.join(
-        decided,
+    match = (
         F.col("doc_id").eqNullSafe(F.col("_doc_id"))
         & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_hash") == F.col("_text_hash")),
-    )
-    single = joined.filter("_n = 1").withColumn("_copies", F.col("_base") + F.col("_extra"))
-    by = ["_doc_id", "_source", "_text_hash"]
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*by))
-    repeated = joined.filter("_n > 1").withColumn(
-        "_copies", F.col("_base") + (place <= F.col("_extra")).cast("int")
-    )
-    return (
-        single.unionByName(repeated)
-        .filter("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
+        & (F.col("_hash") == F.col("_text_hash"))
     )
+    taken = decided.filter("_n = 1 AND _base + _extra > 0")
+    mixed = keyed.join(taken, match).withColumn("_copies", F.col("_base") + F.col("_extra"))
+    several = decided.filter("_n > 1")
+    if not several.isEmpty():
+        # Rows that repeat are numbered to tell which of them get one more copy.
+        by = ["_doc_id", "_source", "_text_hash"]
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*by))
+        repeated = keyed.join(several, match).withColumn(
+            "_copies", F.col("_base") + (place <= F.col("_extra")).cast("int")
+        )
+        mixed = mixed.unionByName(repeated.filter("_copies > 0"))
+    return mixed.withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    ).select(*docs.columns)
 
 
 def _text_hash(text: Column) -> Column:
