@@ -27,7 +27,7 @@ from shelfline.operators.submissions import (
     validate_submissions,
 )
 from shelfline.plans.catalog import Catalog, search_practices, search_practices_batch
-from shelfline.plans.ingest import bulk_load, ingest_submissions, load_tables
+from shelfline.plans.ingest import bulk_load, ingest_submissions, load_tables, read_bodies
 from shelfline.session import configure, shared_folder
 from shelfline.sources.tables import (
     append_rows,
@@ -526,6 +526,15 @@ def _ingest_submissions(spark: SparkSession, d: str) -> DataFrame:
     return catalog.practices(spark).select(*STORED)
 
 
+def _ingest_raw_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The same from files of one body to a line."""
+    catalog = _new_catalog(spark, d)
+    folder = shared_folder(spark, "bodies")
+    _bodies(spark, d).orderBy("submission_id").select("body").write.text(folder)
+    ingest_submissions(read_bodies(spark, folder), catalog)
+    return catalog.practices(spark).select(*STORED)
+
+
 def _stream_submissions(spark: SparkSession, d: str) -> DataFrame:
     catalog = _new_catalog(spark, d)
     folder = shared_folder(spark, "incoming")
@@ -723,6 +732,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bulk_load": _bulk_load,
         "load_tables": _load_tables,
         "ingest_submissions": _ingest_submissions,
+        "ingest_raw_bodies": _ingest_raw_bodies,
         "stream_submissions": _stream_submissions,
         "stream_append": _stream_append,
         "search_batch": _search_batch,
@@ -988,6 +998,7 @@ def oracle_sql() -> dict[str, str]:
         "bulk_load": loaded,
         "load_tables": loaded,
         "ingest_submissions": ingested,
+        "ingest_raw_bodies": ingested,
         "stream_submissions": ingested,
         "stream_append": """
             SELECT event_id, event_type FROM events

@@ -234,6 +234,19 @@ def _append(
     _store_practices(complete, catalog, writer, batch)
 
 
+def read_bodies(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """(submission_id, body) of raw JSON bodies, numbered as they lie in the files.
+
+    A body is a line, or with `whole_files` a file of any number of lines. The
+    numbers are the same whenever the files are.
+    """
+    raw = spark.read.text(path, wholetext=whole_files)
+    placed, order = in_file_order(raw)
+    return assign_ids(placed, "submission_id", order).select(
+        "submission_id", F.col("value").alias("body")
+    )
+
+
 def ingest_submissions(
     submissions: DataFrame,
     catalog: Catalog,

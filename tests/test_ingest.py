@@ -13,6 +13,7 @@ from shelfline.plans.ingest import (
     create_catalog,
     ingest_submissions,
     load_tables,
+    read_bodies,
 )
 from shelfline.sources.tables import (
     append_rows,
@@ -294,3 +295,19 @@ def test_default_times_are_of_the_run(spark, catalog):
     time = datetime.fromisoformat(times.pop())
     assert start <= time <= datetime.now(UTC).replace(tzinfo=None) + timedelta(seconds=1)
     assert rows.where("created_at <> updated_at OR created_at <> date_trunc('second', created_at)").isEmpty()
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_raw_bodies(spark, tmp_path, catalog, whole):
+    texts = [body(title="one"), "null", body(title="two", domain="x"), body(title="three")]
+    folder = tmp_path / "bodies"
+    folder.mkdir()
+    for i, text in enumerate(texts):
+        spread = json.dumps(json.loads(text), indent=1) if whole else text + "\n"
+        (folder / f"{i}.json").write_text(spread)
+    found = read_bodies(spark, str(folder), whole)
+    assert [r["submission_id"] for r in found.orderBy("submission_id").collect()] == [1, 2, 3, 4]
+    ingest_submissions(found, catalog)
+    assert stored(spark, catalog)[5:] == [(6, "one"), (7, "three")]
+    rejected = read_table(spark, catalog.path("rejected"), schemas.REJECTED).collect()
+    assert sorted((r["submission_id"], r["status"]) for r in rejected) == [(2, 500), (3, 400)]
