@@ -37,6 +37,7 @@ class SearchFields:
         return (*search, *self.ids, *self.enums)
 
 
+# The searched text columns and the names of the request's fields.
 PRACTICE_FIELDS = SearchFields(
     text=(
         "title",

@@ -30,6 +30,7 @@ ENUMS = (
     ("impact_level", schemas.IMPACT_LEVELS, "Invalid impact level"),
     ("difficulty_level", schemas.DIFFICULTY_LEVELS, "Invalid difficulty level"),
 )
+# The two other error texts.
 MISSING_ERROR = "Missing required fields: "
 STORE_ERROR = "Failed to create practice"
 

@@ -12,6 +12,7 @@ from shelfline.operators.catalog import Lookup, attach_lookups, catalog_list, lo
 from shelfline.operators.filters import PRACTICE_FIELDS, criteria
 from shelfline.sources.tables import read_table
 
+# The columns of the listing.
 LISTING_COLUMNS = (
     "practice_id",
     "title",
