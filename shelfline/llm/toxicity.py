@@ -170,14 +170,15 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Cla
     prior = (toxic + 0.5) / (toxic + clean + 1)
     texts = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
     at = unit_uniform(F.lit(how.seed), "doc_id")
-    # Hashes are even, so a share of them above the bound holds enough rows; limit() cuts the rest.
+    # The smallest hashes are taken: a share a little above the bound first, then exactly it.
     confirmed = known.filter("_toxic = 1").select("doc_id")
-    confirmed = confirmed.filter(at < _share(how.positives, toxic)).limit(how.positives)
+    confirmed = confirmed.filter(at < _share(how.positives, toxic))
+    confirmed = confirmed.orderBy(at, "doc_id").limit(how.positives)
     total = texts.count()
     others = texts.filter(at < _share(how.unlabelled, total))
     # At most how.positives ids are broadcast.
-    positive = _read(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), how.positives)
-    unlabelled = _read(others, how.unlabelled)
+    positive = _read(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), how.positives, at)
+    unlabelled = _read(others, how.unlabelled, at)
     return fit(positive, unlabelled, prior, how)
 
 
@@ -185,8 +186,9 @@ def _share(bound: int, total: int) -> float:
     return 1.1 * bound / max(total, 1)
 
 
-def _read(texts: DataFrame, most: int) -> list[np.ndarray]:
-    """The features of at most `most` texts. Their order depends on the texts alone."""
+def _read(texts: DataFrame, most: int, at: Column) -> list[np.ndarray]:
+    """The features of the `most` texts that are first by `at`. Their order depends on the texts
+    alone."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         made = [
@@ -195,7 +197,7 @@ def _read(texts: DataFrame, most: int) -> list[np.ndarray]:
         return {"_features": pa.array(made, pa.binary())}
 
     rows = map_arrow(texts, ["doc_id", "text"], run, {"_features": "binary"})
-    rows = rows.select("doc_id", "_features").limit(most).toLocalIterator()
+    rows = rows.select("doc_id", "_features").orderBy(at, "doc_id", "_features").limit(most).collect()
     found = sorted(((r[0], bytes(r[1])) for r in rows))
     return [np.frombuffer(f, np.uint32) for _, f in found]
 
