@@ -17,7 +17,7 @@ sizes' sum. That gives three nested kinds of region, each complete:
    Hamming distance that never exceeds the size of the symmetric difference. In that space pivots
    create Voronoi regions, the triangle inequality says which sets at the boundary have to be in a
    neighbouring region as well, and small regions compare all sketches. Only pairs of different
-   components whose sketches allow a link are verified on the sets: first each set with the four
+   components whose sketches allow a link are verified on the sets: first each set with the one
    nearest by sketch, then with all that are left, so that groups of similar texts have become
    one component before all their pairs are looked at.
 
@@ -48,7 +48,7 @@ SMALL = 256
 TINY = 48  # regions that are compared together with others
 HELD_ROWS = 20_000
 MOST_BROADCAST = 1_000_000
-ROUNDS = (4, None)  # nearest sets, by sketch, that each set is compared with
+ROUNDS = (1, None)  # nearest sets, by sketch, that each set is compared with
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array(
