@@ -64,12 +64,13 @@ class WordTokenizer:
     """A tokenizer of the tokenizers library that drops white space, with remembered words.
 
     Such a tokenizer encodes the pieces between white space independently, and letters apart from
-    the punctuation after them.
+    the punctuation after them. Spellings of special tokens hold no white space; they become the
+    special ids, as by the library's plain call, unless they are taken as plain text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = True) -> None:
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
         self._model = self._tokenizer.model
         steps = json.loads(self._tokenizer.to_str())
         self._lower = _kinds(steps["normalizer"]) == ["NFC", "Replace", "Lowercase"]
@@ -101,7 +102,7 @@ class WordTokenizer:
 
 @functools.cache
 def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return WordTokenizer(path, special_as_text=False)
 
 
 # --- planes -----------------------------------------------------------------
@@ -161,7 +162,8 @@ def write_token_files(
 ) -> None:
     """Encode all whole texts and write them to a new folder, ascending by doc_id.
 
-    Null texts count as empty, `end_id` follows every document. Null ids come first; equal ids
+    Ids are those of the library's plain call without added special tokens; a special token that a
+    text spells out becomes its id. Null texts count as empty, `end_id` follows every document. Null ids come first; equal ids
     are ordered by the text's hash. Texts are range partitioned before they are encoded, so that
     the sampling for the ranges does not encode them too.
     """
