@@ -88,11 +88,9 @@ def _op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "flat-tokens")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, [])
-    separator_scan.write_flat_files(encoded, folder, SEPARATOR)
-    scanned = separator_scan.scan_token_files(spark, folder, SEPARATOR)
-    name = F.regexp_extract("file", "[^/]*$", 0)
-    return scanned.withColumn("file", name)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, ["doc_id"])
+    separator_scan.write_flat_files(encoded, folder, SEPARATOR, doc_id="doc_id")
+    return separator_scan.scan_documents(spark, folder, SEPARATOR)
 
 
 def _op10_rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
