@@ -8,8 +8,10 @@ pages says how important it is: menus and notices repeat themselves, articles do
 
 A node's importance combines both entropies: the larger one counts, since a varying arrangement
 is as telling as varying text. Branches below a threshold are cut from each page, once a host has
-enough different pages to tell; what the page declares to be no content (menus, forms, adverts,
-notices, comments, ...) is cut from any page. If the page declares an article, only that is read.
+enough different pages to tell. What a page declares is evidence only: a branch declared to be no
+content (menus, forms, adverts, notices, comments, ...) is cut where the tree says so, or where all
+branches of its style hold less than half of the page's text outside links. If the page declares
+an article, only that is read, unless there is clearly more text outside it.
 
 Counts are combined before they are shuffled; a host of any size is a few narrow rows for each
 node, and only its list of unimportant nodes returns to its pages.
@@ -18,8 +20,10 @@ node, and only its list of unimportant nodes returns to its pages.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,12 +36,14 @@ from shelfline.session import stage
 
 LEAST_PAGES = 10  # different pages of a host before its tree is used
 LEAST_IMPORTANCE = 0.1
+MARKED_SHARE = 0.5  # of a page's text, from which on a declared branch may be the article
+MORE_OUTSIDE = 200  # letters that the text outside the articles has to have more than they have
 
 # Fixed values of HTML: elements without content, elements that are never text, elements that
 # start a block, and which open elements a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(
-    "audio button canvas datalist dialog form head iframe input math menu nav noscript object "
+    "audio button canvas datalist head iframe input math noscript object "
     "optgroup option script select style svg template textarea title video".split()
 )
 BLOCKS = frozenset(
@@ -51,11 +57,12 @@ _CLOSES = {
 }
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
           "th": {"tr", "table"}, "option": {"select"}}
-_ASIDE_TAGS = frozenset({"aside", "footer"})
+_ASIDE_TAGS = frozenset({"aside", "dialog", "footer", "form", "menu", "nav"})
 _ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split()
 )
-# Words of classes and ids that declare a branch to be no content.
+# Words of classes and ids that declare a branch to be no content, and those that may stand beside
+# them. A name with any other word (with-sidebar, related-work) declares nothing.
 _ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos "
     "banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside "
@@ -63,31 +70,63 @@ _ASIDE_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments disqus replies respond pagination pager toolbar widget widgets skip".split()
 )
+_PLACE_WORDS = frozenset(
+    "area bar block bottom box container inner item items left link links list main right section "
+    "site top wrapper".split()
+)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _declares(marks: str) -> bool:
+    """Whether one of the names declares a branch to be no content."""
+    for name in marks.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words & _ASIDE_WORDS and words <= _ASIDE_WORDS | _PLACE_WORDS:
+            return True
+    return False
+
+
+class _Block(NamedTuple):
+    text: str
+    plain: int  # letters outside links
+    inside: bool  # in an article
+    path: tuple[int, ...]  # nodes
+    marked: tuple[int, ...]  # those of them that declare themselves no content
+
+
+class _Element(NamedTuple):
+    tag: str
+    node: int
+    silent: bool
+    marked: bool
+    article: bool
+    link: bool
+
+
 class _Page(HTMLParser):
     """One pass over a page: its blocks with what holds them, and its nodes' contents."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []  # text, in an article, node path
+        self.blocks: list[_Block] = []
         self.nodes: dict[int, tuple[list[str], list[str]]] = {}  # node: children, texts
-        self._open: list[tuple[str, int, bool, bool]] = []  # tag, node, is no content, is article
+        self._open: list[_Element] = []
         self._text: list[str] = []
-        self.has_article = False
+        self._plain = 0
 
     def _end_block(self) -> None:
         if self._text:
             text = _SPACE.sub(" ", "".join(self._text)).strip()
             if text:
-                inside = any(o[3] for o in self._open)
-                self.blocks.append((text, inside, tuple(o[1] for o in self._open)))
-                for _, node, _, _ in self._open:
+                inside = any(o.article for o in self._open)
+                path = tuple(o.node for o in self._open)
+                marked = tuple(o.node for o in self._open if o.marked)
+                self.blocks.append(_Block(text, self._plain, inside, path, marked))
+                for node in path:
                     if node in self.nodes:
                         self.nodes[node][1].append(text)
-            self._text = []
+            self._text, self._plain = [], 0
 
     def _pop(self, to: int) -> None:
         for tag, *_ in self._open[to:]:
@@ -122,28 +161,26 @@ class _Page(HTMLParser):
             return
         values = dict(attrs)
         marks = f"{values.get('class') or ''} {values.get('id') or ''}"
-        words = {w.lower() for w in _WORD.findall(marks)}
         role = (values.get("role") or "").lower()
-        in_article = any(o[3] for o in self._open)
+        in_article = any(o.article for o in self._open)
         article = tag in ("article", "main") or role in ("article", "main")
-        aside = (
-            tag in SILENT
-            or tag in _ASIDE_TAGS
+        silent = tag in SILENT
+        marked = not silent and (
+            tag in _ASIDE_TAGS
             or (tag == "header" and not in_article)
             or role in _ASIDE_ROLES
             or "hidden" in values
-            or (tag not in ("html", "body", "article", "main") and bool(words & _ASIDE_WORDS))
+            or (tag not in ("html", "body", "article", "main") and _declares(marks))
         )
         parent = self._open[-1][1] if self._open else 0
         style = f"{tag} {' '.join(sorted(marks.split()))}"
         node = xxhash.xxh3_64_intdigest(style, parent) >> 1
         if self._open and parent in self.nodes:
             self.nodes[parent][0].append(style)
-        if not aside:
+        if not silent:
             self.nodes.setdefault(node, ([], []))
-        article = article and not aside and not any(o[2] for o in self._open)
-        self.has_article |= article
-        self._open.append((tag, node, aside, article))
+        link = tag == "a" and "href" in values
+        self._open.append(_Element(tag, node, silent, marked, article, link))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -157,8 +194,10 @@ class _Page(HTMLParser):
             self._end_block()
 
     def handle_data(self, data: str) -> None:
-        if not any(o[2] for o in self._open):
+        if not any(o.silent for o in self._open):
             self._text.append(data)
+            if not any(o.link for o in self._open):
+                self._plain += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -175,12 +214,25 @@ def _parsed(html: str | None) -> _Page:
 def main_text(html: str | None, unimportant: frozenset[int] = frozenset()) -> str:
     """The page's blocks, one on a line, without the branches of the given nodes.
 
-    A page of which they would leave nothing is not cut.
+    A page of which they would leave nothing is not cut by them, nor by what it declares if that
+    would leave nothing.
     """
-    page = _parsed(html)
-    blocks = [(text, path) for text, inside, path in page.blocks if inside or not page.has_article]
-    cut = [text for text, path in blocks if unimportant.isdisjoint(path)]
-    return "\n".join(cut or [text for text, _ in blocks])
+    blocks = _parsed(html).blocks
+    if not any(b.plain for b in blocks):
+        blocks = [b._replace(plain=len(b.text)) for b in blocks]
+    held: Counter[int] = Counter()
+    for block in blocks:
+        for node in set(block.marked):
+            held[node] += block.plain
+    most = MARKED_SHARE * sum(b.plain for b in blocks)
+    small = {node for node, plain in held.items() if plain < most}
+    declared = [b for b in blocks if small.isdisjoint(b.marked)] or blocks
+    cut = [b for b in declared if unimportant.isdisjoint(b.path)] or declared
+    inside = [b for b in cut if b.inside]
+    article = sum(b.plain for b in inside)
+    if inside and sum(b.plain for b in cut) - article <= article + MORE_OUTSIDE:
+        cut = inside
+    return "\n".join(b.text for b in cut)
 
 
 def host_of(url: str | None) -> str:
