@@ -86,7 +86,8 @@ def mix_sources(
 
     size counts words, and a null text has none. copies is how often the mix takes the row;
     taken is copies * size. Rows that are the same in id, source and text are interchangeable.
-    Documents without words get the whole part of the copies. The draws depend on `seed` and the
+    Documents without words get their source's copies too, the fraction by a draw for each; of a
+    source without any words none is taken. The draws depend on `seed` and the
     rows' values only, so that a rerun gives the same rows. Other columns are not read. An empty
     frame gives an empty frame.
     """
@@ -142,13 +143,16 @@ def _decided(docs: DataFrame, text: str, doc_id: str, source: str, seed: int) ->
         .drop("_source")
         .withColumn("_rate", rate)
         .withColumn("base", base)
-        .withColumn("_expected", F.when(F.col("size") > 0, expected).otherwise(0.0))
+        .withColumn("_expected", expected)
         .withColumn("extra", F.floor(F.col("_expected") + _EPSILON))
         .withColumn("f", F.greatest(F.col("_expected") - F.col("extra"), F.lit(0.0)))
         .withColumn("u", unit_uniform(F.lit(seed), *_KEY))
         .drop("_rate", "_expected")
     )
-    open_ = F.col("f") > _EPSILON
+    # Rows without words weigh nothing in a pair: each is drawn by its own fraction.
+    drawn = (F.col("size") == 0) & (F.col("u") < F.col("f"))
+    units = units.withColumn("extra", F.col("extra") + drawn.cast("int"))
+    open_ = (F.col("f") > _EPSILON) & (F.col("size") > 0)
     columns = [*_KEY, "source_size", "target", "n", "base", "extra"]
     settled = [units.filter(~open_).select(*columns)]
     units = units.filter(open_)
