@@ -7,8 +7,8 @@ pages says how important it is: menus and notices repeat themselves, articles do
     importance = -sum p log_m p     over the variants' shares p, for m different pages
 
 A node's importance combines both entropies: the larger one counts, since a varying arrangement
-is as telling as varying text. Branches below a threshold are cut from each page, once a host has
-enough different pages to tell. What a page declares is evidence only: a branch declared to be no
+is as telling as varying text. Branches below a threshold are cut from each page, once their
+entropy over the host's different pages is significant. What a page declares is evidence only: a branch declared to be no
 content (menus, forms, adverts, notices, comments, ...) is cut where the tree says so, or where all
 branches of its style hold less than half of the page's text outside links. If the page declares
 an article, only that is read, unless there is clearly more text outside it.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import map_arrow
 from shelfline.session import stage
 
-LEAST_PAGES = 10  # different pages of a host before its tree is used
+SIGNIFICANCE = 0.05  # the chance to find a node as repetitive by accident
 LEAST_IMPORTANCE = 0.1
 MARKED_SHARE = 0.5  # of a page's text, from which on a declared branch may be the article
 MORE_OUTSIDE = 200  # letters that the text outside the articles has to have more than they have
@@ -302,17 +302,20 @@ def node_importance(pages: DataFrame) -> DataFrame:
 def extract_main_text(
     pages: DataFrame,
     keep: list[str],
-    least_pages: int = LEAST_PAGES,
+    significance: float = SIGNIFICANCE,
     least_importance: float = LEAST_IMPORTANCE,
 ) -> DataFrame:
     """The columns `keep` and text: the main text of every page of a frame with url and html.
 
     White space within a block is one space, blocks are joined by line ends in page order, a line
     break element is white space. A null or empty page has an empty text; pages without a
-    readable host share one. `text` takes the place of a column of that name. Repeated pages stay.
+    readable host share one. A page after the first repeats a node by accident with a chance of a
+    half at most; branches are cut where that explains the tree with less than `significance`,
+    which identical ones reach on six pages. `text` takes the place of a column of that name. Repeated pages stay.
     """
     weak = node_importance(pages).filter(
-        (F.col("pages") >= least_pages) & (F.col("importance") < least_importance)
+        (F.col("importance") < least_importance)
+        & (F.pow(F.lit(0.5), (F.col("pages") - 1) * (1 - F.col("importance"))) < significance)
     )
     # Nodes are styles, not contents: a host's list is as long as its templates are many.
     lists = weak.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("_cut"))
