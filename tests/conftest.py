@@ -4,10 +4,12 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
 from shelfline import schemas  # noqa: E402
 from shelfline.session import configure  # noqa: E402
+from samples import PRACTICE_ROWS  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -48,57 +50,7 @@ def features(spark):
     return spark.createDataFrame(rows, schemas.FEATURES)
 
 
-# title, description, domain, category, feature, recommendation, impact, difficulty,
-# prerequisites, configuration, source, notes
-PRACTICE_ROWS = [
-    (
-        1, "Rotate keys", "Rotate them\noften", "Security", 1, 10,
-        "Mandatory", "High", "Easy", None, r"path C:\temp", "https://e.org/a", "note a_c",
-    ),
-    (
-        2, "Cache assets", "Étage 100%", "Performance", 2, None,
-        "Optional", None, "Bogus", "", None, "HTTPS://e.org", None,
-    ),
-    (
-        3, "Twin", "same", "General", 3, 11,
-        "Recommended", "Low", None, "a plan", None, None, "",
-    ),
-    (
-        4, "Twin", "same", "General", 3, 11,
-        "Recommended", "Low", "Complex", None, None, "book <1>", None,
-    ),
-    (
-        5, "No shelf", "xabcx", "Security", None, 10,
-        "Situational", "Medium", "Medium", None, None, "", "tail\\",
-    ),
-    (
-        6, "Zero", "ÀB", "Security", 0, None,
-        None, "Medium", "Easy", None, None, None, None,
-    ),
-]
-
-
 @pytest.fixture(scope="session")
 def practices(spark):
     rows = [(*row, None, None) for row in PRACTICE_ROWS]
     return spark.createDataFrame(rows, schemas.PRACTICES)
-
-
-def like(text, term):
-    """Plain matcher for LIKE '%term%' with ASCII case folding."""
-    if text is None:
-        return False
-
-    def fold(value):
-        return "".join(c.lower() if "A" <= c <= "Z" else c for c in value)
-
-    text, pattern = fold(text), "%" + fold(term) + "%"
-    reached = {0}
-    for char in pattern:
-        if char == "%":
-            reached = set(range(min(reached), len(text) + 1)) if reached else set()
-        else:
-            reached = {
-                i + 1 for i in reached if i < len(text) and (char == "_" or text[i] == char)
-            }
-    return len(text) in reached

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PRACTICE_ROWS
+from samples import PRACTICE_ROWS
 from shelfline import schemas
 from shelfline.operators import batch
 from shelfline.operators.filters import PRACTICE_FIELDS

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PRACTICE_ROWS, like
+from samples import PRACTICE_ROWS, like
 from shelfline.operators.catalog import is_empty
 from shelfline.operators.display import display_rows
 from shelfline.plans.catalog import (

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import like
+from samples import like
 from shelfline.functions.text import (
     any_like,
     ascii_fold,
