@@ -13,6 +13,7 @@ from shelfline.llm import (
     bpe,
     exact_dedup,
     jaccard_join,
+    merkle,
     mixing,
     perspectives,
     plane_files,
@@ -21,7 +22,7 @@ from shelfline.llm import (
     site_style,
     toxicity,
 )
-from shelfline.llm.common import configure, table
+from shelfline.llm.common import UPPER, configure, table
 from shelfline.session import shared_folder
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -97,11 +98,94 @@ def _op10_rare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rare_features.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def _op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row is tampered with where 5 divides the crc32 of its id; one without an id never is."""
+    docs = table(spark, sf_dir, "documents")
+    others = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.translate("text", UPPER, UPPER.lower())
+    leaves = docs.select(
+        "doc_id",
+        "source",
+        merkle.row_digest([*others, F.col("text")]).alias("leaf"),
+        F.when(tampered, merkle.row_digest([*others, lowered])).alias("tampered"),
+    )
+    path = F.col("path")
+    proven = merkle.manifest(leaves).select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(path).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), path).alias("folded_root"),
+    )
+    return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 _FOLDED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 
+def _tree_sql(name: str, start: str, levels: int) -> str:
+    """CTEs {name}0..: per level (g, r, n, digest) and the digests beside each node."""
+    parts = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        run = "PARTITION BY g, r // 16 ORDER BY r ROWS BETWEEN"
+        parts.append(f"""{name}_beside{k} AS (
+            SELECT g, r, n > 1 AS hashed, coalesce(string_agg(digest, '') OVER
+                    ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                coalesce(string_agg(digest, '') OVER
+                    ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM {name}{k})""")
+        parts.append(f"""{name}{k + 1} AS (
+            SELECT g, r // 16 AS r, (n + 15) // 16 AS n,
+                CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY r)) ELSE min(digest) END
+                    AS digest
+            FROM {name}{k} GROUP BY g, r // 16, n)""")
+    return ", ".join(parts)
+
+
+def _merkle_sql(levels: int = 8, source_levels: int = 6) -> str:
+    """Trees of up to 16 ** levels documents a source and 16 ** source_levels sources."""
+
+    def digest(text: str) -> str:
+        fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    crc = """xor(list_reduce([ascii(c)::BIGINT FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+        lambda crc, byte: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, i:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)),
+        4294967295::BIGINT), 4294967295::BIGINT)"""
+    lowered = digest(f"translate(text, '{UPPER}', '{UPPER.lower()}')")
+    steps = [("t", k) for k in range(levels)] + [("s", k) for k in range(source_levels)]
+    joins, proof = "", []
+    for i, (tree, k) in enumerate(steps):
+        b = f"b{i}"
+        at = f"{b}.g = l.g AND {b}.r = l.r // {16**k}" if tree == "t" else f"{b}.r = l.g // {16**k}"
+        joins += f" JOIN {tree}_beside{k} {b} ON {at}"
+        proof.append(f"{b}.before || {b}.after")
+    layers = "SELECT l.*, " + " || ".join(proof) + " AS proof, " + ", ".join(
+        f"b{i}.hashed AS h{i}, b{i}.before AS x{i}, b{i}.after AS y{i}" for i in range(len(steps))
+    ) + f" FROM leaves l{joins}"
+    for i in range(len(steps)):
+        layers = f"SELECT * REPLACE (CASE WHEN h{i} THEN sha256(x{i} || shown || y{i}) ELSE shown END AS shown) FROM ({layers})"
+    start = "SELECT g, r, n, leaf AS digest FROM leaves"
+    sources = f"SELECT 0 AS g, g AS r, count(*) OVER () AS n, digest FROM t{levels}"
+    return f"""
+        WITH leaves AS (
+            SELECT doc_id, leaf, CASE WHEN crc % 5 = 0 THEN lowered ELSE leaf END AS shown,
+                dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+                count(*) OVER (PARTITION BY source) AS n
+            FROM (SELECT *, {digest('text')} AS leaf, {lowered} AS lowered, {crc} AS crc FROM documents)
+        ), {_tree_sql("t", start, levels)}, {_tree_sql("s", sources, source_levels)}
+        SELECT p.doc_id, p.leaf, t.digest AS subroot, s.digest AS root,
+            sha256(p.proof) AS proof_sha256, p.shown AS folded_root, p.shown = s.digest AS verified
+        FROM ({layers}) p JOIN t{levels} t ON t.g = p.g JOIN s{source_levels} s ON true"""
+
+
 ORACLE_SQL = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op4_perspectives": """
         WITH people AS (
             SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'
@@ -145,6 +229,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": _op8_jaccard_join,
         "op9_separator_scan": _op9_separator_scan,
         "op10_rare_features": _op10_rare_features,
+        "op11_merkle_manifest": _op11_merkle_manifest,
     }
     return {name: _configured(query) for name, query in found.items()}
 
