@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from shelfline.llm import (
     bpe,
+    divergence,
     exact_dedup,
+    hilbert,
     jaccard_join,
     merkle,
     mixing,
@@ -122,6 +124,14 @@ def _op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _op12_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def _op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 _FOLDED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
@@ -184,7 +194,53 @@ def _merkle_sql(levels: int = 8, source_levels: int = 6) -> str:
         FROM ({layers}) p JOIN t{levels} t ON t.g = p.g JOIN s{source_levels} s ON true"""
 
 
+_DIVERGENCE_SQL = rf"""
+    WITH docs AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all({_FOLDED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ), kept AS (
+        SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs)
+        GROUP BY ALL HAVING count(*) >= 30
+    ), sources AS (
+        SELECT DISTINCT lang, source FROM docs
+    ), used AS (
+        SELECT lang, source, term, count(*) AS n
+        FROM (SELECT lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL
+    ), counted AS (
+        SELECT s.lang, s.source, k.term, coalesce(n, 0)::HUGEINT AS n
+        FROM sources s JOIN kept k ON k.lang = s.lang
+        LEFT JOIN used u ON u.lang = s.lang AND u.source = s.source AND u.term = k.term
+    ), shares AS (
+        SELECT *, 1 + 1000000000 * (n + 5)
+                // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p
+        FROM counted
+    ), of_langs AS (
+        SELECT lang, term, 1 + 1000000000 * (sum(n) + 5)
+                // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+        FROM counted GROUP BY lang, term
+    ), pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item
+        FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    ), sums AS (
+        SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+        GROUP BY ALL
+    ), found AS (
+        SELECT p.lang, p.source, part, p.item, coalesce(value, 0)::BIGINT AS value
+        FROM pairs p LEFT JOIN sums s ON s.lang = p.lang AND s.source = p.source AND s.item = p.item
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q)::BIGINT
+        FROM shares JOIN of_langs USING (lang, term) WHERE n > 0 AND p > q
+    )
+    SELECT * FROM (
+        SELECT *, (row_number() OVER
+            (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM found
+    ) WHERE part = 'pair' OR rank <= 50"""
+
 ORACLE_SQL = {
+    "op13_source_divergence": _DIVERGENCE_SQL,
     "op11_merkle_manifest": _merkle_sql(),
     "op4_perspectives": """
         WITH people AS (
@@ -230,6 +286,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_separator_scan": _op9_separator_scan,
         "op10_rare_features": _op10_rare_features,
         "op11_merkle_manifest": _op11_merkle_manifest,
+        "op12_hilbert_neighbours": _op12_hilbert_neighbours,
+        "op13_source_divergence": _op13_source_divergence,
     }
     return {name: _configured(query) for name, query in found.items()}
 

@@ -1,0 +1,99 @@
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfline.llm import hilbert, queries
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(1, 5), (2, 4), (3, 3), (4, 2)])
+def test_the_curve_steps_to_a_neighbour(dims, bits):
+    grid = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+    keys = hilbert.hilbert_key(grid, bits)
+    assert sorted(keys) == list(range(len(grid)))
+    steps = np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(1)
+    assert (steps == 1).all()
+
+
+def brute(rows, k, is_query=lambda i: i is not None and i % 20 == 0):
+    """All answers, for rows (vec_id, vector) that take part."""
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    out = []
+    for i, (query, _) in enumerate(rows):
+        if is_query(query):
+            scores = x @ x[i]
+            others = sorted(
+                (-round(scores[j], 9), rows[j][0] is None, rows[j][0] or 0) for j in range(len(rows)) if j != i
+            )
+            out += [(query, r, None if none else n, -s) for r, (s, none, n) in enumerate(others[:k], 1)]
+    return out
+
+
+def run(frame, k=20):
+    found = hilbert.nearest(frame, F.col("vec_id") % 20 == 0, k)
+    return [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found.collect()]
+
+
+def order(rows):
+    return sorted(rows, key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0))
+
+
+def recall(found, expected):
+    pairs = {(r[0], r[2]) for r in expected}
+    return len(pairs & {(r[0], r[2]) for r in found}) / len(pairs)
+
+
+def test_small_tables_are_exact(llm):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5).astype(np.float32).tolist(), 1) for i in range(50)]
+    rows += [(i + 100, rows[7][1], 1) for i in range(40)]  # ties of the same vector
+    rows += [(40, rows[40][1], 2), (None, rows[7][1], 1)]  # a repeated query row, an id that is null
+    odd = [
+        (200, None, 1), (220, [0.0] * 5, 1), (240, [1.0, None, 1.0, 1.0, 1.0], 1), (260, [], 1),
+        (280, [float("nan")] * 5, 1), (300, [float("inf")] + [1.0] * 4, 1), (320, [1.0] * 4, 1),
+    ]
+    frame = llm.createDataFrame(rows + odd, SCHEMA).repartition(3)
+    clashing = frame.withColumns({"gid": F.lit(1), "vec": F.lit("x"), "rank": F.lit(0), "_near": F.lit(1)})
+    expected = brute([r[:2] for r in rows], 20)
+    assert order(run(clashing)) == order(expected)
+
+
+def test_fewer_candidates_than_asked_for(llm):
+    rows = [(0, [1.0, 0.5], 1), (20, [0.5, 1.0], 1), (3, [0.5, -1.0], 1)]
+    assert order(run(llm.createDataFrame(rows, SCHEMA))) == order(brute([r[:2] for r in rows], 20))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, [1.0, 2.0], 1)], [(0, [1.0, 2.0], 1)]])
+def test_nothing_to_find(llm, rows):
+    assert run(llm.createDataFrame(rows, SCHEMA)) == []
+
+
+def test_recall_on_the_given_vectors(llm):
+    folder = "/root/testdata/sf0.1"
+    rows = [tuple(r) for r in llm.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    found = queries.queries()["op12_hilbert_neighbours"](llm, folder).collect()
+    found = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found]
+    expected = brute(rows, 20)
+    assert len(found) == len(expected)
+    assert recall(found, expected) >= 0.9
+    scores = {(r[0], r[2]): r[3] for r in expected}
+    assert all(scores.get((r[0], r[2]), r[3]) == r[3] for r in found)
+
+
+def test_clustered_vectors_need_a_small_reach(llm, monkeypatch):
+    """The reach is what the data need: far below the table's size where vectors cluster."""
+    monkeypatch.setattr(hilbert, "CELL", (256, 8192))
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 32))
+    rows = [
+        (i, (centres[i % 100] + 0.05 * rng.normal(size=32)).astype(np.float32).tolist(), 1) for i in range(4_000)
+    ]
+    seen = []
+    measure = hilbert.measured_reach
+    monkeypatch.setattr(hilbert, "measured_reach", lambda *a, **k: seen.append(measure(*a, **k)) or seen[-1])
+    found = run(llm.createDataFrame(rows, SCHEMA))
+    assert recall(found, brute([r[:2] for r in rows], 20)) >= 0.9
+    assert seen[0] < 200
