@@ -6,12 +6,13 @@ rows are one path with a multiplicity. Two sources differ by a constant in a ter
 uses; each further difference is a correction, by source where one of them uses the term, and by
 pair of a node and an ancestor where both do, once however many terms run through them.
 
-Spark sorts the rows by their items over range partitions. In that order a tree is walked with
+Spark sorts the rows by the beginnings of their items over range partitions, and by all of them within. In that order a tree is walked with
 one path in memory; a path that a partition border cuts is two paths with the same sum.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import ascii_lower
 from shelfline.session import stage
 
-# What a term is, and how shares are counted.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# A term is a run of A-Z, a-z and characters beyond ASCII, A-Z in lower case: in UTF-8 a run of
+# bytes that this table does not make blanks.
+_SPLIT = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
+)
+# How shares are counted.
 SCALE = 1_000_000_000
 ADDED = 5
 LEAST_DOCS = 30
 TOP_TERMS = 50
 
+# Terms, by language and source, that a task counts before it emits them.
+HELD_TERMS = 500_000
+# Items of a path by which partitions are cut.
+BEGINNING = 8
 # Corrections a task holds before it adds up those of the same pair, and before it emits them.
 HELD = 1 << 20
 _CORRECTIONS = "lang string, a string, b string, value long"
@@ -41,23 +49,52 @@ def _share(count: str, total: str, kept: str) -> Column:
     return F.expr(f"CASE WHEN {kept} > 0 THEN 1L + ({above}) div {below} ELSE 0L END")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, d): occurrences and documents of a task's rows, in parts of a
+    bounded number of terms."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, d) in held.items():
+            terms = list(n)
+            for at in range(0, len(terms), 20_000):
+                part = terms[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(part)),
+                        pa.array([source] * len(part)),
+                        pa.array(part, pa.binary()).cast(pa.string()),
+                        pa.array([n[t] for t in part], pa.int64()),
+                        pa.array([d[t] for t in part], pa.int64()),
+                    ],
+                    names=["lang", "source", "term", "n", "d"],
+                )
+        held.clear()
+
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary())
+        for lang, source, text in zip(
+            batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts
+        ):
+            found = text.as_py().translate(_SPLIT).split()
+            n, d = held.setdefault((lang, source), (Counter(), Counter()))
+            n.update(found)
+            d.update(set(found))
+        if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
+            yield from counts()
+    yield from counts()
+
+
 def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, total, items) of the terms in at least so many documents of a language.
 
     `items` are (source, n) with n > 0, sources ascending: no longer than the language has
-    sources. Documents count each of their terms once, occurrences all; both are combined
-    before the shuffle.
+    sources. Documents count each of their terms once, occurrences all; tasks combine both
+    before the shuffle. `docs` holds text, lang and source without nulls.
     """
-    terms = docs.select(
-        "lang", "source", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)).alias("_t")
-    )
-    occurrence = F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
-    document = F.transform(
-        F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
-    )
     counts = (
-        terms.select("lang", "source", F.explode(F.concat(occurrence, document)).alias("_c"))
-        .select("lang", "source", "_c.*")
+        docs.select("text", "lang", "source")
+        .mapInArrow(_counted, "lang string, source string, term string, n long, d long")
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     )
@@ -179,7 +216,11 @@ def tree_corrections(valued: DataFrame) -> DataFrame:
     items = F.sort_array(F.collect_list(F.struct("source", "n", "share", "zero")))
     rows = valued.groupBy("lang", "term").agg(items.alias("items"))
     paths = rows.groupBy("lang", "items").agg(F.count("*").alias("copies"))
-    ordered = paths.repartitionByRange("lang", "items").sortWithinPartitions("lang", "items")
+    first = F.slice("items", 1, BEGINNING)
+    beginning = F.array_join(F.transform(first, lambda i: F.concat(i["source"], F.lit(":"), i["n"])), ",")
+    # Partitions are cut between beginnings of paths, which are short enough to sample.
+    ordered = paths.withColumn("_at", beginning).repartitionByRange("lang", "_at")
+    ordered = ordered.sortWithinPartitions("lang", "_at", "items")
     walked = ordered.select("lang", "items", "copies").mapInArrow(_walked, _CORRECTIONS)
     return walked.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 

@@ -87,6 +87,7 @@ def test_no_documents(llm, no_docs):
 def test_many_sources_in_small_batches(llm, monkeypatch):
     """Paths longer than the first width, corrections emitted in parts."""
     monkeypatch.setattr(divergence, "HELD", 50)
+    monkeypatch.setattr(divergence, "HELD_TERMS", 20)
     rows = corpus(3, 600, [f"s{i:02}" for i in range(40)])
     frame = llm.createDataFrame(rows, SCHEMA)
     assert run(frame, 5) == brute([r[1:4] for r in rows], 5)
