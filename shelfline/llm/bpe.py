@@ -20,7 +20,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from shelfline.llm.common import Remembered, map_arrow
+from shelfline.llm.common import Remembered, emptied_after_tasks, map_arrow
 
 # White space as the pattern's \s has it; matches never cross from other characters into it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -87,7 +87,7 @@ class ByteBpe:
         self._bytes = [self._inverse(self._model.IdToPiece(i)) for i in range(len(tokens))]
         self._ids = {token: i for i, token in enumerate(self._bytes)}
         self._match = regex.compile(pattern).findall
-        self._known = Remembered(self._encode, _REMEMBERED, _LONGEST_REMEMBERED)
+        self._known = emptied_after_tasks(Remembered(self._encode, _REMEMBERED, _LONGEST_REMEMBERED))
         lengths = np.array([len(token) for token in self._bytes])
         self._table = np.frombuffer(b"".join(self._bytes), np.uint8)
         self._lengths, self._starts = lengths, np.cumsum(lengths) - lengths

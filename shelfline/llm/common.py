@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -55,6 +56,27 @@ def running_starts(totals: dict[int, int]) -> list[tuple[int, int]]:
     return list(zip(parts, accumulate((totals[p] for p in parts), initial=0)))
 
 
+_caches: list[dict] = []
+
+
+def emptied_after_tasks(cache: dict) -> dict:
+    """Have `release` empty this cache of a worker process."""
+    _caches.append(cache)
+    return cache
+
+
+def release() -> None:
+    """At the end of a task give its memory back: a worker that waits for the next task, perhaps of
+    another stage, shares the executor's memory with those at work."""
+    for cache in _caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 class Remembered(dict):
     """What `make` gives for short strings, in two generations.
 
@@ -74,10 +96,14 @@ class Remembered(dict):
         if len(text) <= self._longest:
             if len(self) >= self._most:
                 self._old = dict(self)
-                self.clear()
+                super().clear()
             self[text] = made
         return made
 
+    def clear(self) -> None:
+        super().clear()
+        self._old = {}
+
 
 def map_arrow(
     df: DataFrame,
@@ -96,12 +122,15 @@ def map_arrow(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = function(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [made[name] for name in added],
-                names=kept + list(added),
-            )
+        try:
+            for batch in batches:
+                made = function(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in kept] + [made[name] for name in added],
+                    names=kept + list(added),
+                )
+        finally:
+            release()
 
     return df.select(*columns).mapInArrow(run, schema)
 

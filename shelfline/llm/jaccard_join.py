@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import first_of, map_arrow
+from shelfline.llm.common import emptied_after_tasks, first_of, map_arrow, release
 from shelfline.session import stage
 
 WORDS = 5
@@ -42,7 +42,7 @@ SAMPLE_BITS = 4  # one set of 16 is in the sample
 FREQUENT = 4  # sets of the sample that make a shingle frequent
 MOST_FREQUENT = 1_000_000  # the most frequent ones that are kept, 8 MB
 REGION_ENTRIES = 1_500_000  # entries of a partition of regions
-FLUSH_ENTRIES = 4_000_000
+FLUSH_ENTRIES = 1_500_000  # with their sorting about 200 MB
 BLOCK = 1024  # sets of a region that are compared with as many others in one task
 SMALL = 256
 TINY = 48  # regions that are compared together with others
@@ -67,7 +67,7 @@ class _WordHashes(dict):
         return value
 
 
-_word_hashes = _WordHashes()
+_word_hashes = emptied_after_tasks(_WordHashes())
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -267,6 +267,8 @@ def _shared_regions(docs: DataFrame, text: str, frequent: np.ndarray, partitions
                 yield from flush()
                 keys, sets, lengths, held, turn = [], [], [], 0, turn + 1
         yield from flush()
+        keys, sets, lengths = [], [], []
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -283,6 +285,8 @@ def _shared_regions(docs: DataFrame, text: str, frequent: np.ndarray, partitions
         for at in range(0, len(region), 1 << 18):
             part = slice(at, at + (1 << 18))
             yield members(region[part].view(np.int64), member[part], pivot[part])
+        del keys, sets, region, member, pivot
+        release()
 
     def members(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_MEMBERS)
@@ -596,6 +600,8 @@ def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most:
                 held = table.slice(whole).to_batches()
         if sum(b.num_rows for b in held):
             yield result(pa.Table.from_batches(held))
+        held.clear()
+        release()
 
     return (
         cut.select("region", "cell", "set_id", "component", "n", "sketch")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import map_arrow, unit_uniform
+from shelfline.llm.common import emptied_after_tasks, map_arrow, unit_uniform
 
 BEGINNING = 4
 _WORDS = re.compile(r"\w+")
@@ -77,7 +77,7 @@ class _WordFeatures(dict):
         return found
 
 
-_word_features = _WordFeatures()
+_word_features = emptied_after_tasks(_WordFeatures())
 
 
 def features(text: str | None) -> set[int]:
