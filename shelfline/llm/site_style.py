@@ -8,24 +8,27 @@ pages says how important it is: menus and notices repeat themselves, articles do
 
 A node's importance combines both entropies: the larger one counts, since a varying arrangement
 is as telling as varying text. Branches below a threshold are cut from each page, once their
-entropy over the host's different pages is significant. What a page declares is evidence only: a branch declared to be no
-content (menus, forms, adverts, notices, comments, ...) is cut where the tree says so, or where all
-branches of its style hold less than half of the page's text outside links. If the page declares
-an article, only that is read, unless there is clearly more text outside it.
+entropy over the host's different pages is significant.
 
-Counts are combined before they are shuffled; a host of any size is a few narrow rows for each
-node, and only its list of unimportant nodes returns to its pages.
+A branch that a page declares to be no content (menus, forms, adverts, notices, ...) goes, however
+long it is, unless the article lies in it: a declared article, or all text that the tree leaves.
+Reader comments hold no article. If the page declares an article, only that is read, unless there
+is clearly more undeclared text outside it.
+
+Pages are parsed once, in time linear in their length: every element is a number with that of its
+parent, every block of text names its element. Counts are combined before they are shuffled; a
+host of any size is a few narrow rows for each node, and only its list of unimportant nodes
+returns to its pages.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from html.parser import HTMLParser
-from typing import NamedTuple
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,14 +39,14 @@ from shelfline.session import stage
 
 SIGNIFICANCE = 0.05  # the chance to find a node as repetitive by accident
 LEAST_IMPORTANCE = 0.1
-MARKED_SHARE = 0.5  # of a page's text, from which on a declared branch may be the article
+MARKED_SHARE = 0.5  # of the text, where all of it is declared: branches with less of it go
 MORE_OUTSIDE = 200  # letters that the text outside the articles has to have more than they have
 
 # Fixed values of HTML: elements without content, elements that are never text, elements that
 # start a block, and which open elements a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(
-    "audio button canvas datalist head iframe input math noscript object "
+    "audio canvas datalist head iframe input math noscript object "
     "optgroup option script select style svg template textarea title video".split()
 )
 BLOCKS = frozenset(
@@ -57,6 +60,7 @@ _CLOSES = {
 }
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
           "th": {"tr", "table"}, "option": {"select"}}
+_HEAD = frozenset("base link meta noscript script style template title".split())
 _ASIDE_TAGS = frozenset({"aside", "dialog", "footer", "form", "menu", "nav"})
 _ASIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split()
@@ -74,82 +78,110 @@ _PLACE_WORDS = frozenset(
     "area bar block bottom box container inner item items left link links list main right section "
     "site top wrapper".split()
 )
+_COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _declares(marks: str) -> bool:
-    """Whether one of the names declares a branch to be no content."""
-    for name in marks.split():
-        words = {w.lower() for w in _WORD.findall(name)}
-        if words & _ASIDE_WORDS and words <= _ASIDE_WORDS | _PLACE_WORDS:
-            return True
-    return False
+# What an element is: declared to be no content, reader comments, an article, a closed button.
+MARKED, COMMENT, ARTICLE, BUTTON = 1, 2, 4, 8
 
+# Hashes of sequences that can be appended to each other.
+_PRIME = (1 << 61) - 1
+_BASE = 0x1F3D_5B79_86A2_C4E1
+_POWERS = [pow(_BASE, n, _PRIME) for n in range(64)]
 
-class _Block(NamedTuple):
-    text: str
-    plain: int  # letters outside links
-    inside: bool  # in an article
-    path: tuple[int, ...]  # nodes
-    marked: tuple[int, ...]  # those of them that declare themselves no content
 
+def _appended(first: tuple[int, int], second: tuple[int, int]) -> tuple[int, int]:
+    """(hash, length) of two sequences in a row."""
+    n = second[1]
+    power = _POWERS[n] if n < 64 else pow(_BASE, n, _PRIME)
+    return (first[0] * power + second[0]) % _PRIME, first[1] + n
 
-class _Element(NamedTuple):
-    tag: str
-    node: int
-    silent: bool
-    marked: bool
-    article: bool
-    link: bool
+
+def _declares(marks: str) -> int:
+    """Whether one of the names declares a branch to be no content, and whether to be comments."""
+    found = 0
+    for name in marks.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words & _ASIDE_WORDS and words <= _ASIDE_WORDS | _PLACE_WORDS:
+            found |= MARKED | (COMMENT if words & _COMMENT_WORDS else 0)
+    return found
 
 
 class _Page(HTMLParser):
-    """One pass over a page: its blocks with what holds them, and its nodes' contents."""
+    """One pass over a page: its blocks, its elements, and its nodes' contents.
+
+    Element 0 is the page. Elements that are never text have no number. The open elements are
+    found by tag, so that no step looks through all of them.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[_Block] = []
-        self.nodes: dict[int, tuple[list[str], list[str]]] = {}  # node: children, texts
-        self._open: list[_Element] = []
+        self.texts: list[str] = []
+        self.plain: list[int] = []  # letters outside links, by block
+        self.at: list[int] = []  # element, by block
+        self.parent, self.node, self.flags = [0], [0], [0]  # by element
+        # By node: the last child's style, the hash of the children's styles, that of the texts.
+        self.nodes: dict[int, list] = {}
+        self._folded: list[tuple[int, int]] = [(0, 0)]  # texts of an element, by element
+        self._open: list[tuple[str, int, bool]] = []  # tag, element, whether a link
+        self._places: dict[str, list[int]] = {}  # where a tag is open
+        self._blocks: list[int] = []  # where a block element is open
+        self._silent = self._links = self._articles = 0
         self._text: list[str] = []
         self._plain = 0
 
+    def _element(self) -> int:
+        return self._open[-1][1] if self._open else 0
+
     def _end_block(self) -> None:
         if self._text:
             text = _SPACE.sub(" ", "".join(self._text)).strip()
             if text:
-                inside = any(o.article for o in self._open)
-                path = tuple(o.node for o in self._open)
-                marked = tuple(o.node for o in self._open if o.marked)
-                self.blocks.append(_Block(text, self._plain, inside, path, marked))
-                for node in path:
-                    if node in self.nodes:
-                        self.nodes[node][1].append(text)
+                element = self._element()
+                self.texts.append(text)
+                self.plain.append(self._plain)
+                self.at.append(element)
+                self._folded[element] = _appended(
+                    self._folded[element], (xxhash.xxh3_64_intdigest(text) % _PRIME, 1)
+                )
             self._text, self._plain = [], 0
 
     def _pop(self, to: int) -> None:
-        for tag, *_ in self._open[to:]:
+        if self._blocks and self._blocks[-1] >= to:
+            self._end_block()
+        while len(self._open) > to:
+            tag, element, link = self._open.pop()
+            self._places[tag].pop()
             if tag in BLOCKS:
-                self._end_block()
-                break
-        del self._open[to:]
+                self._blocks.pop()
+            self._links -= link
+            if tag in SILENT:
+                self._silent -= 1
+                continue
+            self._articles -= bool(self.flags[element] & ARTICLE)
+            texts, above = self._folded[element], self.parent[element]
+            self._folded[above] = _appended(self._folded[above], texts)
+            node = self.nodes[self.node[element]]
+            node[2] = _appended(node[2], texts)
+
+    def _place(self, tag: str) -> int:
+        """Where the innermost open element of a tag is, -1 if there is none."""
+        places = self._places.get(tag)
+        return places[-1] if places else -1
 
     def _implied_end(self, tag: str) -> None:
-        if tag in BLOCKS:
-            for at in range(len(self._open) - 1, -1, -1):
-                if self._open[at][0] == "p":
-                    self._pop(at)
-                    break
-                if self._open[at][0] in BLOCKS:
-                    break
-        for at in range(len(self._open) - 1, -1, -1):
-            name = self._open[at][0]
-            if name in _CLOSES.get(tag, ()):
-                self._pop(at)
-                break
-            if name in _HOLDS.get(tag, ()) or tag not in _CLOSES:
-                break
+        if self._place("head") >= 0 and (
+            tag == "body" or tag not in _HEAD and self._open[-1][0] == "head"
+        ):
+            self._pop(self._place("head"))
+        if tag in BLOCKS and self._blocks and self._open[self._blocks[-1]][0] == "p":
+            self._pop(self._blocks[-1])
+        if tag in _CLOSES:
+            closed = max(self._place(t) for t in _CLOSES[tag])
+            if closed > max(self._place(t) for t in _HOLDS[tag] - _CLOSES[tag]):
+                self._pop(closed)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -161,47 +193,69 @@ class _Page(HTMLParser):
             return
         values = dict(attrs)
         marks = f"{values.get('class') or ''} {values.get('id') or ''}"
+        style = f"{tag} {' '.join(sorted(marks.split()))}"
+        link = tag == "a" and "href" in values
+        above = self._element()
+        if above:
+            node = self.nodes[self.node[above]]
+            if style != node[0]:
+                node[0] = style
+                node[1] = _appended(node[1], (xxhash.xxh3_64_intdigest(style) % _PRIME, 1))
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag in BLOCKS:
+            self._blocks.append(len(self._open))
+        self._links += link
+        if tag in SILENT:
+            self._silent += 1
+            self._open.append((tag, above, link))
+            return
         role = (values.get("role") or "").lower()
-        in_article = any(o.article for o in self._open)
-        article = tag in ("article", "main") or role in ("article", "main")
-        silent = tag in SILENT
-        marked = not silent and (
+        flags = 0
+        if tag in ("article", "main") or role in ("article", "main"):
+            flags = ARTICLE
+        elif (
             tag in _ASIDE_TAGS
-            or (tag == "header" and not in_article)
+            or (tag == "header" and not self._articles)
             or role in _ASIDE_ROLES
             or "hidden" in values
-            or (tag not in ("html", "body", "article", "main") and _declares(marks))
-        )
-        parent = self._open[-1][1] if self._open else 0
-        style = f"{tag} {' '.join(sorted(marks.split()))}"
-        node = xxhash.xxh3_64_intdigest(style, parent) >> 1
-        if self._open and parent in self.nodes:
-            self.nodes[parent][0].append(style)
-        if not silent:
-            self.nodes.setdefault(node, ([], []))
-        link = tag == "a" and "href" in values
-        self._open.append(_Element(tag, node, silent, marked, article, link))
+        ):
+            flags = MARKED
+        if tag not in ("html", "body", "article", "main"):
+            flags |= _declares(marks)
+        self._articles += bool(flags & ARTICLE)
+        element = len(self.parent)
+        self.parent.append(above)
+        self.node.append(xxhash.xxh3_64_intdigest(style, self.node[above]) >> 1)
+        self.flags.append(flags)
+        self._folded.append((0, 0))
+        self.nodes.setdefault(self.node[-1], [None, (0, 0), (0, 0)])
+        self._open.append((tag, element, link))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self._open) - 1, -1, -1):
-            if self._open[at][0] == tag:
-                self._pop(at)
-                return
-        if tag in BLOCKS:
+        place = self._place(tag)
+        if place >= 0:
+            if tag == "button":  # one that is never closed must not hide the rest of the page
+                self._end_block()
+                self.flags[self._open[place][1]] |= BUTTON
+            self._pop(place)
+        elif tag in BLOCKS:
             self._end_block()
 
     def handle_data(self, data: str) -> None:
-        if not any(o.silent for o in self._open):
+        if self._silent and self._open[-1][0] == "head" and data.strip():
+            self._pop(self._place("head"))
+        if not self._silent:
             self._text.append(data)
-            if not any(o.link for o in self._open):
+            if not self._links:
                 self._plain += len(data.strip())
 
     def close(self) -> None:
         super().close()
         self._end_block()
+        self._pop(0)
 
 
 def _parsed(html: str | None) -> _Page:
@@ -211,28 +265,85 @@ def _parsed(html: str | None) -> _Page:
     return page
 
 
+def _chosen(
+    plain: np.ndarray,
+    lengths: np.ndarray,
+    at: np.ndarray,
+    parent: list[int],
+    node: list[int],
+    flags: list[int],
+    unimportant: frozenset[int],
+) -> np.ndarray:
+    """Which blocks are the main text. Parents come before their children in all lists."""
+    n = len(parent)
+    above = [0] * n  # all that an element lies in, itself included
+    cut = [False] * n
+    for e in range(1, n):
+        above[e] = above[parent[e]] | flags[e]
+        cut[e] = cut[parent[e]] or node[e] in unimportant
+    above_at, cut_at = np.array(above)[at], np.array(cut)[at]
+    shown = above_at & BUTTON == 0
+    if not plain[shown].any():
+        plain = lengths
+    alive = shown & ~cut_at
+    if not plain[alive].any():
+        alive = shown
+    texts = alive & (plain > 0) & (above_at & COMMENT == 0)
+    # Declared wrappers of the article count for nothing where no article lies outside of them.
+    wraps = [False] * n
+    if not (texts & (above_at & ARTICLE > 0) & (above_at & MARKED == 0)).any():
+        for e in set(at[texts & (above_at & ARTICLE > 0)].tolist()):
+            outermost = 0
+            while e:
+                if flags[e] & ARTICLE:
+                    outermost = e
+                e = parent[e]
+            while outermost and not wraps[parent[outermost]]:
+                outermost = parent[outermost]
+                wraps[outermost] = True
+    declared = [False] * n
+    for e in range(1, n):
+        declared[e] = declared[parent[e]] or bool(flags[e] & MARKED) and not wraps[e]
+    kept = alive & ~np.array(declared)[at]
+    if not plain[kept].any():
+        # All text is declared: the styles that hold most of it are the page.
+        held: Counter[int] = Counter()
+        marked = []
+        for block in np.flatnonzero(alive & (above_at & COMMENT == 0)):
+            own, e = set(), int(at[block])
+            while e and above[e] & MARKED:
+                if flags[e] & MARKED:
+                    own.add(node[e])
+                e = parent[e]
+            marked.append((block, own))
+            for name in own:
+                held[name] += int(plain[block])
+        most = MARKED_SHARE * sum(int(plain[block]) for block, _ in marked)
+        small = {name for name, letters in held.items() if letters < most}
+        kept = np.zeros(len(at), bool)
+        kept[[block for block, own in marked if small.isdisjoint(own)] or [b for b, _ in marked]] = True
+    inside = kept & (above_at & ARTICLE > 0)
+    article = plain[inside].sum()
+    if article and plain[kept].sum() - article <= article + MORE_OUTSIDE:
+        return inside
+    return kept
+
+
 def main_text(html: str | None, unimportant: frozenset[int] = frozenset()) -> str:
     """The page's blocks, one on a line, without the branches of the given nodes.
 
-    A page of which they would leave nothing is not cut by them, nor by what it declares if that
-    would leave nothing.
+    A page of which these would leave nothing is not cut by them.
     """
-    blocks = _parsed(html).blocks
-    if not any(b.plain for b in blocks):
-        blocks = [b._replace(plain=len(b.text)) for b in blocks]
-    held: Counter[int] = Counter()
-    for block in blocks:
-        for node in set(block.marked):
-            held[node] += block.plain
-    most = MARKED_SHARE * sum(b.plain for b in blocks)
-    small = {node for node, plain in held.items() if plain < most}
-    declared = [b for b in blocks if small.isdisjoint(b.marked)] or blocks
-    cut = [b for b in declared if unimportant.isdisjoint(b.path)] or declared
-    inside = [b for b in cut if b.inside]
-    article = sum(b.plain for b in inside)
-    if inside and sum(b.plain for b in cut) - article <= article + MORE_OUTSIDE:
-        cut = inside
-    return "\n".join(b.text for b in cut)
+    page = _parsed(html)
+    return _text(page.texts, page.plain, page.at, page.parent, page.node, page.flags, unimportant)
+
+
+def _text(texts: list[str], plain, at, parent, node, flags, unimportant: frozenset[int]) -> str:
+    if not texts:
+        return ""
+    lengths = np.array([len(t) for t in texts])
+    chosen = _chosen(np.array(plain), lengths, np.array(at), parent, node, flags, unimportant)
+    return "\n".join(texts[i] for i in np.flatnonzero(chosen))
 
 
 def host_of(url: str | None) -> str:
@@ -242,34 +353,41 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _node_rows(pages: DataFrame) -> DataFrame:
-    """host, page, node, children, content: hashes of a page's nodes, for each different page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[str, int, int, int, int]] = []
-            for url, html in zip(batch.column(0), batch.column(1)):
-                html = html.as_py() or ""
-                page = xxhash.xxh3_64_intdigest(html.encode()) >> 1
-                host = host_of(url.as_py())
-                for node, (children, texts) in _parsed(html).nodes.items():
-                    # The sequence of styles, not how often each repeats.
-                    styles = [c for i, c in enumerate(children) if i == 0 or c != children[i - 1]]
-                    rows.append((
-                        host, page, node,
-                        xxhash.xxh3_64_intdigest("\0".join(styles)) >> 1,
-                        xxhash.xxh3_64_intdigest("\0".join(texts)) >> 1,
-                    ))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["host", "page", "node", "children", "content"],
-            )
-
-    return pages.select("url", "html").mapInArrow(
-        run, "host string, page bigint, node bigint, children bigint, content bigint"
-    )
+_PARSED = {
+    "_host": "string", "_page": "bigint", "_texts": "array<string>", "_plain": "binary", "_at": "binary",
+    "_parent": "binary", "_node": "binary", "_flags": "binary",
+    "_nodes": "array<struct<node: bigint, children: bigint, content: bigint>>",
+}
+_NODE = pa.struct([(name, pa.int64()) for name in ("node", "children", "content")])
+
+
+def _parse(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` with the host, blocks and elements of each page."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        rows = []
+        for url, html in zip(batch.column("url"), batch.column("html")):
+            html = html.as_py() or ""
+            page = _parsed(html)
+            numbers = [
+                np.array(values, kind).tobytes()
+                for values, kind in (
+                    (page.plain, np.int32), (page.at, np.int32), (page.parent, np.int32),
+                    (page.node, np.int64), (page.flags, np.uint8),
+                )
+            ]
+            nodes = [
+                {"node": name, "children": children[0], "content": content[0]}
+                for name, (_, children, content) in page.nodes.items()
+            ]
+            identity = xxhash.xxh3_64_intdigest(html.encode()) >> 1
+            rows.append((host_of(url.as_py()), identity, page.texts, *numbers, nodes))
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 5, pa.list_(_NODE)]
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return {name: pa.array(c, k) for name, c, k in zip(_PARSED, columns, kinds)}
+
+    columns = list(dict.fromkeys([*keep, "url", "html"]))
+    return map_arrow(pages, columns, run, _PARSED).select(*keep, *_PARSED)
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
@@ -277,7 +395,12 @@ def node_importance(pages: DataFrame) -> DataFrame:
 
     Pages that are the same count once. A node of a single page has importance 1.
     """
-    rows = stage(_node_rows(pages).distinct(), "style-nodes")
+    return _importance(stage(_parse(pages, []), "parsed-pages"))
+
+
+def _importance(parsed: DataFrame) -> DataFrame:
+    nodes = parsed.select(F.col("_host").alias("host"), F.col("_page").alias("page"), F.explode("_nodes").alias("_n"))
+    rows = stage(nodes.select("host", "page", "_n.*").distinct(), "style-nodes")
 
     def entropy(variant: str) -> DataFrame:
         shares = rows.groupBy("host", "node", variant).agg(F.count("*").alias("n"))
@@ -313,31 +436,28 @@ def extract_main_text(
     half at most; branches are cut where that explains the tree with less than `significance`,
     which identical ones reach on six pages. `text` takes the place of a column of that name. Repeated pages stay.
     """
-    weak = node_importance(pages).filter(
+    keep_others = [c for c in keep if c != "text"]
+    parsed = stage(_parse(pages, keep_others), "parsed-pages")
+    weak = _importance(parsed).filter(
         (F.col("importance") < least_importance)
         & (F.pow(F.lit(0.5), (F.col("pages") - 1) * (1 - F.col("importance"))) < significance)
     )
     # Nodes are styles, not contents: a host's list is as long as its templates are many.
-    lists = weak.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("_cut"))
-    lists = stage(lists, "style-cuts")
-
-    def hosts(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"_page_host": pa.array([host_of(u.as_py()) for u in batch.column("url")], pa.string())}
-
-    columns = list(dict.fromkeys([*keep, "url", "html"]))
-    placed = map_arrow(pages, columns, hosts, {"_page_host": "string"})
+    lists = stage(weak.groupBy(F.col("host").alias("_of")).agg(F.collect_set("node").alias("_cut")), "style-cuts")
     if lists.isEmpty():
-        matched = placed.withColumn("_cut", F.lit(None).cast("array<bigint>"))
+        matched = parsed.withColumn("_cut", F.lit(None).cast("array<bigint>"))
     else:
-        matched = placed.join(lists, F.col("_page_host") == F.col("_host"), "left")
+        matched = parsed.join(lists, F.col("_host") == F.col("_of"), "left")
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts = [
-            main_text(html.as_py(), frozenset(cut.as_py() or ()))
-            for html, cut in zip(batch.column("html"), batch.column("_cut"))
-        ]
+        texts = []
+        packed = [(name, np.int64 if name == "_node" else np.uint8 if name == "_flags" else np.int32)
+                  for name in ("_plain", "_at", "_parent", "_node", "_flags")]
+        for row, (blocks, cut) in enumerate(zip(batch.column("_texts"), batch.column("_cut"))):
+            numbers = [np.frombuffer(batch.column(name)[row].as_py(), kind) for name, kind in packed]
+            plain, at, *elements = numbers
+            texts.append(_text(blocks.as_py(), plain, at, *[e.tolist() for e in elements], frozenset(cut.as_py() or ())))
         return {"text": pa.array(texts, pa.string())}
 
-    return map_arrow(matched, [*columns, "_cut"], run, {"text": "string"}).select(
-        *[c for c in keep if c != "text"], "text"
-    )
+    columns = [*keep_others, "_texts", "_plain", "_at", "_parent", "_node", "_flags", "_cut"]
+    return map_arrow(matched, columns, run, {"text": "string"}).select(*keep_others, "text")
