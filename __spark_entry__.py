@@ -17,7 +17,13 @@ from shelfline.functions.text import (
 )
 from shelfline.operators.batch import search_batch
 from shelfline.operators.catalog import Lookup, catalog_list, is_empty, lookup_list
-from shelfline.operators.constraints import check_fails, duplicates, is_missing, orphans
+from shelfline.operators.constraints import (
+    ConstraintViolation,
+    check_fails,
+    duplicates,
+    is_missing,
+    orphans,
+)
 from shelfline.operators.display import display_rows, fallback, feature_link, source_link
 from shelfline.operators.filters import SearchFields, by_id, criteria, search
 from shelfline.operators.identifiers import assign_ids, fill_omitted
@@ -27,7 +33,15 @@ from shelfline.operators.submissions import (
     validate_submissions,
 )
 from shelfline.plans.catalog import Catalog, search_practices, search_practices_batch
-from shelfline.plans.ingest import bulk_load, ingest_submissions, load_tables, read_bodies
+from shelfline.plans.compaction import compact_batches
+from shelfline.plans.ingest import (
+    append_practices,
+    bulk_load,
+    ingest_submissions,
+    load_tables,
+    read_bodies,
+    replace_lookups,
+)
 from shelfline.session import configure, shared_folder
 from shelfline.sources.tables import (
     append_rows,
@@ -49,7 +63,9 @@ from shelfline.streaming.submissions import (
 try:
     import corpus_pipeline
     from shelfline.llm import queries as training_data
-except ImportError:
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "shelfline.llm"):
+        raise
     corpus_pipeline = training_data = None
 
 ENTRY_DIR = "/root/testdata/sf0.001"
@@ -526,6 +542,95 @@ def _ingest_submissions(spark: SparkSession, d: str) -> DataFrame:
     return catalog.practices(spark).select(*STORED)
 
 
+def _append_practices(spark: SparkSession, d: str) -> DataFrame:
+    """All documents once more, in another order, after those of the load."""
+    catalog = _new_catalog(spark, d)
+    more = _practices(spark, d).withColumns({"domain": F.lit("Security"), "notes": F.col("description")})
+    append_practices(more.withColumn("_back", -F.col("doc_id")), catalog, ["_back"])
+    return catalog.practices(spark).select(*STORED)
+
+
+def _reload_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """A load from the catalog it replaces, after one that failed, read by old and new readers."""
+    catalog = _new_catalog(spark, d)
+    old = catalog.pinned()
+    bad = _practices(spark, d).withColumn("domain", F.lit("nowhere"))
+    lookups = catalog.categories(spark), catalog.features(spark)
+    try:
+        bulk_load(catalog, *lookups, bad, ("doc_id",))
+    except ConstraintViolation:
+        pass
+    lowered = catalog.practices(spark).withColumn("domain", F.lit("Reliability"))
+    bulk_load(catalog, *lookups, lowered, ("practice_id",))
+    read = [c.practices(spark).select("practice_id", "domain", "description") for c in (old, catalog)]
+    return read[0].unionByName(read[1])
+
+
+def _compact_batches(spark: SparkSession, d: str) -> DataFrame:
+    """One batch for each language, merged by and by; the last runs again when it is merged."""
+    catalog = _new_catalog(spark, d)
+    bodies = _bodies(spark, d).join(
+        _table(spark, d, "documents").select(F.col("doc_id").alias("submission_id"), "lang"), "submission_id"
+    )
+    for lang in ("en", "fr", "de", "es"):
+        batch = bodies.where(F.col("lang") == lang).drop("lang")
+        number = ingest_submissions(batch, catalog)
+        if lang in ("fr", "es"):
+            compact_batches(spark, catalog)
+    ingest_submissions(batch, catalog, number)
+    owners = catalog.owners(spark)
+    return catalog.practices(spark).select("practice_id", "title", "domain", "notes").join(owners, "practice_id")
+
+
+def _fresh_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """The same submissions before and after the categories they name are published."""
+    catalog = Catalog(shared_folder(spark, "catalog"))
+    categories, features = _categories(spark, d), _features(spark, d)
+    few = categories.where("category_id <> 1")
+    bulk_load(catalog, few, features, _practices(spark, d).drop("category_id"), ("doc_id",))
+    bodies = _bodies(spark, d)
+    ingest_submissions(bodies, catalog)
+    replace_lookups(catalog, categories.withColumn("display_order", F.lit(1)), features)
+    ingest_submissions(bodies, catalog)
+    owners = catalog.owners(spark).where("writer = 'ingest'").select("practice_id", "batch")
+    return catalog.practices(spark).select("practice_id", "category_id", "notes").join(owners, "practice_id")
+
+
+def _default_times(spark: SparkSession, d: str) -> DataFrame:
+    """Whether generated times are those of the run, whole seconds and the same in both columns."""
+    start = F.lit(spark.sql("SELECT date_trunc('second', current_timestamp())").head()[0])
+    catalog = _new_catalog(spark, d)
+    stored = catalog.practices(spark)
+    created, updated = F.col("created_at"), F.col("updated_at")
+    return stored.select(
+        "practice_id",
+        (created == updated).alias("same"),
+        (created == F.date_trunc("second", created)).alias("whole_seconds"),
+        created.between(start, F.current_timestamp()).alias("of_the_run"),
+    )
+
+
+def _submission_words(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as submissions that fail each enumerated field, with ids as text and nested values."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    values = {
+        "title": F.col("o_orderkey").cast("string"),
+        "description": priority,
+        "domain": F.when(status == "O", "Security").when(status == "F", "General").otherwise("security"),
+        "category_id": (F.col("o_custkey") % 7).cast("string"),
+        "feature_id": F.col("o_custkey").cast("string"),
+        "recommendation_level": F.when(priority == "1-URGENT", "Must").otherwise("Optional"),
+        "impact_level": F.when(priority == "2-HIGH", "Severe").otherwise("Low"),
+        "difficulty_level": F.when(priority == "3-MEDIUM", "").when(priority == "5-LOW", "easy").otherwise("Easy"),
+        "source_reference": priority,
+        "notes": F.when(status == "F", F.array(status)),
+    }
+    members = F.to_json(F.struct(*(value.alias(name) for name, value in values.items())))
+    bodies = _table(spark, d, "orders").select(F.col("o_orderkey").alias("submission_id"), members.alias("body"))
+    checked = validate_submissions(bodies, _categories(spark, d), _features(spark, d))
+    return checked.select("submission_id", "status", "error")
+
+
 def _ingest_raw_bodies(spark: SparkSession, d: str) -> DataFrame:
     """The same from files of one body to a line."""
     catalog = _new_catalog(spark, d)
@@ -733,6 +838,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_tables": _load_tables,
         "ingest_submissions": _ingest_submissions,
         "ingest_raw_bodies": _ingest_raw_bodies,
+        "append_practices": _append_practices,
+        "reload_catalog": _reload_catalog,
+        "compact_batches": _compact_batches,
+        "fresh_lookups": _fresh_lookups,
+        "default_times": _default_times,
+        "submission_words": _submission_words,
         "stream_submissions": _stream_submissions,
         "stream_append": _stream_append,
         "search_batch": _search_batch,
@@ -999,6 +1110,45 @@ def oracle_sql() -> dict[str, str]:
         "load_tables": loaded,
         "ingest_submissions": ingested,
         "ingest_raw_bodies": ingested,
+        "append_practices": f"""
+            {loaded}
+            UNION ALL
+            SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY doc_id DESC),
+                text, source, 'Security', 1, NULL, NULL, NULL, NULL, NULL, source
+            FROM documents""",
+        "reload_catalog": f"""
+            SELECT practice_id, d.domain, description
+            FROM ({loaded}) p, (SELECT unnest(['General', 'Reliability']) AS domain) d""",
+        "compact_batches": f"""
+            SELECT practice_id, title, domain, notes, 'load' AS writer, CAST(0 AS BIGINT) AS batch
+            FROM ({loaded})
+            UNION ALL
+            SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY batch, submission_id),
+                title, domain, notes, 'ingest', CAST(batch AS BIGINT)
+            FROM (SELECT *, list_position(['en', 'fr', 'de', 'es'], notes) - 1 AS batch FROM ({validated}))
+            WHERE status = 200 AND batch >= 0""",
+        "fresh_lookups": f"""
+            SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY batch, submission_id)
+                    AS practice_id, category_id, notes, CAST(batch AS BIGINT) AS batch
+            FROM ({validated}), (SELECT unnest([0, 1]) AS batch)
+            WHERE status = 200 AND (batch = 1 OR category_id <> 1)""",
+        "default_times": """
+            SELECT row_number() OVER (ORDER BY doc_id) AS practice_id, true AS same,
+                true AS whole_seconds, true AS of_the_run
+            FROM documents""",
+        "submission_words": """
+            SELECT submission_id, CAST(CASE WHEN client IS NOT NULL THEN 400 WHEN fails THEN 500 ELSE 200 END
+                    AS INTEGER) AS status,
+                CASE WHEN client IS NOT NULL THEN client WHEN fails THEN 'Failed to create practice' END AS error
+            FROM (SELECT o_orderkey AS submission_id,
+                    CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'Missing required fields: difficulty_level'
+                        WHEN o_orderstatus NOT IN ('O', 'F') THEN 'Invalid domain value'
+                        WHEN o_orderpriority = '1-URGENT' THEN 'Invalid recommendation level'
+                        WHEN o_orderpriority = '2-HIGH' THEN 'Invalid impact level'
+                        WHEN o_orderpriority = '5-LOW' THEN 'Invalid difficulty level' END AS client,
+                    o_orderstatus = 'F' OR o_custkey % 7 NOT IN (SELECT r_regionkey FROM region)
+                        OR o_custkey NOT IN (SELECT page_id FROM pages) AS fails
+                FROM orders)""",
         "stream_submissions": ingested,
         "stream_append": """
             SELECT event_id, event_type FROM events

@@ -5,11 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfline import schemas
 from shelfline.operators.batch import search_batch
 from shelfline.operators.catalog import Lookup, attach_lookups, catalog_list, lookup_list
 from shelfline.operators.filters import PRACTICE_FIELDS, criteria
+from shelfline.plans.versions import LOOKUPS, RUNS, Version, batch_folder, current, done_batches
 from shelfline.sources.tables import read_table
 
 # The columns of the listing.
@@ -30,23 +33,74 @@ LISTING_COLUMNS = (
     "notes",
     "updated_at",
 )
+# Who brought a row: columns of the files of runs, and of the folders of batches.
+OWNER = (T.StructField("of_writer", T.StringType()), T.StructField("of_batch", T.LongType()))
+FOLDER = (T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType()))
+
 # The first three are the listing's order; the id settles equal rows.
 LISTING_ORDER = ("domain", "category_name", "title", "practice_id")
 
 
 @dataclass(frozen=True)
 class Catalog:
-    """Where the tables of a catalog are stored."""
+    """A catalog below `root`, in its current version or the one it is pinned to.
+
+    Every read looks the version up anew. `pinned()` gives a catalog that stays with the version
+    of the moment, for reads that must fit together; its files remain until two more versions
+    were published.
+    """
 
     root: str
+    at: Version | None = None
+
+    @property
+    def folder(self) -> str:
+        return self.root.rstrip("/")
+
+    def version(self) -> Version:
+        found = self.at or current(SparkSession.active(), self.folder)
+        if found is None:
+            raise FileNotFoundError(f"no catalog at {self.root}")
+        return found
+
+    def pinned(self) -> Catalog:
+        return Catalog(self.root, self.version())
 
     def path(self, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{table}"
+        """The folder of a table in the version; of batches, all that were ever written there."""
+        version = self.version()
+        return f"{self.folder}/{version.lookups if table in LOOKUPS else version.data}/{table}"
+
+    def batch_paths(self, spark: SparkSession, table: str) -> tuple[str, list[str]]:
+        """The folder of a table of batches, and those in it that hold the visible rows."""
+        version = self.version()
+        stored = [(RUNS, run["number"]) for run in version.runs]
+        stored += done_batches(spark, self.folder, version)
+        base = f"{self.folder}/{version.data}"
+        return f"{base}/{table}", [f"{base}/{batch_folder(table, *batch)}" for batch in stored]
+
+    def batch_rows(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+        """The visible rows of a table of batches. Folder columns only serve partition pruning."""
+        base, paths = self.batch_paths(spark, table)
+        if not paths:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.fieldNames())
 
     def practices(self, spark: SparkSession) -> DataFrame:
-        """Stored practices. The folder columns only serve partition pruning."""
-        return read_table(spark, self.path("practices"), schemas.PRACTICES).select(
-            *schemas.PRACTICES.fieldNames()
+        return self.batch_rows(spark, "practices", schemas.PRACTICES)
+
+    def rejected(self, spark: SparkSession) -> DataFrame:
+        return self.batch_rows(spark, "rejected", schemas.REJECTED)
+
+    def owners(self, spark: SparkSession) -> DataFrame:
+        """(practice_id, writer, batch): the batch each practice came with, merged or not."""
+        keys = [T.StructField("practice_id", T.LongType()), *OWNER]
+        found = self.batch_rows(spark, "practices", T.StructType([*keys, *FOLDER]))
+        # A run keeps the owners of its rows in its files, a batch has its folder's name.
+        return found.select(
+            "practice_id",
+            F.coalesce("of_writer", F.col("writer").cast("string")).alias("writer"),
+            F.coalesce("of_batch", "batch").alias("batch"),
         )
 
     def categories(self, spark: SparkSession) -> DataFrame:

@@ -1,105 +1,127 @@
 """Creating a catalog, loading it in bulk and adding submissions to it.
 
-A catalog folder holds `categories`, `features`, and in folders
-`writer=W/batch=N` the tables `practices`, `rejected` and `last_ids`. A batch
-belongs to its writer and owns its folders, so that writers never overwrite
-each other. Before its rows are stored, a batch reserves its ids in `last_ids`,
-after all that were reserved before; a batch that runs again finds its own
-reservation, gives the same ids and overwrites its own rows only. One batch
-runs at a time.
+Loads publish a new version of the catalog when all their tables are stored. A batch belongs to
+its writer and owns its folders, so writers never overwrite each other; it numbers its rows,
+reserves ids for them after all that were reserved before, stores them and becomes visible as a
+whole. A batch that runs again finds its own reservation, gives the same ids and overwrites its
+own rows only. Any number of batches may run at a time. `versions` describes the files.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline import schemas
-from shelfline.operators.constraints import enforce
+from shelfline.operators.constraints import ConstraintViolation, enforce
 from shelfline.operators.identifiers import assign_ids, fill_omitted, now
 from shelfline.operators.submissions import split_outcome, validate_submissions
 from shelfline.plans.catalog import Catalog
+from shelfline.plans.versions import (
+    CatalogChanged,
+    Version,
+    batch_folder,
+    current,
+    done_name,
+    new_folder,
+    publish,
+    reserve,
+)
 from shelfline.session import stage, staging
+from shelfline.sources.claims import put_if_absent
 from shelfline.sources.tables import in_file_order, read_table, recreate_table, without
 
 # The selective enumerated column: a search for one area reads its folders only.
 PARTITION_BY = ("domain",)
 
-LAST_IDS = T.StructType(
-    [T.StructField("before_id", T.LongType()), T.StructField("last_id", T.LongType())]
-)
-BATCHES = T.StructType([T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
-
-
-def _batch_path(catalog: Catalog, table: str, writer: str, batch: int) -> str:
-    return f"{catalog.path(table)}/writer={writer}/batch={batch}"
-
+def _store(df: DataFrame, root: str, version: Version, table: str, writer: str, batch: int) -> None:
+    """Write one batch of complete practices, or of rejected submissions."""
+    path = f"{root}/{version.data}/{batch_folder(table, writer, batch)}"
+    if table != "practices":
+        recreate_table(df, path)
+        return
+    rows = df.select(*(F.col(field.name).cast(field.dataType) for field in schemas.PRACTICES))
+    # Rows of one category lie together in a file, so its statistics can skip it.
+    recreate_table(rows.sortWithinPartitions("domain", "category_id"), path, PARTITION_BY)
 
-def _reservations(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    schema = T.StructType([*LAST_IDS, *BATCHES])
-    return read_table(spark, catalog.path("last_ids"), schema)
 
+def _finish(spark: SparkSession, root: str, version: Version, writer: str, batch: int) -> None:
+    """Make a stored batch visible, unless the catalog it was stored in was replaced."""
+    put_if_absent(spark, f"{root}/{version.data}/done/{done_name(writer, batch)}", "")
+    after = current(spark, root)
+    if after is None or after.data != version.data:
+        raise CatalogChanged(f"{root} was loaded anew while batch {batch} of {writer} ran")
 
-def _last_id_before(spark: SparkSession, catalog: Catalog, writer: str, batch: int) -> int:
-    """Where the batch's ids start: as before if it has run, else after all others."""
-    own = (F.col("writer") == writer) & (F.col("batch") == batch)
-    mine, others = (
-        _reservations(spark, catalog)
-        .agg(F.max(F.when(own, F.col("before_id"))), F.max(F.when(~own, F.col("last_id"))))
-        .head()
-    )
-    return mine if mine is not None else others or 0
 
+def _publish_load(
+    spark: SparkSession, root: str, lookups: Mapping[str, DataFrame], practices: DataFrame | None, last_id: int
+) -> None:
+    """Store whole tables in new folders and publish them as one version."""
+    base = current(spark, root)
+    made = Version(0, new_folder("data"), new_folder("lookups"))
+    for table, frame in lookups.items():
+        recreate_table(frame, f"{root}/{made.lookups}/{table}")
+    if practices is not None:
+        reservation = {"seq": 1, "writer": "load", "batch": 0, "before_id": 0, "last_id": last_id, "lookups": made.lookups}
+        put_if_absent(spark, f"{root}/{made.data}/ids/{1:012}", json.dumps(reservation))
+        _store(practices, root, made, "practices", "load", 0)
+        _store(spark.createDataFrame([], schemas.REJECTED), root, made, "rejected", "load", 0)
+        put_if_absent(spark, f"{root}/{made.data}/done/{done_name('load', 0)}", "")
+    while True:
+        retired = [base.data, base.lookups] if base else []
+        try:
+            publish(spark, root, base, replace(made, retired=retired))
+            return
+        except CatalogChanged:  # a load replaces whatever was stored meanwhile
+            base = current(spark, root)
 
-def _next_batch(spark: SparkSession, catalog: Catalog, writer: str) -> int:
-    own = _reservations(spark, catalog).where(F.col("writer") == writer)
-    return own.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).head()[0]
 
+def create_catalog(spark: SparkSession, root: str) -> Catalog:
+    """An empty catalog at `root`, in place of any that is there."""
+    lookups = {
+        table: spark.createDataFrame([], schema)
+        for table, schema in (("categories", schemas.CATEGORIES), ("features", schemas.FEATURES))
+    }
+    catalog = Catalog(root)
+    _publish_load(spark, catalog.folder, lookups, None, 0)
+    return catalog
 
-def _reserve(
-    spark: SparkSession, catalog: Catalog, writer: str, batch: int, before_id: int, last_id: int
-) -> None:
-    taken = _reservations(spark, catalog).where(
-        (F.col("before_id") < last_id)
-        & (F.col("last_id") > before_id)
-        & ~((F.col("writer") == writer) & (F.col("batch") == batch))
-    )
-    if not taken.isEmpty():
-        raise ValueError(f"batch {batch} of {writer} has more rows than when it ran before")
-    row = spark.createDataFrame([(before_id, last_id)], LAST_IDS).coalesce(1)
-    recreate_table(row, _batch_path(catalog, "last_ids", writer, batch))
 
+def replace_lookups(catalog: Catalog, categories: DataFrame, features: DataFrame) -> None:
+    """Publish other lookup tables, or raise and leave the catalog as it was.
 
-def _store_practices(practices: DataFrame, catalog: Catalog, writer: str, batch: int) -> None:
-    """Write one batch of complete practices."""
-    rows = practices.select(
-        *(F.col(field.name).cast(field.dataType) for field in schemas.PRACTICES)
-    )
-    # Rows of one category lie together in a file, so its statistics can skip it.
-    recreate_table(
-        rows.sortWithinPartitions("domain", "category_id"),
-        _batch_path(catalog, "practices", writer, batch),
-        PARTITION_BY,
-    )
+    Both come with their ids. Every stored practice must find its parents in them. A batch that is
+    running keeps the lookups it began with, and records which they were.
+    """
+    spark = categories.sparkSession
+    with staging(spark):
+        lookups = {}
+        for frame, table, schema, rules in (
+            (categories, "categories", schemas.CATEGORIES, schemas.CATEGORY_RULES),
+            (features, "features", schemas.FEATURES, schemas.FEATURE_RULES),
+        ):
+            lookups[table] = stage(fill_omitted(frame, _omissible(schema, rules)).select(*schema.fieldNames()), table)
+            enforce(lookups[table], rules)
+            if not lookups[table].where(F.col(rules.primary_key).isNull()).isEmpty():
+                raise ConstraintViolation(f"{table} without {rules.primary_key}")
+        pinned = catalog.pinned()
+        enforce(pinned.practices(spark), replace(schemas.PRACTICE_RULES, primary_key=""), lookups)
+        base = pinned.version()
+        folder = new_folder("lookups")
+        for table, frame in lookups.items():
+            recreate_table(frame, f"{catalog.folder}/{folder}/{table}")
+        publish(spark, catalog.folder, base, replace(base, lookups=folder, retired=[base.lookups]))
 
 
-def create_catalog(spark: SparkSession, root: str) -> Catalog:
-    """Drop the tables below `root` if they exist and create empty ones."""
-    catalog = Catalog(root)
-    for table, schema in (("categories", schemas.CATEGORIES), ("features", schemas.FEATURES)):
-        recreate_table(spark.createDataFrame([], schema), catalog.path(table))
-    for table, schema in (
-        ("practices", schemas.PRACTICES),
-        ("rejected", schemas.REJECTED),
-        ("last_ids", LAST_IDS),
-    ):
-        empty = spark.createDataFrame([], T.StructType([*schema, *BATCHES]))
-        recreate_table(empty, catalog.path(table), BATCHES.fieldNames())
-    return catalog
+def _omissible(schema: T.StructType, rules: schemas.StorageRules) -> dict[str, object]:
+    """What rows of a lookup table may omit, with its value."""
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name != rules.primary_key}
+    return {**nothing, **rules.defaults}
 
 
 def _with_ids(frame: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
@@ -144,8 +166,7 @@ def bulk_load(
             (categories, "categories", schemas.CATEGORIES, schemas.CATEGORY_RULES),
             (features, "features", schemas.FEATURES, schemas.FEATURE_RULES),
         ):
-            omitted = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name != rules.primary_key}
-            complete = fill_omitted(frame, {**omitted, **rules.defaults})
+            complete = fill_omitted(frame, _omissible(schema, rules))
             numbered = _with_ids(complete, rules.primary_key, ["name"])
             lookups[table] = stage(numbered.select(*schema.fieldNames()), table)
             enforce(lookups[table], rules)
@@ -156,11 +177,7 @@ def bulk_load(
         complete = _with_ids(complete, "practice_id", order_by)
         enforce(complete, schemas.PRACTICE_RULES, lookups)
         last_id = complete.agg(F.max("practice_id")).head()[0] or 0
-        create_catalog(spark, catalog.root)
-        for table, frame in lookups.items():
-            recreate_table(frame, catalog.path(table))
-        _reserve(spark, catalog, "load", 0, 0, max(last_id, 0))
-        _store_practices(complete, catalog, "load", 0)
+        _publish_load(spark, catalog.folder, lookups, complete, max(last_id, 0))
 
 
 def load_tables(
@@ -205,33 +222,36 @@ def append_practices(
     the number of the writer's batch.
     """
     spark = practices.sparkSession
-    batch = _next_batch(spark, catalog, writer) if batch is None else batch
-    parents = {"categories": catalog.categories(spark), "features": catalog.features(spark)}
-    complete = fill_omitted(practices, _optional())
+    pinned = catalog.pinned()
+    parents = {"categories": pinned.categories(spark), "features": pinned.features(spark)}
     with staging(spark):
-        _append(complete, catalog, order_by, writer, batch, clock, parents)
-    return batch
+        placed = assign_ids(fill_omitted(practices, _optional()), "_place", order_by)
+        # The numbered rows are a staged copy: what is checked is what is stored.
+        enforce(placed.drop("practice_id"), schemas.PRACTICE_RULES, parents)
+        return _append(placed, pinned, writer, batch, clock)
 
 
 def _append(
-    practices: DataFrame,
-    catalog: Catalog,
-    order_by: Sequence[str],
+    placed: DataFrame,
+    pinned: Catalog,
     writer: str,
-    batch: int,
+    batch: int | None,
     clock: str | None,
-    parents: Mapping[str, DataFrame] | None = None,
-) -> None:
-    spark = practices.sparkSession
-    before_id = _last_id_before(spark, catalog, writer, batch)
-    # The numbered rows are a staged copy: what is checked is what is stored.
-    numbered = assign_ids(practices, "practice_id", order_by, before_id)
-    if parents is not None:
-        enforce(numbered.drop("practice_id"), schemas.PRACTICE_RULES, parents)
+    rejected: DataFrame | None = None,
+) -> int:
+    """Reserve ids for rows that are numbered by `_place`, and store them with the rejected ones."""
+    spark, root, version = placed.sparkSession, pinned.folder, pinned.version()
+    reserved = reserve(spark, root, version, writer, batch, placed.count())
+    if reserved.closed:
+        return reserved.batch
     time = F.lit(clock).cast("timestamp") if clock else now()
+    numbered = placed.withColumn("practice_id", F.col("_place") + reserved.before_id)
     complete = fill_omitted(numbered, {"created_at": time, "updated_at": time})
-    _reserve(spark, catalog, writer, batch, before_id, before_id + numbered.count())
-    _store_practices(complete, catalog, writer, batch)
+    nothing = spark.createDataFrame([], schemas.REJECTED)
+    _store(nothing if rejected is None else rejected, root, version, "rejected", writer, reserved.batch)
+    _store(complete, root, version, "practices", writer, reserved.batch)
+    _finish(spark, root, version, writer, reserved.batch)
+    return reserved.batch
 
 
 def read_bodies(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -258,19 +278,14 @@ def ingest_submissions(
 
     `submissions` holds (submission_id, body); ids are given in the order of the
     unique submission_id. Categories and features are read anew, so a batch
-    sees every row stored before it began. Returns the number of the writer's
-    batch.
+    sees every row stored before it began, and keeps to them to its end. Returns the
+    number of the writer's batch; one that was merged into a run is left as it is.
     """
     spark = submissions.sparkSession
-    batch = _next_batch(spark, catalog, writer) if batch is None else batch
-    validated = validate_submissions(
-        submissions, catalog.categories(spark), catalog.features(spark)
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with staging(spark):
-            accepted, rejected = split_outcome(validated)
-            recreate_table(rejected, _batch_path(catalog, "rejected", writer, batch))
-            _append(accepted, catalog, ["submission_id"], writer, batch, clock)
-    finally:
-        validated.unpersist()
-    return batch
+    pinned = catalog.pinned()
+    validated = validate_submissions(submissions, pinned.categories(spark), pinned.features(spark))
+    with staging(spark):
+        # Judged once: neither a lost executor nor other lookups can change a verdict later.
+        accepted, rejected = split_outcome(stage(validated, "verdicts"))
+        placed = assign_ids(accepted, "_place", ["submission_id"])
+        return _append(placed, pinned, writer, batch, clock, rejected)

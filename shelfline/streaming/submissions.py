@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfline.plans.catalog import Catalog
+from shelfline.plans.compaction import compact_batches
 from shelfline.plans.ingest import ingest_submissions
 
 SUBMISSIONS = T.StructType(
@@ -57,18 +58,22 @@ def stream_submissions(
     checkpoint: str,
     writer: str | None = None,
     interval: str | None = None,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of (submission_id, body) by the rules of the batch job.
 
     Micro-batch N becomes batch N of `writer`, by default one that is named after
     the checkpoint folder: a new checkpoint counts from 0 again and must not own
     the batches of another. Lookup tables are read anew for each micro-batch.
-    Stateless: no watermark is needed.
+    Stateless: no watermark is needed. After each `compact_every` micro-batches the batches so far
+    are merged, so a stream that runs for ever keeps few files.
     """
     name = writer or f"stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
 
     def ingest(batch: DataFrame, number: int) -> None:
         ingest_submissions(batch, catalog, number, writer=name)
+        if compact_every and (number + 1) % compact_every == 0:
+            compact_batches(batch.sparkSession, catalog)
 
     return each_batch(submissions.select(*SUBMISSIONS.fieldNames()), ingest, checkpoint, interval)
 

@@ -107,5 +107,50 @@ def test_hot_request_and_hot_gram(spark):
     assert sorted(map(tuple, result.collect())) == brute
 
 
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_many_criteria_take_one_scan(spark, tmp_path, monkeypatch, words):
+    """Three times the bound of a broadcast: one scan of the fact table, same rows, and with a
+    full-sized filter hardly a row without a criterion is staged."""
+    from shelfline.operators.filters import SearchFields
+
+    monkeypatch.setattr(batch, "MAX_BROADCAST_ROWS", 30)
+    monkeypatch.setattr(batch, "MAX_FILTER_WORDS", words)
+    fields = SearchFields(text=("t", "u"), ids={"categoryId": "k"})
+    spark.range(400).select(
+        F.format_string("%03d is a row", "id").alias("t"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.upper(F.md5(F.col("id").cast("string"))), F.lit("%"))).alias("u"),
+        (F.col("id") % 5).alias("k"),
+    ).write.parquet(str(tmp_path / "fact"))
+    fact = spark.read.parquet(str(tmp_path / "fact"))
+    fact = fact.unionByName(fact.where("false"))  # a plan that is not a bare scan
+    requests = spark.range(90).select(
+        F.col("id").alias("request_id"),
+        F.when(F.col("id") < 50, F.format_string("%03d IS A", F.col("id") * 7))
+        .otherwise(F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 12), F.lit("%_")))
+        .alias("search"),
+        F.when(F.col("id") % 4 == 0, "2").alias("categoryId"),
+    )
+    staged, stage = {}, batch.stage
+
+    def recorded(df, purpose):
+        staged[purpose] = df._jdf.queryExecution().executedPlan().toString(), stage(df, purpose)
+        return staged[purpose][1]
+
+    monkeypatch.setattr(batch, "stage", recorded)
+    result = batch.search_batch(requests, fact, fields, ["t", "k"], max_inline_texts=0)
+    brute = sorted(
+        (r, f"{i:03} is a row", i % 5)
+        for r in range(90)
+        for i in range(400)
+        if (i == r * 7 if r < 50 else i == r and i % 2 == 0)
+        and (r % 4 or i % 5 == 2)
+    )
+    assert sorted(map(tuple, result.collect())) == brute and brute
+    plans = [plan for plan, _ in staged.values()] + [result._jdf.queryExecution().executedPlan().toString()]
+    assert "fact" in staged["rows"][0] and all("/fact" not in plan for plan in plans if plan != staged["rows"][0])
+    held = staged["rows"][1].count()
+    assert held < 150 if words > 1 else held > 150
+
+
 def test_fixture_has_every_text_column():
     assert len(PRACTICE_ROWS[0]) == 13
