@@ -25,6 +25,7 @@ from shelfline.operators.constraints import (
     orphans,
 )
 from shelfline.operators.display import display_rows, fallback, feature_link, source_link
+from shelfline.operators.gram_index import build_gram_index, pruned
 from shelfline.operators.filters import SearchFields, by_id, criteria, search
 from shelfline.operators.identifiers import assign_ids, fill_omitted
 from shelfline.operators.submissions import (
@@ -708,14 +709,13 @@ def _benchmark_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_batch_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of three characters, the beginnings of the nations' names, by grams."""
-    nothing = F.lit(None).cast("string")
-    requests = _table(spark, d, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("request_id"),
-        F.substring("n_name", 1, 3).alias("search"),
-        nothing.alias("categoryId"),
-        nothing.alias("area"),
-    )
+    """All names of languages and sources as terms, whole words of two to five letters, by grams."""
+    documents, nothing = _table(spark, d, "documents"), F.lit(None).cast("string")
+    names = [
+        documents.groupBy(F.col(name).alias("search")).agg((F.min("doc_id") * 2 + number).alias("request_id"))
+        for number, name in enumerate(("lang", "source"))
+    ]
+    requests = names[0].unionByName(names[1]).withColumns({"categoryId": nothing, "area": nothing})
     return _document_batch(spark, d, requests, max_inline_texts=0)
 
 
@@ -723,6 +723,18 @@ def _search_batch_grams(spark: SparkSession, d: str) -> DataFrame:
     return _document_batch(spark, d, _benchmark_requests(spark, d), max_inline_texts=0)
 
 
+def _search_batch_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's texts in files of documents that their grams cannot rule out."""
+    folder = shared_folder(spark, "documents")
+    documents = _table(spark, d, "documents")
+    recreate_table(documents.repartitionByRange(64, "doc_id"), folder)
+    stored = read_table(spark, folder, documents.schema)
+    build_gram_index(stored, DOCUMENT_FIELDS.text, f"{folder}-grams")
+    requests = _benchmark_requests(spark, d)
+    few = pruned(requests, stored, DOCUMENT_FIELDS, f"{folder}-grams")
+    return search_batch(requests, few, DOCUMENT_FIELDS, ["doc_id", "lang", "source"])
+
+
 def _search_batch_urls(spark: SparkSession, d: str) -> DataFrame:
     """One request for each page: its language, and its `page` parameter as an id if it has one."""
     requests = _table(spark, d, "pages").select(
@@ -849,6 +861,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_batch": _search_batch,
         "search_batch_terms": _search_batch_terms,
         "search_batch_grams": _search_batch_grams,
+        "search_batch_indexed": _search_batch_indexed,
         "search_batch_urls": _search_batch_urls,
         "practice_search": _practice_search,
         "practice_search_batch": _practice_search_batch,
@@ -1169,9 +1182,11 @@ def oracle_sql() -> dict[str, str]:
         "search_batch_terms": f"""
             SELECT r.request_id, d.doc_id, d.lang, d.source
             FROM documents d
-            JOIN (SELECT CAST(n_nationkey AS BIGINT) AS request_id,
-                    substr(n_name, 1, 3) AS search FROM nation) r ON {text_hit}""",
+            JOIN (SELECT lang AS search, min(doc_id) * 2 AS request_id FROM documents GROUP BY lang
+                UNION ALL
+                SELECT source, min(doc_id) * 2 + 1 FROM documents GROUP BY source) r ON {text_hit}""",
         "search_batch_grams": benchmark_hits,
+        "search_batch_indexed": benchmark_hits,
         "search_batch_urls": """
             SELECT r.page_id AS request_id, d.doc_id, d.lang, d.source
             FROM documents d
