@@ -44,6 +44,7 @@ from shelfline.plans.ingest import (
     replace_lookups,
 )
 from shelfline.session import configure, shared_folder
+from shelfline.sources.bodies import read_concatenated
 from shelfline.sources.tables import (
     append_rows,
     combine_shapes,
@@ -641,6 +642,16 @@ def _ingest_raw_bodies(spark: SparkSession, d: str) -> DataFrame:
     return catalog.practices(spark).select(*STORED)
 
 
+def _ingest_concatenated(spark: SparkSession, d: str) -> DataFrame:
+    """The same from bodies that take many lines each and follow each other in files."""
+    catalog = _new_catalog(spark, d)
+    folder = shared_folder(spark, "bodies")
+    pretty = F.to_json(F.parse_json("body"), {"pretty": "true"})
+    _bodies(spark, d).orderBy("submission_id").select(pretty.alias("value")).write.text(folder)
+    ingest_submissions(read_concatenated(spark, folder), catalog)
+    return catalog.practices(spark).select(*STORED)
+
+
 def _stream_submissions(spark: SparkSession, d: str) -> DataFrame:
     catalog = _new_catalog(spark, d)
     folder = shared_folder(spark, "incoming")
@@ -850,6 +861,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_tables": _load_tables,
         "ingest_submissions": _ingest_submissions,
         "ingest_raw_bodies": _ingest_raw_bodies,
+        "ingest_concatenated": _ingest_concatenated,
         "append_practices": _append_practices,
         "reload_catalog": _reload_catalog,
         "compact_batches": _compact_batches,
@@ -1123,6 +1135,7 @@ def oracle_sql() -> dict[str, str]:
         "load_tables": loaded,
         "ingest_submissions": ingested,
         "ingest_raw_bodies": ingested,
+        "ingest_concatenated": ingested,
         "append_practices": f"""
             {loaded}
             UNION ALL

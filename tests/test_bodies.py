@@ -1,0 +1,57 @@
+"""Bodies that follow each other in files, wherever Spark cuts the files."""
+
+import json
+
+import pytest
+
+from shelfline.sources.bodies import read_concatenated
+
+BODIES = [
+    {"a": 1},
+    {"a": {"b": [{}, {"c": "x}"}]}, "q": 'he said "{" and \\ "}"'},
+    {"t": "back\\\\", "u": "é}{日本", "v": "\\"},
+    {},
+    {"deep": {"er": {"and": {"out": "}"}}}},
+    {"last": "\"{\\\"}"},
+]
+
+
+def written(tmp_path, text, name="a.json"):
+    folder = tmp_path / "in"
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_bytes(text.encode())
+    return str(folder)
+
+
+def bodies(spark, folder, cut):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(cut))
+    try:
+        rows = read_concatenated(spark, folder).orderBy("submission_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["submission_id"] for r in rows] == list(range(1, len(rows) + 1))
+    return [r["body"] for r in rows]
+
+
+@pytest.mark.parametrize("cut", [1, 64])
+def test_a_file_cut_anywhere_gives_the_same_bodies(spark, tmp_path, cut):
+    """With ranges of one byte the file is cut at every offset."""
+    text = json.dumps(BODIES[0]) + json.dumps(BODIES[1], indent=2) + "\n" + "  \n".join(
+        json.dumps(b, ensure_ascii=False, indent=i) for i, b in enumerate(BODIES[2:])
+    )
+    found = bodies(spark, written(tmp_path, text), cut)
+    assert [json.loads(b) for b in found] == BODIES
+
+
+@pytest.mark.parametrize("end", ["", " }", '{"open": "', '{"a": {"b": 1}'])
+def test_ends_of_files_and_braces_too_many(spark, tmp_path, end):
+    folder = written(tmp_path, '{"a": 1}} {"b": {"c": 2}}\n' + end, "a.json")
+    written(tmp_path, '{"d": 4}', "b.json")
+    found = bodies(spark, folder, 5)
+    assert found[:3] == ['{"a": 1}', "}", '{"b": {"c": 2}}']
+    assert found[-1] == '{"d": 4}'
+    assert found[3:-1] == ([end.strip()] if end.strip() else [])
+
+
+def test_no_bodies(spark, tmp_path):
+    assert bodies(spark, written(tmp_path, " \n "), 1) == []
