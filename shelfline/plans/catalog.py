@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from shelfline.operators.batch import search_batch
 from shelfline.operators.catalog import Lookup, attach_lookups, catalog_list, lookup_list
 from shelfline.operators.filters import PRACTICE_FIELDS, criteria
 from shelfline.plans.versions import LOOKUPS, RUNS, Version, batch_folder, current, done_batches
+from shelfline.sources.claims import names_in
 from shelfline.sources.tables import read_table
 
 # The columns of the listing.
@@ -37,6 +39,24 @@ LISTING_COLUMNS = (
 OWNER = (T.StructField("of_writer", T.StringType()), T.StructField("of_batch", T.LongType()))
 FOLDER = (T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType()))
 
+# What a batch stores once leaves its key here, with the time until which that counts.
+RECEIPTS = T.StructType([T.StructField("key", T.StringType()), T.StructField("expires", T.TimestampType())])
+
+
+def owner_columns() -> list[Column]:
+    """writer and batch: a run keeps them in its files, a batch has its folder's name."""
+    return [
+        F.coalesce("of_writer", F.col("writer").cast("string")).alias("writer"),
+        F.coalesce("of_batch", "batch").alias("batch"),
+    ]
+
+
+def folders_among(spark: SparkSession, base: str, paths: Sequence[str]) -> list[str]:
+    """Those of the batch folders that exist: not every batch has rows of every table."""
+    given = {f"{base}/{w}/{b}" for w in names_in(spark, base) for b in names_in(spark, f"{base}/{w}")}
+    return [path for path in paths if path in given]
+
+
 # The first three are the listing's order; the id settles equal rows.
 LISTING_ORDER = ("domain", "category_name", "title", "practice_id")
 
@@ -92,16 +112,21 @@ class Catalog:
     def rejected(self, spark: SparkSession) -> DataFrame:
         return self.batch_rows(spark, "rejected", schemas.REJECTED)
 
+    def receipts(self, spark: SparkSession) -> DataFrame:
+        """(key, expires, writer, batch): the submissions that may not be stored once more."""
+        schema = T.StructType([*RECEIPTS, *OWNER, *FOLDER])
+        base, paths = self.batch_paths(spark, "receipts")
+        there = folders_among(spark, base, paths)
+        if not there:
+            return spark.createDataFrame([], T.StructType([*RECEIPTS, *FOLDER]))
+        found = spark.read.schema(schema).option("basePath", base).parquet(*there)
+        return found.select(*RECEIPTS.fieldNames(), *owner_columns())
+
     def owners(self, spark: SparkSession) -> DataFrame:
         """(practice_id, writer, batch): the batch each practice came with, merged or not."""
         keys = [T.StructField("practice_id", T.LongType()), *OWNER]
         found = self.batch_rows(spark, "practices", T.StructType([*keys, *FOLDER]))
-        # A run keeps the owners of its rows in its files, a batch has its folder's name.
-        return found.select(
-            "practice_id",
-            F.coalesce("of_writer", F.col("writer").cast("string")).alias("writer"),
-            F.coalesce("of_batch", "batch").alias("batch"),
-        )
+        return found.select("practice_id", *owner_columns())
 
     def categories(self, spark: SparkSession) -> DataFrame:
         return read_table(spark, self.path("categories"), schemas.CATEGORIES)

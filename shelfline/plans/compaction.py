@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline import schemas
-from shelfline.plans.catalog import FOLDER, OWNER, Catalog
+from shelfline.plans.catalog import (
+    FOLDER,
+    OWNER,
+    RECEIPTS,
+    Catalog,
+    folders_among,
+    owner_columns,
+)
 from shelfline.plans.versions import (
     RUNS,
     CatalogChanged,
@@ -31,6 +38,7 @@ from shelfline.session import stage, staging
 from shelfline.sources.claims import delete
 from shelfline.sources.tables import recreate_table
 
+TABLES = ("practices", "rejected", "receipts")
 # A run is merged again when what would follow it has this part of its rows.
 GROWTH = 4
 ROWS_A_FILE = 1_000_000
@@ -65,14 +73,14 @@ def compact_batches(spark: SparkSession, catalog: Catalog) -> int:
         batches = [(RUNS, run["number"]) for run in merged] + done
         _write_run(spark, root, base, batches, number, rows)
         following, seqs = _folded(spark, root, base, done, [*kept, {"number": number, "rows": rows}])
-    gone = [f"{base.data}/{batch_folder(t, *b)}" for t in ("practices", "rejected") for b in batches]
+    gone = [f"{base.data}/{batch_folder(t, *b)}" for t in TABLES for b in batches]
     gone += [f"{base.data}/done/{done_name(*b)}" for b in done]
     # The last reservation stays until there is a later one.
     gone += [f"{base.data}/ids/{seq:012}" for seq in seqs if seq < following.seq]
     try:
         publish(spark, root, base, replace(following, retired=gone))
     except CatalogChanged:
-        delete(spark, [f"{root}/{base.data}/{batch_folder(t, RUNS, number)}" for t in ("practices", "rejected")])
+        delete(spark, [f"{root}/{base.data}/{batch_folder(t, RUNS, number)}" for t in TABLES])
         return 0
     return len(done)
 
@@ -82,26 +90,31 @@ def _write_run(
 ) -> None:
     """One run of the rows of some batches and runs, sorted so that statistics can skip files."""
 
-    def read(table: str, fields: list) -> DataFrame:
+    def read(table: str, fields: T.StructType) -> DataFrame:
         folder = f"{root}/{base.data}/{table}"
         paths = [f"{root}/{base.data}/{batch_folder(table, *batch)}" for batch in batches]
+        paths = folders_among(spark, folder, paths)
         schema = T.StructType([*fields, *OWNER, *FOLDER])
-        found = spark.read.schema(schema).option("basePath", folder).parquet(*paths)
-        return found.select(
-            *[f.name for f in fields],
-            F.coalesce("of_writer", F.col("writer").cast("string")).alias("of_writer"),
-            F.coalesce("of_batch", F.col("batch")).alias("of_batch"),
-        )
+        if paths:
+            found = spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+        else:
+            found = spark.createDataFrame([], schema)
+        writer, batch = owner_columns()
+        return found.select(*fields.fieldNames(), writer.alias("of_writer"), batch.alias("of_batch"))
 
     files = max(1, -(-rows // ROWS_A_FILE))
     order = ["domain", "category_id", "practice_id"]
-    practices = read("practices", list(schemas.PRACTICES)).repartitionByRange(files, *order)
+    practices = read("practices", schemas.PRACTICES).repartitionByRange(files, *order)
     target = f"{root}/{base.data}/" + "{}"
     recreate_table(
         practices.sortWithinPartitions(*order), target.format(batch_folder("practices", RUNS, number)), ("domain",)
     )
-    rejected = read("rejected", list(schemas.REJECTED)).repartitionByRange(files, "of_batch", "submission_id")
+    rejected = read("rejected", schemas.REJECTED).repartitionByRange(files, "of_batch", "submission_id")
     recreate_table(rejected, target.format(batch_folder("rejected", RUNS, number)))
+    # Receipts that have expired go. Sorted by time, so that statistics skip old ones.
+    valid = read("receipts", RECEIPTS).where(F.col("expires") > F.current_timestamp())
+    receipts = valid.repartitionByRange(files, "expires", "key").sortWithinPartitions("expires", "key")
+    recreate_table(receipts, target.format(batch_folder("receipts", RUNS, number)))
 
 
 def _folded(

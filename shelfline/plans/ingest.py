@@ -237,9 +237,9 @@ def _append(
     writer: str,
     batch: int | None,
     clock: str | None,
-    rejected: DataFrame | None = None,
+    others: Mapping[str, DataFrame] | None = None,
 ) -> int:
-    """Reserve ids for rows that are numbered by `_place`, and store them with the rejected ones."""
+    """Reserve ids for rows that are numbered by `_place`, and store them and the batch's other rows."""
     spark, root, version = placed.sparkSession, pinned.folder, pinned.version()
     reserved = reserve(spark, root, version, writer, batch, placed.count())
     if reserved.closed:
@@ -247,8 +247,9 @@ def _append(
     time = F.lit(clock).cast("timestamp") if clock else now()
     numbered = placed.withColumn("practice_id", F.col("_place") + reserved.before_id)
     complete = fill_omitted(numbered, {"created_at": time, "updated_at": time})
-    nothing = spark.createDataFrame([], schemas.REJECTED)
-    _store(nothing if rejected is None else rejected, root, version, "rejected", writer, reserved.batch)
+    others = {"rejected": spark.createDataFrame([], schemas.REJECTED), **(others or {})}
+    for table, frame in others.items():
+        _store(frame, root, version, table, writer, reserved.batch)
     _store(complete, root, version, "practices", writer, reserved.batch)
     _finish(spark, root, version, writer, reserved.batch)
     return reserved.batch
@@ -273,6 +274,7 @@ def ingest_submissions(
     batch: int | None = None,
     clock: str | None = None,
     writer: str = "ingest",
+    once_within: str | None = None,
 ) -> int:
     """Validate submissions, append the accepted ones and quarantine the rest.
 
@@ -280,12 +282,37 @@ def ingest_submissions(
     unique submission_id. Categories and features are read anew, so a batch
     sees every row stored before it began, and keeps to them to its end. Returns the
     number of the writer's batch; one that was merged into a run is left as it is.
+
+    With `once_within`, an interval such as '7 days', a submission of the same id and body counts
+    once, in the batch or delivered again by any writer, a stream under a new checkpoint say, until
+    that time after it was stored or rejected. Batches that run at the same time do not see
+    each other.
     """
     spark = submissions.sparkSession
     pinned = catalog.pinned()
-    validated = validate_submissions(submissions, pinned.categories(spark), pinned.features(spark))
     with staging(spark):
+        others = {}
+        if once_within:
+            submissions = stage(_first_deliveries(submissions, pinned, writer, batch), "deliveries")
+            expires = F.current_timestamp() + F.expr(f"INTERVAL {once_within}")
+            others["receipts"] = submissions.select("key", expires.alias("expires"))
+            submissions = submissions.drop("key")
+        validated = validate_submissions(submissions, pinned.categories(spark), pinned.features(spark))
         # Judged once: neither a lost executor nor other lookups can change a verdict later.
-        accepted, rejected = split_outcome(stage(validated, "verdicts"))
+        accepted, others["rejected"] = split_outcome(stage(validated, "verdicts"))
         placed = assign_ids(accepted, "_place", ["submission_id"])
-        return _append(placed, pinned, writer, batch, clock, rejected)
+        return _append(placed, pinned, writer, batch, clock, others)
+
+
+def _first_deliveries(submissions: DataFrame, pinned: Catalog, writer: str, batch: int | None) -> DataFrame:
+    """The submissions that no other batch has a valid receipt for, each once, with their keys."""
+    members = F.struct("submission_id", "body")
+    key = F.sha2(F.to_json(members, {"ignoreNullFields": "false"}), 256)
+    keyed = submissions.withColumn("key", key).dropDuplicates(["key"])
+    others = pinned.receipts(submissions.sparkSession).where(
+        (F.col("expires") > F.current_timestamp())
+        & ~((F.col("writer") == writer) & F.col("batch").eqNullSafe(F.lit(batch)))
+    )
+    # The keys of a batch are few beside all receipts: these are reduced first.
+    seen = others.join(keyed.select("key"), "key", "left_semi").select("key").distinct()
+    return keyed.join(seen, "key", "left_anti")

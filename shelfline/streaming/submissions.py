@@ -59,6 +59,7 @@ def stream_submissions(
     writer: str | None = None,
     interval: str | None = None,
     compact_every: int | None = None,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Ingest a stream of (submission_id, body) by the rules of the batch job.
 
@@ -66,12 +67,13 @@ def stream_submissions(
     the checkpoint folder: a new checkpoint counts from 0 again and must not own
     the batches of another. Lookup tables are read anew for each micro-batch.
     Stateless: no watermark is needed. After each `compact_every` micro-batches the batches so far
-    are merged, so a stream that runs for ever keeps few files.
+    are merged, so a stream that runs for ever keeps few files. `once_within` drops submissions that
+    were delivered before, also under another checkpoint.
     """
     name = writer or f"stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
 
     def ingest(batch: DataFrame, number: int) -> None:
-        ingest_submissions(batch, catalog, number, writer=name)
+        ingest_submissions(batch, catalog, number, writer=name, once_within=once_within)
         if compact_every and (number + 1) % compact_every == 0:
             compact_batches(batch.sparkSession, catalog)
 

@@ -354,3 +354,46 @@ def test_a_stream_merges_as_it_goes(spark, tmp_path, catalog):
     assert stored(spark, catalog)[5:] == [(6 + i, f"s{i}") for i in range(5)]
     version = current(spark, catalog.folder)
     assert version.closed == {"load": [[0, 0]], "s": [[0, 3]]}
+
+
+# --- deliveries --------------------------------------------------------------
+
+
+def test_the_same_file_under_two_checkpoints_is_stored_once(spark, tmp_path, catalog):
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+
+    def run(checkpoint, name, *rows):
+        lines = [json.dumps({"submission_id": i, "body": text}) for i, text in rows]
+        (incoming / name).write_text("\n".join(lines))
+        stream = read_stream(spark, str(incoming), SUBMISSIONS, files="*.json")
+        stream_submissions(stream, catalog, str(tmp_path / checkpoint), once_within="7 days").awaitTermination()
+
+    run("one", "a.json", (1, body(title="a")), (1, body(title="a")), (2, "null"), (3, body(title="c")))
+    assert stored(spark, catalog)[5:] == [(6, "a"), (7, "c")]
+    run("two", "b.json", (4, body(title="d")), (3, body(title="other text")))
+    expected = [(6, "a"), (7, "c"), (8, "other text"), (9, "d")]
+    assert stored(spark, catalog)[5:] == expected
+    assert catalog.rejected(spark).count() == 1
+    compact_batches(spark, catalog)
+    run("three", "c.json")
+    assert stored(spark, catalog)[5:] == expected
+
+
+def test_a_batch_that_runs_again_keeps_its_own_rows(spark, catalog):
+    rows = [(1, body(title="a")), (2, body(title="b"))]
+    for _ in range(2):
+        ingest_submissions(submissions(spark, *rows), catalog, 0, once_within="1 day")
+        assert stored(spark, catalog)[5:] == [(6, "a"), (7, "b")]
+    ingest_submissions(submissions(spark, *rows, (None, None), (None, None)), catalog, once_within="1 day")
+    assert stored(spark, catalog)[5:] == [(6, "a"), (7, "b")]
+    assert catalog.rejected(spark).count() == 1
+
+
+def test_receipts_expire(spark, catalog):
+    row = submissions(spark, (1, body(title="a")))
+    for _ in range(2):
+        ingest_submissions(row, catalog, once_within="0 seconds")
+    assert [t for _, t in stored(spark, catalog)[5:]] == ["a", "a"]
+    compact_batches(spark, catalog)
+    assert catalog.receipts(spark).isEmpty()
