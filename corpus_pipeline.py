@@ -47,9 +47,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether these decode to the text."""
     configure(spark)
     columns = [c for c in docs.columns if c not in ("ids", "decodes")]
-    encoded = bpe.encode(docs, BPE_RANKS, public_tokenizers.PATTERN, columns)
-    decoded = bpe.decode(
-        encoded, BPE_RANKS, public_tokenizers.PATTERN, [*columns, "ids"], decoded="_decoded"
+    decoded = bpe.encode_and_decode(
+        docs, BPE_RANKS, public_tokenizers.PATTERN, columns, decoded="_decoded"
     )
     same = F.col("_decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return decoded.select(*columns, "ids", same.alias("decodes"))

@@ -25,7 +25,7 @@ from shelfline.llm.common import Remembered, emptied_after_tasks, map_arrow
 # White space as the pattern's \s has it; matches never cross from other characters into it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000  # about 40 MB of a worker, in two generations
 _LONGEST_REMEMBERED = 48
 
 _LETTERS = [chr(0x100 + b) for b in range(256)]
@@ -156,3 +156,29 @@ def decode(
     return map_arrow(encoded, list(dict.fromkeys([*keep, ids])), run, {decoded: "binary"}).select(
         *[c for c in keep if c != decoded], decoded
     )
+
+
+def encode_and_decode(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    keep: list[str],
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+) -> DataFrame:
+    """`encode` and `decode` in one pass, so that a task needs one worker and one vocabulary."""
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        codec = _codec(path, pattern)
+        lists = [codec.encode(t.as_py() or "") for t in batch.column(text)]
+        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+        values = np.concatenate([np.empty(0, np.int32), *lists])
+        return {
+            ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+            decoded: pa.array([codec.decode(found) for found in lists], pa.binary()),
+        }
+
+    kept = [c for c in keep if c not in (ids, decoded)]
+    added = {ids: "array<int>", decoded: "binary"}
+    return map_arrow(docs, list(dict.fromkeys([*kept, text])), run, added).select(*kept, ids, decoded)

@@ -45,3 +45,14 @@ def test_frames(odd_docs, no_docs):
         assert row["ids"] == theirs.encode_ordinary(row["text"] or "")
         assert bytes(row["decoded"]) == (row["text"] or "").encode()
     assert bpe.encode(no_docs, PATH, tokenizers.PATTERN, ["doc_id"]).count() == 0
+
+
+def test_one_pass_gives_the_same(odd_docs, no_docs):
+    keep = odd_docs.columns
+    once = bpe.encode_and_decode(odd_docs, PATH, tokenizers.PATTERN, keep)
+    twice = bpe.decode(
+        bpe.encode(odd_docs, PATH, tokenizers.PATTERN, keep), PATH, tokenizers.PATTERN, [*keep, "ids"]
+    )
+    assert sorted(once.columns) == sorted(twice.columns)
+    assert sorted(map(repr, once.select(*twice.columns).collect())) == sorted(map(repr, twice.collect()))
+    assert bpe.encode_and_decode(no_docs, PATH, tokenizers.PATTERN, ["doc_id"]).count() == 0
