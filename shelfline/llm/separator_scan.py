@@ -38,13 +38,14 @@ def write_flat_files(
     `kind` is the numpy type of an id. Spark's text sink writes the files, with the separator's
     bytes as its line separator, so these have to be valid UTF-8: in big-endian 16-bit files for
     example 50304, the letter U+0100. A null list is an empty document. A list that holds the
-    separator itself is refused. Each task writes one file.
+    separator itself, or an id that `kind` has no room for, is refused. Each task writes one file.
 
     With `doc_id`, a column of whole numbers, the files lie in the subfolder kind=ids, and beside
     each, in kind=names, one of the same part says the place and doc_id of its documents. Both are
     written in one pass, without a sort, so they fit whatever order the rows come in.
     """
     mark = np.array([separator], kind).tobytes().decode()
+    room = np.iinfo(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
@@ -54,6 +55,8 @@ def write_flat_files(
                 values = value.values.to_numpy() if value.is_valid else np.empty(0, np.int32)
                 if (values == separator).any():
                     raise ValueError("a document holds the separator")
+                if len(values) and (values.min() < room.min or values.max() > room.max):
+                    raise ValueError(f"a document holds an id beyond {room.min} to {room.max}")
                 rows.append(values.astype(kind).tobytes())
             kinds = ["ids"] * len(rows)
             if doc_id is not None:
@@ -220,6 +223,7 @@ def scan_documents(
         return spark.createDataFrame([], columns)
     scanned = scan_token_files(spark, f"{folder}/kind=ids", separator, kind, block_ids)
     mark = np.array([separator], kind).tobytes().decode()
+    room = np.iinfo(kind)
     lines = spark.read.option("lineSep", mark).text(f"{folder}/kind=names")
     words = F.split("value", " ")
     names = lines.select(F.col("_metadata.file_name").alias("file"), words.alias("_words")).select(

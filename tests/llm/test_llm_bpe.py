@@ -48,7 +48,7 @@ def test_frames(odd_docs, no_docs):
 
 
 def test_one_pass_gives_the_same(odd_docs, no_docs):
-    keep = odd_docs.columns
+    keep = [c for c in odd_docs.columns if c != "ids"]
     once = bpe.encode_and_decode(odd_docs, PATH, tokenizers.PATTERN, keep)
     twice = bpe.decode(
         bpe.encode(odd_docs, PATH, tokenizers.PATTERN, keep), PATH, tokenizers.PATTERN, [*keep, "ids"]
