@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.schemas import ForeignKey, StorageRules
+from shelfline.session import stage
+
+# Distinct values of a batch, counted, that may be broadcast to the stored rows.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 class ConstraintViolation(ValueError):
@@ -35,18 +39,22 @@ def duplicates(df: DataFrame, column: str, existing: DataFrame | None = None) ->
     """(value, rows): values given more than once, or once but stored already.
 
     Nulls are never equal. Counts are merged before the shuffle, so a frequent
-    value costs no more than a rare one.
+    value costs no more than a rare one. The given values are counted first: up to
+    MAX_BROADCAST_KEYS of them go to the stored rows, which are then read where they
+    lie; more are shuffled together with these.
     """
-    given = df.select(F.col(column).alias("value"), F.lit(1).alias("given"))
-    if existing is not None:
-        stored = existing.select(F.col(column).alias("value"), F.lit(0).alias("given"))
-        given = given.unionByName(stored)
-    counts = given.where(F.col("value").isNotNull()).groupBy("value")
-    return (
-        counts.agg(F.count("*").alias("rows"), F.sum("given").alias("given"))
-        .where("rows > 1 AND given > 0")
-        .select("value", "rows")
-    )
+    given = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    counts = given.groupBy("value").agg(F.count("*").alias("given"))
+    if existing is None:
+        return counts.where("given > 1").select("value", F.col("given").alias("rows"))
+    counts = stage(counts, "given-values")
+    stored = existing.select(F.col(column).alias("_stored")).where(F.col("_stored").isNotNull())
+    if counts.count() <= MAX_BROADCAST_KEYS:
+        stored = stored.join(F.broadcast(counts), F.col("_stored") == F.col("value")).select("_stored")
+    held = stored.groupBy("_stored").agg(F.count("*").alias("held"))
+    both = counts.join(held, F.col("value") == F.col("_stored"), "left")
+    rows = F.col("given") + F.coalesce("held", F.lit(0))
+    return both.select("value", rows.alias("rows")).where("rows > 1")
 
 
 def orphans(df: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
@@ -84,7 +92,7 @@ def enforce(
 ) -> None:
     """Raise if any row breaks any rule, naming each broken rule and its count.
 
-    For a table that must load as a whole. The row rules and foreign keys take
+    For a table that must load as a whole, or be added to the `existing` rows. The row rules and foreign keys take
     one pass together, each unique column one more.
     """
     tests = row_violations(rules)

@@ -118,18 +118,44 @@ def replace_lookups(catalog: Catalog, categories: DataFrame, features: DataFrame
         publish(spark, catalog.folder, base, replace(base, lookups=folder, retired=[base.lookups]))
 
 
+def append_lookups(catalog: Catalog, table: str, rows: DataFrame) -> None:
+    """Add rows to `categories` or `features`, or raise and add none.
+
+    Rows without an id are numbered after all there are, by name. Names and ids must be new, which is
+    checked without moving the stored rows. The table is published as a new version.
+    """
+    spark = rows.sparkSession
+    schema, rules = {
+        "categories": (schemas.CATEGORIES, schemas.CATEGORY_RULES),
+        "features": (schemas.FEATURES, schemas.FEATURE_RULES),
+    }[table]
+    base = catalog.version()
+    pinned = Catalog(catalog.root, base)
+    stored = {"categories": pinned.categories(spark), "features": pinned.features(spark)}
+    with staging(spark):
+        complete = fill_omitted(rows, _omissible(schema, rules))
+        highest = stored[table].agg(F.max(rules.primary_key)).head()[0] or 0
+        numbered = _with_ids(complete, rules.primary_key, ["name"], highest)
+        added = stage(numbered.select(*schema.fieldNames()), table)
+        enforce(added, rules, existing=stored[table])
+        folder = new_folder("lookups")
+        for name, frame in stored.items():
+            recreate_table(frame.unionByName(added) if name == table else frame, f"{catalog.folder}/{folder}/{name}")
+        publish(spark, catalog.folder, base, replace(base, lookups=folder, retired=[base.lookups]))
+
+
 def _omissible(schema: T.StructType, rules: schemas.StorageRules) -> dict[str, object]:
     """What rows of a lookup table may omit, with its value."""
     nothing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name != rules.primary_key}
     return {**nothing, **rules.defaults}
 
 
-def _with_ids(frame: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
-    """Keep given ids; number rows without one after the highest, in the given order."""
+def _with_ids(frame: DataFrame, key: str, order_by: Sequence[str], after: int = 0) -> DataFrame:
+    """Keep given ids; number rows without one after these and `after`, in the given order."""
     if key not in frame.columns:
-        return assign_ids(frame, key, order_by)
+        return assign_ids(frame, key, order_by, after)
     kept = frame.where(F.col(key).isNotNull())
-    highest = kept.agg(F.max(key)).head()[0] or 0
+    highest = max(kept.agg(F.max(key)).head()[0] or 0, after)
     without_id = frame.where(F.col(key).isNull()).drop(key)
     return kept.unionByName(assign_ids(without_id, key, order_by, max(highest, 0)))
 

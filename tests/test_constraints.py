@@ -78,3 +78,30 @@ def test_ids_put_nulls_first(spark):
     frame = spark.createDataFrame([("b",), (None,), ("a",)], "w string")
     ids = {r["w"]: r["id"] for r in assign_ids(frame, "id", ["w"]).collect()}
     assert ids == {None: 1, "a": 2, "b": 3}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_stored_values_stay_where_they_lie(spark, tmp_path, monkeypatch, most):
+    """No exchange lies between the scan of the stored rows and their join, unless the batch is large."""
+    from shelfline.operators import constraints
+
+    monkeypatch.setattr(constraints, "MAX_BROADCAST_KEYS", most)
+    spark.range(1000).selectExpr("id DIV 2 AS k").write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    given = spark.createDataFrame([(3,), (3,), (999,), (1000,), (1000,), (7,), (None,), (None,)], "k long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = duplicates(given, "k", stored)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(tuple, found.collect())) == [(3, 4), (7, 3), (1000, 2)]
+    at = next(i for i, line in enumerate(lines) if "FileScan parquet [k#" in line)
+    depth, above = len(lines[at]) - len(lines[at].lstrip(" :+-*")), []
+    for line in reversed(lines[:at]):
+        indent = len(line) - len(line.lstrip(" :+-*"))
+        if indent < depth:
+            above.append(line)
+            depth = indent
+    joined = next(i for i, line in enumerate(above) if "Join" in line)
+    assert any("Exchange" in line for line in above[:joined]) == (most == 0)

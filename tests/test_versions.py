@@ -13,7 +13,13 @@ from shelfline.operators.constraints import ConstraintViolation
 from shelfline.plans import compaction, ingest, versions
 from shelfline.plans.catalog import Catalog, search_practices
 from shelfline.plans.compaction import compact_batches
-from shelfline.plans.ingest import append_practices, bulk_load, ingest_submissions, replace_lookups
+from shelfline.plans.ingest import (
+    append_lookups,
+    append_practices,
+    bulk_load,
+    ingest_submissions,
+    replace_lookups,
+)
 from shelfline.plans.versions import CatalogChanged, current, merge_ranges, reserve
 from shelfline.sources.claims import names_in, put_if_absent, read_text
 from shelfline.streaming.submissions import SUBMISSIONS, read_stream, stream_submissions
@@ -160,6 +166,25 @@ def test_a_batch_keeps_the_lookups_it_was_judged_by(spark, monkeypatch, catalog,
     assert claim["lookups"] == judged_by != catalog.version().lookups
 
 
+def test_lookups_are_added_whole_or_not(spark, catalog, features):
+    new = spark.createDataFrame([("beta", "b"), ("aaa", None)], "name string, description string")
+    append_lookups(catalog, "categories", new)
+    found = {r["category_id"]: (r["name"], r["display_order"]) for r in catalog.categories(spark).collect()}
+    assert (found[5], found[6]) == (("aaa", 0), ("beta", 0))
+    for bad, rule in (
+        ([(None, "x"), (None, "Zeta")], "UNIQUE name: 1"),
+        ([(3, "x"), (9, "y"), (9, "z")], "PRIMARY KEY category_id: 2"),
+        ([(None, None)], "NOT NULL name: 1"),
+    ):
+        with pytest.raises(ConstraintViolation, match=rule):
+            append_lookups(catalog, "categories", spark.createDataFrame(bad, "category_id long, name string"))
+    assert catalog.categories(spark).count() == 6
+    assert catalog.features(spark).count() == 3
+    rows = [(1, body(title="new shelf", category_id=6))]
+    ingest_submissions(submissions(spark, *rows), catalog)
+    assert stored(spark, catalog)[5:] == [(6, "new shelf")]
+
+
 # --- several writers ---------------------------------------------------------
 
 
