@@ -32,7 +32,6 @@ LEAST_BIN = 100  # windows of less entropy say nothing
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
 BITS_PER_FEATURE = 5
-BY_CHANCE = 0.1  # likenesses below are chance
 JOINED_BYTES = 1 << 18
 
 _ODD = (
@@ -174,7 +173,10 @@ def _read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likeness(one: str, other: str) -> float:
-    """0 to 1; the same fingerprints give 1, an empty one and another give 0. Symmetric."""
+    """0 to 1; the same fingerprints give 1, an empty one and another give 0. Symmetric.
+
+    The overlap that chance explains is taken off; what is left of unrelated texts is mostly below
+    0.1, and no threshold is applied to it."""
     if one == other:
         return 1.0
     (a, n), (b, m) = sorted((_read(one), _read(other)), key=lambda f: (f[1].sum(), f[0].sum()))
@@ -188,8 +190,7 @@ def likeness(one: str, other: str) -> float:
         most = np.minimum(own, theirs)
         overlap = (part @ b.T - chance) / np.maximum(most - chance, 1e-9)
         total += float((np.clip(overlap, 0, 1).max(1) * n[at : at + 256]).sum())
-    found = total / float(n.sum())
-    return found if found >= BY_CHANCE else 0.0
+    return total / float(n.sum())
 
 
 def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
