@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfline.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from shelfline.llm.common import configure, table
-from shelfline.session import stage
+from shelfline.session import shared_folder, staging
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -69,5 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(configure(spark), sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        path = shared_folder(spark, name)
+        with staging(spark):  # what the stage wrote for itself goes when its result is written
+            step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
