@@ -49,14 +49,14 @@ def whole(spark, catalog):
 # --- loads -------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("writes", range(7))
 def test_a_load_that_fails_at_any_write_changes_nothing(
-    spark, monkeypatch, catalog, categories, features, practices, writes
+    spark, monkeypatch, catalog, categories, features, practices
 ):
     before = whole(spark, catalog)
+    seed = practices.where("practice_id < 3").withColumn("title", F.lit("new"))
     done = []
 
-    def failing(real):
+    def failing(real, writes):
         def run(*args, **kwargs):
             if len(done) == writes:
                 raise OSError("disk full")
@@ -65,14 +65,16 @@ def test_a_load_that_fails_at_any_write_changes_nothing(
 
         return run
 
-    for name in ("recreate_table", "put_if_absent", "publish"):
-        monkeypatch.setattr(ingest, name, failing(getattr(ingest, name)))
-    seed = practices.where("practice_id < 3").withColumn("title", F.lit("new"))
-    with pytest.raises(OSError, match="disk full"):
-        bulk_load(catalog, categories, features, seed, ["practice_id"])
-    monkeypatch.undo()
-    assert whole(spark, catalog) == before
-    assert catalog.categories(spark).count() == 4
+    for writes in range(7):
+        for name in ("recreate_table", "put_if_absent", "publish"):
+            monkeypatch.setattr(ingest, name, failing(getattr(ingest, name), writes))
+        with pytest.raises(OSError, match="disk full"):
+            bulk_load(catalog, categories, features, seed, ["practice_id"])
+        assert len(done) == writes
+        done.clear()
+        monkeypatch.undo()
+        assert whole(spark, catalog) == before
+        assert catalog.categories(spark).count() == 4
     bulk_load(catalog, categories, features, seed, ["practice_id"])
     assert stored(spark, catalog) == [(1, "new"), (2, "new")]
 
