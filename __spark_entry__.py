@@ -36,6 +36,7 @@ from shelfline.operators.submissions import (
 from shelfline.plans.catalog import Catalog, search_practices, search_practices_batch
 from shelfline.plans.compaction import compact_batches
 from shelfline.plans.ingest import (
+    append_lookups,
     append_practices,
     bulk_load,
     ingest_submissions,
@@ -598,6 +599,18 @@ def _fresh_lookups(spark: SparkSession, d: str) -> DataFrame:
     return catalog.practices(spark).select("practice_id", "category_id", "notes").join(owners, "practice_id")
 
 
+def _append_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Nations become categories without ids; names that are there already are refused."""
+    catalog = _new_catalog(spark, d)
+    nations = _table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    append_lookups(catalog, "categories", nations)
+    try:
+        append_lookups(catalog, "categories", nations.unionByName(_categories(spark, d).select("name")))
+    except ConstraintViolation:
+        pass
+    return catalog.categories(spark).select("category_id", "name", "display_order")
+
+
 def _default_times(spark: SparkSession, d: str) -> DataFrame:
     """Whether generated times are those of the run, whole seconds and the same in both columns."""
     start = F.lit(spark.sql("SELECT date_trunc('second', current_timestamp())").head()[0])
@@ -866,6 +879,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reload_catalog": _reload_catalog,
         "compact_batches": _compact_batches,
         "fresh_lookups": _fresh_lookups,
+        "append_lookups": _append_lookups,
         "default_times": _default_times,
         "submission_words": _submission_words,
         "stream_submissions": _stream_submissions,
@@ -1158,6 +1172,11 @@ def oracle_sql() -> dict[str, str]:
                     AS practice_id, category_id, notes, CAST(batch AS BIGINT) AS batch
             FROM ({validated}), (SELECT unnest([0, 1]) AS batch)
             WHERE status = 200 AND (batch = 1 OR category_id <> 1)""",
+        "append_lookups": """
+            SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name, 0 AS display_order FROM region
+            UNION ALL
+            SELECT (SELECT max(r_regionkey) FROM region) + row_number() OVER (ORDER BY n_name), n_name, 0
+            FROM nation""",
         "default_times": """
             SELECT row_number() OVER (ORDER BY doc_id) AS practice_id, true AS same,
                 true AS whole_seconds, true AS of_the_run
