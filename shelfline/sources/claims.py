@@ -55,7 +55,7 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     if not files.exists(place):
         return []
     found = (status.getPath().getName() for status in files.listStatus(place))
-    return sorted(name for name in found if not name.startswith((".", "_")))
+    return sorted(name for name in found if not name.startswith("."))
 
 
 def delete(spark: SparkSession, paths: Iterable[str]) -> None:

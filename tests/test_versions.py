@@ -259,6 +259,13 @@ def test_the_name_of_the_runs_is_taken(spark, catalog):
 # --- compaction --------------------------------------------------------------
 
 
+@pytest.mark.parametrize("writer", ["_a", ".b", "c.1", "d=e", "é f"])
+def test_names_of_writers(spark, catalog, writer):
+    ingest_submissions(submissions(spark, (1, body(title="one"))), catalog, writer=writer)
+    assert stored(spark, catalog)[5:] == [(6, "one")]
+    assert catalog.owners(spark).where("practice_id = 6").head()[1:] == (writer, 0)
+
+
 def test_merge_ranges():
     assert merge_ranges([], [3, 1, 2]) == [[1, 3]]
     assert merge_ranges([[0, 4], [8, 9]], [5, 7, 12]) == [[0, 5], [7, 9], [12, 12]]
