@@ -16,7 +16,10 @@ sizes' sum. That gives three nested kinds of region, each complete:
    parities of its shingles' numbers in hash classes, four or more classes for each shingle, has a
    Hamming distance that never exceeds the size of the symmetric difference. In that space pivots
    create Voronoi regions, the triangle inequality says which sets at the boundary have to be in a
-   neighbouring region as well, and small regions compare all sketches. Only pairs of different
+   neighbouring region as well, and small regions compare all sketches. Regions beyond BLOCK sets
+   are split in rounds over all of them at once, by at most PIVOTS of their sets; within tasks the
+   same goes on. Where pivots do not separate the sets of a region (all of them about as far from
+   each other), it is compared block by block. Only pairs of different
    components whose sketches allow a link are verified on the sets: first each set with the one
    nearest by sketch, then with all that are left, so that groups of similar texts have become
    one component before all their pairs are looked at.
@@ -43,7 +46,8 @@ FREQUENT = 4  # sets of the sample that make a shingle frequent
 MOST_FREQUENT = 1_000_000  # the most frequent ones that are kept, 8 MB
 REGION_ENTRIES = 1_500_000  # entries of a partition of regions
 FLUSH_ENTRIES = 1_500_000  # with their sorting about 200 MB
-BLOCK = 1024  # sets of a region that are compared with as many others in one task
+BLOCK = 1024  # sets of a region that one task compares; larger regions are split by pivots
+PIVOTS = 64  # sets that a region is split by, at most one of a component
 SMALL = 256
 TINY = 48  # regions that are compared together with others
 HELD_ROWS = 20_000
@@ -542,6 +546,169 @@ def _distances(x: np.ndarray, y: np.ndarray, sketches: list[bytes]) -> np.ndarra
     return found
 
 
+# --- Voronoi regions across tasks ---------------------------------------------
+
+
+def _by_width(sets: DataFrame) -> DataFrame:
+    """The sets of each region by the width of their sketches, in words.
+
+    A set is its own width's, and folded it is also among those half as wide: all sets that it can
+    be linked with are in one of the two. region, width, own, set_id, component, n, sketch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [np.frombuffer(s, np.uint64) for s in batch.column("sketch").to_pylist()]
+            for own in (True, False):
+                places = [i for i, s in enumerate(sketches) if own or len(s) > 1]
+                shown = [sketches[i] if own else folded(sketches[i]) for i in places]
+                some = batch.take(pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("region"),
+                        pa.array([len(s) for s in shown], pa.int32()),
+                        pa.array([own] * len(places), pa.bool_()),
+                        *(some.column(c) for c in ("set_id", "component", "n")),
+                        pa.array([s.tobytes() for s in shown], pa.binary()),
+                    ],
+                    names=["region", "width", "own", "set_id", "component", "n", "sketch"],
+                )
+        release()
+
+    schema = "region bigint, width int, own boolean, set_id bigint, component bigint, n bigint, sketch binary"
+    return sets.select("region", "set_id", "component", "n", "sketch").mapInArrow(run, schema)
+
+
+def _nearest_pivots(rows: DataFrame, level: int) -> DataFrame:
+    """The rows with `home`, their nearest pivot, and `inside`, all pivots in whose regions they are.
+
+    Linked sets x and y differ by at most a third of either. So if k is the pivot of y, x is by at
+    most two thirds of its size farther from k than from its own pivot, and both are in k's region.
+    Pivots are those with the smallest hashes; a region's rows are dealt over one task for each
+    BLOCK of them, and its pivots are sent to each of these. One pivot of a component is enough.
+    """
+    kept = ["region", "width", "own", "set_id", "component", "n", "sketch"]
+    member = PIVOTS
+    order = F.xxhash64("set_id", F.lit(level))
+    pivots = (
+        rows.groupBy("region", "width", "_m", F.pmod(order, F.lit(PIVOTS)).cast("int").alias("k"))
+        .agg(F.min_by(F.struct("component", "sketch"), order).alias("_first"))
+        .groupBy("region", "width", "_m", "_first.component")
+        .agg(F.min(F.struct("k", "_first.sketch")).alias("_pivot"))
+        .select("region", "width", "_m", "_pivot.*")
+    )
+    tasks = F.ceil(F.col("_m") / BLOCK)
+    absent = [F.lit(None).cast(kind).alias(name) for name, kind in
+              (("own", "boolean"), ("set_id", "bigint"), ("component", "bigint"), ("n", "bigint"))]
+    sent = pivots.select(
+        "region", "width", F.explode(F.sequence(F.lit(0).cast("bigint"), tasks - 1)).alias("task"), "k", *absent, "sketch"
+    )
+    task = F.pmod(F.xxhash64("set_id", F.lit(-1 - level)), tasks).cast("bigint").alias("task")
+    members = rows.select(
+        "region", "width", task, F.lit(member).alias("k"), "own", "set_id", "component", "n", "sketch"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple | None = None
+        names: list[int] = []
+        table: list[np.ndarray] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("region", "width", "task", "k")])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for at, end in zip([0, *ends], [*ends, batch.num_rows]):
+                part = batch.slice(at, end - at)
+                key, k = tuple(keys[:3, at]), int(keys[3, at])
+                if key != current:
+                    current, names, table = key, [], []
+                sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64)
+                if k < member:
+                    names.append(k)
+                    table.append(sketches)
+                    continue
+                sketches = sketches.reshape(-1, int(key[1]))
+                far = np.stack([np.bitwise_count(sketches ^ p).sum(1, dtype=np.int64) for p in table], 1)
+                reach = far.min(1) + 2 * part.column("n").to_numpy() / 3
+                inside = [[names[i] for i in np.flatnonzero(near)] for near in far <= reach[:, None]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c) for c in kept),
+                        pa.array([names[i] for i in far.argmin(1)], pa.int32()),
+                        pa.array(inside, pa.list_(pa.int32())),
+                    ],
+                    names=[*kept, "home", "inside"],
+                )
+        release()
+
+    schema = (
+        "region bigint, width int, own boolean, set_id bigint, component bigint, n bigint, sketch binary,"
+        " home int, inside array<int>"
+    )
+    return (
+        members.unionByName(sent)
+        .repartition("region", "width", "task")
+        .sortWithinPartitions("region", "width", "task", "k")
+        .mapInArrow(run, schema)
+    )
+
+
+def _voronoi(sets: DataFrame) -> Iterator[DataFrame]:
+    """region, cell, set_id, component of what large regions are split into, by frames.
+
+    `sets` has region, set_id, component, n, sketch. In each round all regions beyond BLOCK sets
+    are split by their pivots. A split counts if it halves the pairs at least and leaves no region
+    with over three quarters of the sets, so rounds end, and all their rows are fewer than those
+    of the blocks in their place. Regions for which it does not count are cut into blocks, each of
+    which meets each.
+    """
+    names = ["region", "width"]
+    rows = stage(_by_width(sets), "voronoi")
+    level = 0
+    while True:
+        sizes = rows.groupBy(*names).agg(
+            F.count("*").alias("_m"), F.max("own").alias("_own"),
+            F.min("component").alias("_lo"), F.max("component").alias("_hi"),
+        )
+        sizes = stage(sizes.filter("_own AND _lo <> _hi").select(*names, "_m"), "voronoi-sizes")
+        placed = rows.join(sizes, names)
+        region = F.xxhash64(*names).alias("region")
+        yield placed.filter(F.col("_m") <= BLOCK).select(region, F.lit(0).alias("cell"), "set_id", "component")
+        large = sizes.filter(F.col("_m") > BLOCK)
+        if large.isEmpty():
+            return
+        columns = [*names, "own", "set_id", "component", "n", "sketch"]
+        big = placed.filter(F.col("_m") > BLOCK)
+        near = stage(_nearest_pivots(big.select(*columns, "_m"), level), "voronoi-pivots")
+        near = near.withColumn("k", F.explode("inside"))
+        counted = near.groupBy(*names, "k").agg(
+            F.count("*").alias("_rows"), F.max(F.col("home") == F.col("k")).alias("_lived")
+        )
+        # A region where no set is at home has no pair of its own.
+        counted = stage(counted.filter("_lived"), "voronoi-counts")
+        split = (
+            counted.groupBy(*names)
+            .agg(F.sum(F.pow("_rows", F.lit(2))).alias("_pairs"), F.max("_rows").alias("_most"))
+            .join(large, names)
+            .filter("_pairs <= 0.5 * pow(_m, 2) AND _most <= 0.75 * _m")
+            .select(*names)
+        )
+        split = stage(split, "voronoi-split")
+        blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("_blocks")).cast("int")
+        whole = big.join(split, names, "left_anti").withColumn("_blocks", blocks).withColumn("_own", own)
+        cells = F.transform(
+            F.sequence(F.lit(0), F.col("_blocks") - 1),
+            lambda k: F.least(k, F.col("_own")) * F.col("_blocks") + F.greatest(k, F.col("_own")),
+        )
+        yield whole.select(region, F.explode(cells).alias("cell"), "set_id", "component")
+        rows = stage(
+            near.join(counted.join(split, names, "left_semi"), [*names, "k"]).select(
+                F.xxhash64(*names, F.lit(level), "k").alias("region"), *columns[1:]
+            ),
+            "voronoi",
+        )
+        level += 1
+
+
 def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
     """Distinct pairs (a, b) of sets that share a region, in different components, near by sketch.
 
@@ -566,14 +733,14 @@ def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most:
         .groupBy("_m", "_who")
         .agg(F.min("region").alias("region"))
     )
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("_blocks")).cast("int")
-    inside = placed.join(regions.select("region", blocks.alias("_blocks")), "region").withColumn("_own", own)
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("_blocks") - 1),
-        lambda k: F.least(k, F.col("_own")) * F.col("_blocks") + F.greatest(k, F.col("_own")),
-    )
-    cut = inside.withColumn("cell", F.explode(cells)).join(known.select("set_id", "n", "sketch"), "set_id")
+    regions = stage(regions, "open-regions")
+    inside = placed.join(regions.select("region", "_m"), "region")
+    cut = inside.filter(F.col("_m") <= BLOCK).select("region", F.lit(0).alias("cell"), "set_id", "component")
+    if not regions.filter(F.col("_m") > BLOCK).isEmpty():
+        large = inside.filter(F.col("_m") > BLOCK).drop("_m")
+        for part in _voronoi(large.join(known.select("set_id", "n", "sketch"), "set_id")):
+            cut = cut.unionByName(part)
+    cut = cut.join(known.select("set_id", "n", "sketch"), "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
