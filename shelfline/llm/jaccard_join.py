@@ -16,8 +16,8 @@ sizes' sum. That gives three nested kinds of region, each complete:
    parities of its shingles' numbers in hash classes, four or more classes for each shingle, has a
    Hamming distance that never exceeds the size of the symmetric difference. In that space pivots
    create Voronoi regions, the triangle inequality says which sets at the boundary have to be in a
-   neighbouring region as well, and small regions compare all sketches. Regions beyond BLOCK sets
-   are split in rounds over all of them at once, by at most PIVOTS of their sets; within tasks the
+   neighbouring region as well, and small regions compare all sketches. Regions beyond LARGE
+   blocks are split in rounds over all of them at once, by at most PIVOTS of their sets; within tasks the
    same goes on. Where pivots do not separate the sets of a region (all of them about as far from
    each other), it is compared block by block. Only pairs of different
    components whose sketches allow a link are verified on the sets: first each set with the one
@@ -46,7 +46,8 @@ FREQUENT = 4  # sets of the sample that make a shingle frequent
 MOST_FREQUENT = 1_000_000  # the most frequent ones that are kept, 8 MB
 REGION_ENTRIES = 1_500_000  # entries of a partition of regions
 FLUSH_ENTRIES = 1_500_000  # with their sorting about 200 MB
-BLOCK = 1024  # sets of a region that one task compares; larger regions are split by pivots
+BLOCK = 1024  # sets of a region that are compared with as many others in one task
+LARGE = 4  # blocks of a region beyond which it is split by pivots
 PIVOTS = 64  # sets that a region is split by, at most one of a component
 SMALL = 256
 TINY = 48  # regions that are compared together with others
@@ -651,10 +652,21 @@ def _nearest_pivots(rows: DataFrame, level: int) -> DataFrame:
     )
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """region, cell, set_id, component: regions of _m sets in blocks, each of which meets each."""
+    own = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("_blocks")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        lambda k: F.least(k, F.col("_own")) * F.col("_blocks") + F.greatest(k, F.col("_own")),
+    )
+    rows = rows.withColumn("_blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).withColumn("_own", own)
+    return rows.select("region", F.explode(cells).alias("cell"), "set_id", "component")
+
+
 def _voronoi(sets: DataFrame) -> Iterator[DataFrame]:
     """region, cell, set_id, component of what large regions are split into, by frames.
 
-    `sets` has region, set_id, component, n, sketch. In each round all regions beyond BLOCK sets
+    `sets` has region, set_id, component, n, sketch. In each round all regions beyond LARGE blocks
     are split by their pivots. A split counts if it halves the pairs at least and leaves no region
     with over three quarters of the sets, so rounds end, and all their rows are fewer than those
     of the blocks in their place. Regions for which it does not count are cut into blocks, each of
@@ -671,12 +683,13 @@ def _voronoi(sets: DataFrame) -> Iterator[DataFrame]:
         sizes = stage(sizes.filter("_own AND _lo <> _hi").select(*names, "_m"), "voronoi-sizes")
         placed = rows.join(sizes, names)
         region = F.xxhash64(*names).alias("region")
-        yield placed.filter(F.col("_m") <= BLOCK).select(region, F.lit(0).alias("cell"), "set_id", "component")
-        large = sizes.filter(F.col("_m") > BLOCK)
+        small = placed.filter(F.col("_m") <= LARGE * BLOCK)
+        yield _blocks(small.select(region, "set_id", "component", "_m"))
+        large = sizes.filter(F.col("_m") > LARGE * BLOCK)
         if large.isEmpty():
             return
         columns = [*names, "own", "set_id", "component", "n", "sketch"]
-        big = placed.filter(F.col("_m") > BLOCK)
+        big = placed.filter(F.col("_m") > LARGE * BLOCK)
         near = stage(_nearest_pivots(big.select(*columns, "_m"), level), "voronoi-pivots")
         near = near.withColumn("k", F.explode("inside"))
         counted = near.groupBy(*names, "k").agg(
@@ -692,14 +705,8 @@ def _voronoi(sets: DataFrame) -> Iterator[DataFrame]:
             .select(*names)
         )
         split = stage(split, "voronoi-split")
-        blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("_blocks")).cast("int")
-        whole = big.join(split, names, "left_anti").withColumn("_blocks", blocks).withColumn("_own", own)
-        cells = F.transform(
-            F.sequence(F.lit(0), F.col("_blocks") - 1),
-            lambda k: F.least(k, F.col("_own")) * F.col("_blocks") + F.greatest(k, F.col("_own")),
-        )
-        yield whole.select(region, F.explode(cells).alias("cell"), "set_id", "component")
+        whole = big.join(split, names, "left_anti")
+        yield _blocks(whole.select(region, "set_id", "component", "_m"))
         rows = stage(
             near.join(counted.join(split, names, "left_semi"), [*names, "k"]).select(
                 F.xxhash64(*names, F.lit(level), "k").alias("region"), *columns[1:]
@@ -735,9 +742,9 @@ def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most:
     )
     regions = stage(regions, "open-regions")
     inside = placed.join(regions.select("region", "_m"), "region")
-    cut = inside.filter(F.col("_m") <= BLOCK).select("region", F.lit(0).alias("cell"), "set_id", "component")
-    if not regions.filter(F.col("_m") > BLOCK).isEmpty():
-        large = inside.filter(F.col("_m") > BLOCK).drop("_m")
+    cut = _blocks(inside.filter(F.col("_m") <= LARGE * BLOCK))
+    if not regions.filter(F.col("_m") > LARGE * BLOCK).isEmpty():
+        large = inside.filter(F.col("_m") > LARGE * BLOCK).drop("_m")
         for part in _voronoi(large.join(known.select("set_id", "n", "sketch"), "set_id")):
             cut = cut.unionByName(part)
     cut = cut.join(known.select("set_id", "n", "sketch"), "set_id")

@@ -60,7 +60,7 @@ def test_odd_rows(odd_docs, no_docs):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("settings", [{}, {"SMALL": 8, "BLOCK": 16, "FLUSH_ENTRIES": 300}, {"BLOCK": 4, "PIVOTS": 6}])
+@pytest.mark.parametrize("settings", [{}, {"SMALL": 8, "BLOCK": 16, "FLUSH_ENTRIES": 300}, {"BLOCK": 4, "LARGE": 1, "PIVOTS": 6}])
 def test_copies_chains_and_shared_passages(llm, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard_join, name, value)

@@ -40,6 +40,7 @@ def possible(rows):
 @pytest.fixture
 def rounds(monkeypatch):
     made = []
+    monkeypatch.setattr(jaccard_join, "LARGE", 1)
     plain = jaccard_join._nearest_pivots
 
     def counted(rows, level):
@@ -89,6 +90,7 @@ def test_each_possible_pair_meets_in_the_second_round(llm, monkeypatch, rounds):
 def test_rows_grow_no_faster_than_the_sets(llm, monkeypatch):
     """Families that are components each are parted from each other and need no look."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "LARGE", 1)
     counts = [len(parts(families(llm, 8, size)[1])) for size in (50, 100, 200)]
     assert counts[2] <= 4.4 * max(counts[0], 100)
     blocks = [8 * size * -(-8 * size // 64) for size in (50, 100, 200)]
