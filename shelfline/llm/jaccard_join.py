@@ -125,10 +125,11 @@ def linked(shared: int, a: int, b: int) -> bool:
 
 
 def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, text_hash, n, set_id, sketch of each row, and the shingles of sampled sets."""
+    """doc_id, text_hash, n, set_id, sketch of each row, the sketch folded once (`half`), which blocks
+    are compared by, and the shingles of sampled sets."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        sizes, ids, sketches, samples = [], [], [], []
+        sizes, ids, sketches, halves, samples = [], [], [], [], []
         for value in batch.column(text):
             found = shingles(value.as_py())
             key = set_hash(found) if len(found) else None
@@ -136,15 +137,18 @@ def document_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             sizes.append(len(found))
             ids.append(key)
             sketches.append(sketch(found) if len(found) else None)
+            halves.append(_half(sketches[-1]))
             samples.append(found.view(np.int64) if sampled else None)
         return {
             "n": pa.array(sizes, pa.int64()),
             "set_id": pa.array(ids, pa.int64()),
             "sketch": pa.array(sketches, pa.binary()),
+            "half": pa.array(halves, pa.binary()),
             "sample": pa.array(samples, pa.list_(pa.int64())),
         }
 
-    added = {"n": "bigint", "set_id": "bigint", "sketch": "binary", "sample": "array<bigint>"}
+    added = {"n": "bigint", "set_id": "bigint", "sketch": "binary", "half": "binary"}
+    added["sample"] = "array<bigint>"
     renamed = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")
     )
@@ -380,6 +384,13 @@ def folded(sketches: np.ndarray) -> np.ndarray:
     return sketches[..., :half] ^ sketches[..., half:]
 
 
+def _half(sketch: bytes | None) -> bytes | None:
+    """A sketch of half as many classes, at least 64."""
+    if sketch is None or len(sketch) == 8:
+        return sketch
+    return folded(np.frombuffer(sketch, np.uint64)).tobytes()
+
+
 # --- components -------------------------------------------------------------
 
 
@@ -747,7 +758,7 @@ def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most:
         large = inside.filter(F.col("_m") > LARGE * BLOCK).drop("_m")
         for part in _voronoi(large.join(known.select("set_id", "n", "sketch"), "set_id")):
             cut = cut.unionByName(part)
-    cut = cut.join(known.select("set_id", "n", "sketch"), "set_id")
+    cut = cut.join(known.select("set_id", "n", F.col("half").alias("sketch")), "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -796,7 +807,7 @@ def _named_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     known = stage(
         sets.filter("set_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "half"))),
         "known-sets",
     )
     entries = (sets.agg(F.sum("n")).first()[0] or 0) / 4
