@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfline.llm.common import Remembered, running_starts
+from shelfline.llm.common import Remembered, release, running_starts
 
 CHUNK_IDS = 1 << 18
 BLOCK_IDS = 1 << 15
 LEVEL = 3
 _SPACED = re.compile(r"[^ \t-\r]+").findall
-_REMEMBERED = 700_000
+_REMEMBERED = 300_000  # in both generations about 140 MB
 _LONGEST_REMEMBERED = 48
 # Letters that keep their form under composition and become one letter in lower case.
 _PLAIN_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
@@ -196,6 +196,8 @@ def write_token_files(
                     names, ids, held, chunk, first = [], [], 0, chunk + 1, first + held
         if names:
             yield row()
+        names, ids = [], []
+        release()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("_text")]
     (
@@ -220,6 +222,8 @@ def read_token_files(spark: SparkSession, folder: str, bits: bool = False) -> Da
     offsets = spark.createDataFrame(starts, "part int, _before bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tokenizer.cache_clear()  # a worker that has encoded needs its remembered words no more
+        release()
         for batch in batches:
             for row in batch.to_pylist():
                 ids = _unchunk(row["planes"], row["data"], row["n_ids"], bits)
@@ -234,6 +238,7 @@ def read_token_files(spark: SparkSession, folder: str, bits: bool = False) -> Da
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
+        release()
 
     return chunks.join(F.broadcast(offsets), "part").mapInArrow(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids binary"

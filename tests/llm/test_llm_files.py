@@ -113,3 +113,19 @@ def test_written_files(llm, tmp_path):
     empty = frame.limit(0)
     separator_scan.write_flat_files(empty, f"{folder}3", 50304)
     assert scanned(llm, f"{folder}3", 50304, ">u2", 5) == []
+
+
+def test_remembered_words_leave_an_executor_room():
+    """Two workers beside a heap of 1,800 MB of 3,000: the words of either stay under 200 MB."""
+    import tracemalloc
+
+    encoder, n = plane_files.WordTokenizer(PATH), 20_000
+    words = [f"wörd{i * 7919:x}abcdef"[:16] for i in range(n)]
+    tracemalloc.start()
+    try:
+        for word in words:
+            encoder.encode(word)
+        held = tracemalloc.get_traced_memory()[0] / len(encoder._known)
+    finally:
+        tracemalloc.stop()
+    assert 2 * plane_files._REMEMBERED * held < 200 << 20
