@@ -35,13 +35,15 @@ from shelfline.plans.versions import (
     publish,
 )
 from shelfline.session import stage, staging
-from shelfline.sources.claims import delete
+from shelfline.sources.claims import bytes_in, delete
 from shelfline.sources.tables import recreate_table
 
 TABLES = ("practices", "rejected", "receipts")
 # A run is merged again when what would follow it has this part of its rows.
 GROWTH = 4
 ROWS_A_FILE = 1_000_000
+# A file is sorted by one task, however long its rows are.
+BYTES_A_FILE = 64 << 20
 
 
 def compact_batches(spark: SparkSession, catalog: Catalog) -> int:
@@ -90,29 +92,33 @@ def _write_run(
 ) -> None:
     """One run of the rows of some batches and runs, sorted so that statistics can skip files."""
 
-    def read(table: str, fields: T.StructType) -> DataFrame:
+    def read(table: str, fields: T.StructType) -> tuple[DataFrame, int]:
+        """The rows, and into how many files they go."""
         folder = f"{root}/{base.data}/{table}"
         paths = [f"{root}/{base.data}/{batch_folder(table, *batch)}" for batch in batches]
         paths = folders_among(spark, folder, paths)
+        files = max(1, -(-rows // ROWS_A_FILE), -(-bytes_in(spark, paths) // BYTES_A_FILE))
         schema = T.StructType([*fields, *OWNER, *FOLDER])
         if paths:
             found = spark.read.schema(schema).option("basePath", folder).parquet(*paths)
         else:
             found = spark.createDataFrame([], schema)
         writer, batch = owner_columns()
-        return found.select(*fields.fieldNames(), writer.alias("of_writer"), batch.alias("of_batch"))
+        return found.select(*fields.fieldNames(), writer.alias("of_writer"), batch.alias("of_batch")), files
 
-    files = max(1, -(-rows // ROWS_A_FILE))
     order = ["domain", "category_id", "practice_id"]
-    practices = read("practices", schemas.PRACTICES).repartitionByRange(files, *order)
+    practices, files = read("practices", schemas.PRACTICES)
+    practices = practices.repartitionByRange(files, *order)
     target = f"{root}/{base.data}/" + "{}"
     recreate_table(
         practices.sortWithinPartitions(*order), target.format(batch_folder("practices", RUNS, number)), ("domain",)
     )
-    rejected = read("rejected", schemas.REJECTED).repartitionByRange(files, "of_batch", "submission_id")
+    rejected, files = read("rejected", schemas.REJECTED)
+    rejected = rejected.repartitionByRange(files, "of_batch", "submission_id")
     recreate_table(rejected, target.format(batch_folder("rejected", RUNS, number)))
     # Receipts that have expired go. Sorted by time, so that statistics skip old ones.
-    valid = read("receipts", RECEIPTS).where(F.col("expires") > F.current_timestamp())
+    receipts, files = read("receipts", RECEIPTS)
+    valid = receipts.where(F.col("expires") > F.current_timestamp())
     receipts = valid.repartitionByRange(files, "expires", "key").sortWithinPartitions("expires", "key")
     recreate_table(receipts, target.format(batch_folder("receipts", RUNS, number)))
 

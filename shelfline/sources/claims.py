@@ -62,3 +62,12 @@ def delete(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         files, place = _at(spark, path)
         files.delete(place, True)
+
+
+def bytes_in(spark: SparkSession, folders: Iterable[str]) -> int:
+    """The size of all files in some folders that exist."""
+    total = 0
+    for folder in folders:
+        files, place = _at(spark, folder)
+        total += files.getContentSummary(place).getLength()
+    return total
