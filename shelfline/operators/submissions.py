@@ -124,10 +124,13 @@ def validate_submissions(
     ).drop("orphan_category_id", "orphan_feature_id")
 
 
-def split_outcome(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): rows to store, and the rest with their bodies."""
+def split_outcome(validated: DataFrame, kept: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): rows to store, and the rest with their bodies.
+
+    `kept` are further columns of the accepted rows.
+    """
     accepted = validated.where("status = 200").select(
-        "submission_id", *schemas.SUBMITTED_COLUMNS
+        *kept, "submission_id", *schemas.SUBMITTED_COLUMNS
     )
     rejected = validated.where("status <> 200").select(*schemas.REJECTED.fieldNames())
     return accepted, rejected
