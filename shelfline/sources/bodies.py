@@ -18,6 +18,8 @@ from shelfline.operators.identifiers import assign_ids
 from shelfline.session import stage
 
 _RANGE = ("_file", "_block")
+# White space at the ends of a body.
+_BLANKS = r"^\s+|\s+$"
 
 
 def _outside(plain: Column, inside_first: int) -> Column:
@@ -38,6 +40,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("_block"),
             F.col("_metadata.file_size").alias("_size"),
             F.monotonically_increasing_id().alias("_place"),
+            (F.octet_length("value") + 1).alias("_bytes"),
+            (F.regexp_replace("value", _BLANKS, "") == "").alias("_blank"),
             F.regexp_count(plain, F.lit('"')).alias("_quotes"),
             _outside(plain, 0).alias("_open0"),
             _outside(plain, 1).alias("_open1"),
@@ -65,13 +69,14 @@ def read_concatenated(spark: SparkSession, path: str) -> DataFrame:
         closes = F.when((state + F.col("_quotes")) % 2 == 0, 1).otherwise(0)
         return F.when(state == 0, F.col("_open0")).otherwise(F.col("_open1")) - closes
 
-    steps = pieces.withColumns({"_step0": step(0), "_step1": step(1)})
+    # All sums are over what the pieces do; their texts stay where they were written.
+    steps = pieces.drop("value").withColumns({"_step0": step(0), "_step1": step(1)})
     depths = steps.withColumns({f"_depth{s}": F.sum(f"_step{s}").over(so_far) for s in (0, 1)})
     depths = stage(depths.drop("_step0", "_step1", "_open0", "_open1"), "depths")
     last = [F.max_by(f"_depth{s}", "_place").alias(f"_end{s}") for s in (0, 1)]
     lowest = [F.min(f"_depth{s}").alias(f"_low{s}") for s in (0, 1)]
     ranges = depths.groupBy(*_RANGE).agg(
-        F.sum("_quotes").alias("_quotes"), *last, *lowest, F.sum(F.octet_length("value") + 1).alias("_bytes")
+        F.sum("_quotes").alias("_quotes"), *last, *lowest, F.sum("_bytes").alias("_bytes")
     )
     # The ranges of a file, in its order: how each one begins.
     file = Window.partitionBy("_file")
@@ -86,7 +91,7 @@ def read_concatenated(spark: SparkSession, path: str) -> DataFrame:
         F.sum("_bytes").over(file).alias("_bytes"),
         F.max("_block").over(file).alias("_last_block"),
     )
-    placed = depths.join(ranges, list(_RANGE))
+    placed = depths.drop("_bytes").join(ranges, list(_RANGE))
     depth = F.col("_from") + F.when(F.col("_in") == 0, F.col("_depth0")).otherwise(F.col("_depth1"))
     placed = placed.withColumn("_depth", depth)
     low_before = F.least("_lowest", F.coalesce(F.min("_depth").over(before), F.lit(0)))
@@ -98,8 +103,7 @@ def read_concatenated(spark: SparkSession, path: str) -> DataFrame:
     closed = ~(last_piece & (F.col("_bytes") > F.col("_size")))
     ended = stage(
         placed.select(
-            *_RANGE, "_place",
-            F.concat("value", F.when(closed, "}").otherwise("")).alias("value"),
+            *_RANGE, "_place", "_blank", closed.alias("_closed"),
             (closed & outside & (F.col("_depth") <= low_before)).alias("_ends"),
         ),
         "ends",
@@ -107,8 +111,20 @@ def read_concatenated(spark: SparkSession, path: str) -> DataFrame:
     counts = ended.groupBy(*_RANGE).agg(F.count_if("_ends").alias("_n"))
     counts = counts.select(*_RANGE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
     number = F.col("_first") + F.coalesce(F.count_if("_ends").over(before), F.lit(0))
-    numbered = ended.join(counts, list(_RANGE)).select("_file", number.alias("_number"), "_block", "_place", "value")
+    numbered = ended.join(counts, list(_RANGE)).select("_file", number.alias("_number"), "_place", "_closed", "_blank")
+    numbered = stage(numbered, "numbers")
+    # A blank without a brace is nothing: the end of a file.
+    bodies = numbered.groupBy("_file", "_number").agg(
+        F.count("*").alias("_parts"), F.bool_or(F.col("_closed") | ~F.col("_blank")).alias("_given")
+    )
+    bodies = assign_ids(bodies.where("_given").drop("_given"), "submission_id", ["_file", "_number"])
+    placed = numbered.join(bodies, ["_file", "_number"]).select("submission_id", "_parts", "_place", "_closed")
+    placed = stage(placed, "places")
+    # The texts meet their numbers once. Only those of several pieces are put together.
+    texts = pieces.select("_place", "_block", "value").join(placed, "_place")
+    text = F.concat("value", F.when(F.col("_closed"), "}").otherwise(""))
+    texts = texts.select("submission_id", "_parts", "_block", "_place", text.alias("value"))
     parts = F.sort_array(F.collect_list(F.struct("_block", "_place", "value")))["value"]
-    bodies = numbered.groupBy("_file", "_number").agg(F.array_join(parts, "").alias("body"))
-    bodies = bodies.withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).where("body <> ''")
-    return assign_ids(bodies, "submission_id", ["_file", "_number"]).select("submission_id", "body")
+    joined = texts.where("_parts > 1").groupBy("submission_id").agg(F.array_join(parts, "").alias("body"))
+    whole = texts.where("_parts = 1").select("submission_id", F.col("value").alias("body"))
+    return whole.unionByName(joined).withColumn("body", F.regexp_replace("body", _BLANKS, ""))
