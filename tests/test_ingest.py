@@ -311,3 +311,40 @@ def test_raw_bodies(spark, tmp_path, catalog, whole):
     assert stored(spark, catalog)[5:] == [(6, "one"), (7, "three")]
     rejected = read_table(spark, catalog.path("rejected"), schemas.REJECTED).collect()
     assert sorted((r["submission_id"], r["status"]) for r in rejected) == [(2, 500), (3, 400)]
+
+
+def test_lines_are_numbered_where_they_lie(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, lines in (("b", ["3", "", "5"]), ("a", ["1", "2"]), ("c", [])):
+        (tmp_path / "in" / name).write_text("".join(f"{line}\n" for line in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2")
+    try:
+        found = read_bodies(spark, str(tmp_path / "in"))
+        assert [tuple(r) for r in found.orderBy("submission_id").collect()] == list(enumerate(["1", "2", "3", "", "5"], 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lines-" in plan and "rangepartitioning" not in plan
+
+
+def test_verdicts_hold_a_text_once(spark, catalog, monkeypatch):
+    """Submissions without an id, or with the same one, are stored too."""
+    from shelfline.plans import ingest
+
+    staged, stage = {}, ingest.stage
+
+    def recorded(df, purpose):
+        staged[purpose] = stage(df, purpose)
+        staged[f"{purpose} rows"] = [r.asDict() for r in staged[purpose].collect()]
+        return staged[purpose]
+
+    monkeypatch.setattr(ingest, "stage", recorded)
+    before = catalog.practices(spark).count()
+    given = [(7, body(title="one")), (7, body(title="two")), (None, body(title="three")), (8, body(title=""))]
+    ingest.ingest_submissions(spark.createDataFrame(given, "submission_id bigint, body string"), catalog)
+    rows = staged["verdicts rows"]
+    assert sorted((r["status"], r["body"] is None, r["title"] is None) for r in rows) == [(200, True, False)] * 3 + [(400, False, True)]
+    stored = catalog.practices(spark).orderBy("practice_id").collect()[before:]
+    assert stored[0]["title"] == "three" and {r["title"] for r in stored[1:]} == {"one", "two"}
+    assert len({r["practice_id"] for r in stored}) == 3
+    assert [tuple(r)[:2] for r in catalog.rejected(spark).collect()] == [(8, given[3][1])]

@@ -431,3 +431,20 @@ def test_receipts_expire(spark, catalog):
     assert [t for _, t in stored(spark, catalog)[5:]] == ["a", "a"]
     compact_batches(spark, catalog)
     assert catalog.receipts(spark).isEmpty()
+
+
+def test_long_rows_take_more_files(spark, monkeypatch, catalog):
+    """A run of few rows with long texts is not sorted by one task."""
+    monkeypatch.setattr(compaction, "BYTES_A_FILE", 1000)
+    made, recreate = {}, compaction.recreate_table
+
+    def recorded(df, path, *args):
+        made[path.split("/")[-3]] = df.rdd.getNumPartitions()
+        recreate(df, path, *args)
+
+    monkeypatch.setattr(compaction, "recreate_table", recorded)
+    ingest_submissions(submissions(spark, (1, body(title="one")), (2, body(title="two"))), catalog)
+    rows = whole(spark, catalog)
+    assert compact_batches(spark, catalog) == 2
+    assert made["practices"] > 1
+    assert whole(spark, catalog) == rows
