@@ -154,3 +154,16 @@ def test_many_criteria_take_one_scan(spark, tmp_path, monkeypatch, words):
 
 def test_fixture_has_every_text_column():
     assert len(PRACTICE_ROWS[0]) == 13
+
+
+def test_a_few_grams_are_looked_for_one_by_one(spark):
+    """Short terms: rows are not cut into all the grams they hold."""
+    from shelfline.operators.filters import SearchFields
+
+    fact = spark.createDataFrame([(1, "An en-US text"), (2, "É SRC1"), (3, None), (3, "none"), (None, "x_y")], "k long, t string")
+    terms = ["EN", "src1", "é", "É", "x_", "%n%e", "q"]
+    requests = spark.createDataFrame(list(enumerate(terms)), "request_id long, search string")
+    result = batch.search_batch(requests, fact, SearchFields(text=("t",)), max_inline_texts=0)
+    assert "regexp_extract_all" not in result._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(((r["request_id"], r["k"] or 0) for r in result.collect()))
+    assert found == [(0, 1), (1, 2), (3, 2), (4, 0), (4, 1), (5, 1), (5, 3)]

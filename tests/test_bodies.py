@@ -55,3 +55,22 @@ def test_ends_of_files_and_braces_too_many(spark, tmp_path, end):
 
 def test_no_bodies(spark, tmp_path):
     assert bodies(spark, written(tmp_path, " \n "), 1) == []
+
+
+def test_texts_are_written_once(spark, tmp_path, monkeypatch):
+    """Sums, numbers and ids are of narrow rows; what is staged beside the pieces holds no text."""
+    from shelfline.operators import identifiers
+    from shelfline.sources import bodies as module
+
+    staged, stage = {}, module.stage
+
+    def recorded(df, purpose):
+        staged[purpose] = df.columns
+        return stage(df, purpose)
+
+    for place in (module, identifiers):
+        monkeypatch.setattr(place, "stage", recorded)
+    text = '{"a": 1} {"b": {"c": 2}}\n{"d": 3}'
+    rows = read_concatenated(spark, written(tmp_path, text)).orderBy("submission_id").collect()
+    assert [tuple(r) for r in rows] == [(1, '{"a": 1}'), (2, '{"b": {"c": 2}}'), (3, '{"d": 3}')]
+    assert [purpose for purpose, columns in staged.items() if {"value", "body"} & set(columns)] == ["pieces"]
