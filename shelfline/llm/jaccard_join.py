@@ -21,8 +21,10 @@ sizes' sum. That gives three nested kinds of region, each complete:
    same goes on. Where pivots do not separate the sets of a region (all of them about as far from
    each other), it is compared block by block. Only pairs of different
    components whose sketches allow a link are verified on the sets: first each set with the one
-   nearest by sketch, then with all that are left, so that groups of similar texts have become
-   one component before all their pairs are looked at.
+   nearest by sketch in a few of its regions, then with all that are left in all regions, so that
+   groups of similar texts have become one component before all their pairs are looked at. Similar
+   texts share many regions; each set carries the first few of its regions, and a pair that shares
+   an earlier one by these is left to that.
 
 Equal sets are one set throughout. Shingles and sets are told apart by 64-bit hashes.
 """
@@ -33,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import emptied_after_tasks, first_of, map_arrow, release
@@ -54,6 +57,8 @@ TINY = 48  # regions that are compared together with others
 HELD_ROWS = 20_000
 MOST_BROADCAST = 1_000_000
 ROUNDS = (1, None)  # nearest sets, by sketch, that each set is compared with
+FIRST = 8  # regions of a set, the first in one order, that tell where a pair has met before
+NEAREST_IN = 4  # of these, how many nearest sets are looked for in
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array(
@@ -500,13 +505,37 @@ def _near(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, own: int)
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
+def _met_before(x: np.ndarray, y: np.ndarray, regions: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether the first regions of x and of y have one in common that comes before theirs here.
+
+    `first` has FIRST regions a set, filled up by the last number. The first region that a pair
+    shares at all has none before it, so no pair is lost.
+    """
+    found = np.zeros(len(x), bool)
+    step = 1 << 14
+    for at in range(0, len(x), step):
+        some = slice(at, at + step)
+        a, b, here = first[x[some]], first[y[some]], regions[x[some], None]
+        for k in range(first.shape[1]):
+            one = b[:, k : k + 1]
+            found[some] |= ((a == one) & (one < here)).any(1)
+    return found
+
+
 def _candidates(
-    starts: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], groups: np.ndarray, most: int | None
+    starts: np.ndarray,
+    ids: np.ndarray,
+    sizes: np.ndarray,
+    sketches: list[bytes],
+    groups: np.ndarray,
+    most: int | None,
+    regions: np.ndarray,
+    first: np.ndarray,
 ) -> np.ndarray:
     """Pairs (a, b) of set ids within the regions that begin at `starts`, in different groups.
 
-    With `most`, each set is paired with that many nearest ones of its region. Tiny regions of
-    one size are looked at together.
+    With `most`, each set is paired with that many nearest ones of its region; without, pairs that
+    have met in an earlier region are left out. Tiny regions of one size are looked at together.
     """
     lengths = np.diff(np.append(starts, len(ids)))
     parts = [np.empty((2, 0), np.int64)]
@@ -534,6 +563,9 @@ def _candidates(
         rank = np.arange(len(both)) - np.repeat(first, runs)
         chosen = np.unique(order[rank < most] % len(x))
         x, y = x[chosen], y[chosen]
+    elif most is None:
+        new = ~_met_before(x, y, regions, first)
+        x, y = x[new], y[new]
     return np.unique(np.sort(np.stack([ids[x], ids[y]]), axis=0), axis=1)
 
 
@@ -727,11 +759,11 @@ def _voronoi(sets: DataFrame) -> Iterator[DataFrame]:
         level += 1
 
 
-def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of sets that share a region, in different components, near by sketch.
+def _open_regions(everyone: DataFrame, known: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """region, set_id, component, n, _m of regions of `least` sets at least in different components.
 
-    `everyone` are the (region, set_id) of all regions. Two sets alone in a region need no look:
-    one is the pivot, and their distance is known.
+    `everyone` has the (region, set_id) of regions. Of up to LARGE blocks of sets those stay that
+    some other is about as large as: if any is, so is the next in the order of sizes on its side.
     """
     names = labels.withColumnRenamed("node", "set_id")
     placed = everyone.join(names, "set_id", "left").select(
@@ -746,19 +778,44 @@ def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most:
             F.min("component").alias("_lo"),
             F.max("component").alias("_hi"),
         )
-        .filter("_lo <> _hi AND _m > 2")
+        .filter(F.col("_m") >= least)
+        .filter("_lo <> _hi")
         # Regions of the same sets are joined once.
         .groupBy("_m", "_who")
         .agg(F.min("region").alias("region"))
     )
-    regions = stage(regions, "open-regions")
-    inside = placed.join(regions.select("region", "_m"), "region")
-    cut = _blocks(inside.filter(F.col("_m") <= LARGE * BLOCK))
-    if not regions.filter(F.col("_m") > LARGE * BLOCK).isEmpty():
-        large = inside.filter(F.col("_m") > LARGE * BLOCK).drop("_m")
+    inside = placed.join(stage(regions.select("region", "_m"), "open-regions"), "region")
+    inside = inside.join(known.select("set_id", "n"), "set_id")
+    small = F.col("_m") <= LARGE * BLOCK
+    sizes = Window.partitionBy("region").orderBy("n")
+    smaller, larger = F.lag("n").over(sizes), F.lead("n").over(sizes)
+    fits = (100 * smaller >= 75 * F.col("n")) | (100 * F.col("n") >= 75 * larger)
+    fitting = inside.filter(small).withColumn("_fits", fits).filter("_fits").drop("_fits")
+    return stage(fitting.unionByName(inside.filter(~small)), "inside")
+
+
+def _open_pairs(inside: DataFrame, known: DataFrame, most: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of sets that share a region, in different components, near by sketch.
+
+    `inside` are the sets of open regions. With `most`, each set is looked at in the first
+    NEAREST_IN of its regions only, which sets near each other mostly share.
+    """
+    number = F.row_number().over(Window.partitionBy("set_id").orderBy("region"))
+    first = inside.withColumn("_k", number).filter(F.col("_k") <= (FIRST if most is None else NEAREST_IN))
+    if most is not None:
+        inside = stage(first.select("region", "set_id", "component"), "nearest-in")
+        regions = inside.groupBy("region").agg(F.count("*").alias("_m")).filter("_m > 1")
+        regions = stage(regions, "nearest-regions")
+        inside = first = inside.join(regions, "region")
+    large = inside.filter(F.col("_m") > LARGE * BLOCK).drop("_m", "n")
+    first = first.groupBy("set_id").agg(F.sort_array(F.collect_list("region")).alias("first"))
+    cut = _blocks(inside.filter(F.col("_m") <= LARGE * BLOCK)).withColumn("here", F.col("region"))
+    if not large.isEmpty():
         for part in _voronoi(large.join(known.select("set_id", "n", "sketch"), "set_id")):
-            cut = cut.unionByName(part)
-    cut = cut.join(known.select("set_id", "n", F.col("half").alias("sketch")), "set_id")
+            # Parts of a region have other names, and pairs in them are never left to others.
+            cut = cut.unionByName(part.withColumn("here", F.lit(None).cast("bigint")))
+    shown = known.select("set_id", "n", F.col("half").alias("sketch"))
+    cut = cut.join(shown.join(first, "set_id"), "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -768,7 +825,11 @@ def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most:
             new = (region[1:] != region[:-1]) | (cell[1:] != cell[:-1])
             starts = np.flatnonzero(np.concatenate([[True], new]))
             sketches = table.column(5).to_pylist()
-            a, b = _candidates(starts, ids, n, sketches, component, most)
+            here = table.column(6).fill_null(np.iinfo(np.int64).min).to_numpy()
+            first = np.full((len(ids), FIRST), np.iinfo(np.int64).max)
+            held_first = table.column(7).combine_chunks()
+            first[np.arange(FIRST) < pc.list_value_length(held_first).to_numpy()[:, None]] = held_first.flatten().to_numpy()
+            a, b = _candidates(starts, ids, n, sketches, component, most, here, first)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -789,7 +850,7 @@ def _open_pairs(everyone: DataFrame, known: DataFrame, labels: DataFrame, most:
         release()
 
     return (
-        cut.select("region", "cell", "set_id", "component", "n", "sketch")
+        cut.select("region", "cell", "set_id", "component", "n", "sketch", "here", "first")
         .repartition("region", "cell")
         .sortWithinPartitions("region", "cell")
         .mapInArrow(run, "a bigint, b bigint")
@@ -841,8 +902,12 @@ def _named_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         .distinct(),
         "regions",
     )
+    # Two sets alone in a region need no look: one is the pivot, and their distance is known. Later
+    # two may be what is left of more.
+    inside, least = everyone, 3
     for most in ROUNDS:
-        rest = _open_pairs(everyone, known, labels, most).join(tried, ["a", "b"], "left_anti")
+        inside, least = _open_regions(inside.select("region", "set_id"), known, labels, least), 2
+        rest = _open_pairs(inside, known, most).join(tried, ["a", "b"], "left_anti")
         rest = stage(rest, "open")
         if not rest.isEmpty():
             links = verify(rest)

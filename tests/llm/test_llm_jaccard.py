@@ -126,3 +126,46 @@ def test_rows_that_stay(odd_docs, documents, no_docs):
     ids = [r["doc_id"] for r in jaccard_join.without_near_duplicates(documents).collect() if shingle_set(r["text"])]
     assert sorted(ids) == sorted(expected)
     assert jaccard_join.without_near_duplicates(no_docs).count() == 0
+
+
+def test_pairs_that_share_many_regions_are_made_once():
+    """Twenty sets near each other, all of different components, in forty regions of most of them."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = [np.unique(np.append(base[1:], np.uint64(i + 1))) for i in range(20)]
+    held = [(r, i) for r in range(100, 140) for i in range(20) if rng.random() < 0.8]
+    own = {i: [r for r, j in held if j == i] for i in range(20)}
+    regions, ids = (np.array(column, np.int64) for column in zip(*held))
+    first = np.full((len(held), jaccard_join.FIRST), np.iinfo(np.int64).max)
+    for row, (_, i) in enumerate(held):
+        some = own[i][: jaccard_join.FIRST]
+        first[row, : len(some)] = some
+    made = []
+    for r in range(100, 140):
+        at = regions == r
+        n = int(at.sum())
+        sketches = [jaccard_join.sketch(sets[i]) for i in ids[at]]
+        sizes = np.array([len(sets[i]) for i in ids[at]])
+        found = jaccard_join._candidates(
+            np.array([0]), ids[at], sizes, sketches, ids[at], None, regions[at], first[at]
+        )
+        made += zip(*found.tolist())
+    assert n > 2 and set(made) == {(i, j) for i in range(20) for j in range(i + 1, 20)}
+    assert len(made) < 2 * len(set(made))
+
+
+@pytest.mark.parametrize("settings", [{}, {"FIRST": 1, "NEAREST_IN": 1}, {"BLOCK": 4, "LARGE": 1, "PIVOTS": 6}])
+def test_near_copies_of_several_components(llm, monkeypatch, settings):
+    """Edits leave about three quarters, so that many pairs are looked at and few are links."""
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for i in range(40):
+        text = base[: rng.choice((60, 100, 150))]
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(9)}"
+        rows.append((i if i % 13 else None, " ".join(text)))
+    frame = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert found(frame) == brute(rows)
