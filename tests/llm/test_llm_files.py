@@ -128,3 +128,13 @@ def test_remembered_words_leave_an_executor_room():
     finally:
         tracemalloc.stop()
     assert 2 * plane_files._REMEMBERED * held < 200 << 20
+
+
+def test_words_are_remembered_in_utf8():
+    """White space is that of ASCII: a text's bytes are split, and no word is held as a string."""
+    encoder = plane_files.WordTokenizer(PATH, special_as_text=False)
+    texts = ["a\x1cb \x85c d e\tf\x0bg\x0ch\r\ni", "École, naïve! é", " \t", "", "x́ <|endoftext|>y don't."]
+    for text in texts * 2:
+        plain = encoder._tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text).tolist() == plain
+    assert encoder._known and all(type(word) is bytes for word in encoder._known)
