@@ -167,3 +167,33 @@ def test_a_few_grams_are_looked_for_one_by_one(spark):
     assert "regexp_extract_all" not in result._jdf.queryExecution().optimizedPlan().toString()
     found = sorted(((r["request_id"], r["k"] or 0) for r in result.collect()))
     assert found == [(0, 1), (1, 2), (3, 2), (4, 0), (4, 1), (5, 1), (5, 3)]
+
+
+@pytest.mark.parametrize("bound", [100_000, -1])
+def test_many_requests_for_the_same_rows_are_paired_in_blocks(spark, tmp_path, monkeypatch, bound):
+    """Repeated and null request ids and rows keep their number, with and without a broadcast, rows
+    are dealt to all tasks, and the files do not hold an id for each row."""
+    import os
+
+    monkeypatch.setattr(batch, "MAX_BROADCAST_ROWS", bound)
+    fields = batch.SearchFields(text=("t",), enums={"area": ("d", ("a", "b"))})
+    fact = spark.range(1500).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 1400).alias("k"),
+        F.concat(F.lit("text "), F.col("id") % 2).alias("t"),
+        F.when(F.col("id") % 5 == 0, "b").when(F.col("id") % 5 < 4, "a").alias("d"),
+    )
+    requests = spark.range(2000).select(
+        F.when(F.col("id") % 9 > 0, F.col("id") % 1900).alias("request_id"),
+        F.when(F.col("id") == 3, "TEXT 1").alias("search"),
+        F.when(F.col("id") % 100 > 0, "a").otherwise("b").alias("area"),
+    )
+    result = batch.search_batch(requests, fact, fields, ["k", "d"])
+    wanted = fact.alias("f").crossJoin(requests.alias("r")).where(
+        "f.d = r.area AND (r.search IS NULL OR f.t = 'text 1')"
+    ).select("request_id", "k", "d")
+    assert result.columns == wanted.columns
+    assert result.exceptAll(wanted).isEmpty() and wanted.exceptAll(result).isEmpty()
+    path = str(tmp_path / "result")
+    result.write.parquet(path)
+    files = [os.path.getsize(f"{path}/{name}") for name in os.listdir(path) if name.endswith(".parquet")]
+    assert len(files) == 4 and sum(files) < 0.4 * result.count()
