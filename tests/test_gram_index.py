@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.operators.batch import search_batch
+from shelfline.operators import gram_index
+from shelfline.operators.batch import grams_in, search_batch
 from shelfline.operators.filters import SearchFields
 from shelfline.operators.gram_index import build_gram_index, files_to_read, pruned
 
@@ -88,3 +89,36 @@ def test_files_added_or_written_anew_are_read(spark, stored, tmp_path):
     few = pruned(requests, table, FIELDS, f"{path}-index")
     assert len(few.inputFiles()) <= 4
     assert rows(requests, few) == [(0, 1000), (0, 1000)]
+
+
+def test_a_text_is_cut_once_for_all_sorts_of_grams(spark, stored, tmp_path, monkeypatch):
+    """Each text column goes through one pattern, and every gram of every sort has its bit, as no other."""
+    plans, recreate = [], gram_index.recreate_table
+
+    def recorded(df, path):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        recreate(df, path)
+
+    monkeypatch.setattr(gram_index, "recreate_table", recorded)
+    path = str(tmp_path / "table")
+    texts = ["a bcdefgh", " 2345678", " 345678", "x 0123456789abcdef0 É é\U0001f600 \n \n  yz  ", "", None, "b" * 99]
+    spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, t string, u string").union(
+        stored[1].select("id", "t", "u").limit(50)
+    ).coalesce(2).write.parquet(path)
+    table = spark.read.parquet(path)
+    bits = 1 << 20
+    build_gram_index(table, FIELDS.text, f"{path}-index", bits)
+    assert plans[0].count("regexp_extract_all(") == len(FIELDS.text)
+    found = spark.read.parquet(f"{path}-index/words").agg(F.sum(F.bit_count("bits"))).head()[0]
+    places = [
+        table.select("_metadata.file_path", F.explode(each).alias("gram"))
+        for name in FIELDS.text
+        for each in grams_in(F.col(name), gram_index.SORTS)
+    ]
+    wanted = places[0].union(places[1]).union(places[2]).union(places[3])
+    wanted = wanted.select("file_path", F.pmod(F.xxhash64("gram"), F.lit(bits)).alias("place")).distinct()
+    assert wanted.count() == found > 100
+    words = spark.read.parquet(f"{path}-index/words")
+    on = (F.xxhash64("file_path") == F.col("file")) & (F.shiftright("place", 6) == F.col("word"))
+    held = wanted.join(words, on).where(F.getbit("bits", F.col("place").bitwiseAND(63).cast("int")) == 1)
+    assert held.count() == found
